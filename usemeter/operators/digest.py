@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usemeter.config import UsageSpec
@@ -32,6 +32,20 @@ def source_patterns(files: DataFrame, spec: UsageSpec, *keep: str) -> DataFrame:
     )
 
 
+def first_patterns(hits: DataFrame, spec: UsageSpec, key: str, order: str) -> DataFrame:
+    """The first hits per ``key`` in file order, then pattern order, with their ``rank``."""
+    ordered = Window.partitionBy(key).orderBy(order, "pattern_no")
+    return hits.withColumn("rank", F.row_number().over(ordered)).where(
+        F.col("rank") <= spec.caps.source_signals
+    )
+
+
+def platforms_per_repo(files: DataFrame, spec: UsageSpec) -> DataFrame:
+    """``repo_key, platforms``: the sorted distinct dictionary words of a repo's texts."""
+    found = files.select("repo_key", F.explode(words_in(F.lower("text"), spec.platforms)).alias("p"))
+    return found.groupBy("repo_key").agg(F.array_sort(F.collect_set("p")).alias("platforms"))
+
+
 def digest(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec) -> DataFrame:
     """One digest row per repo.  Like the evidence, texts are reduced before the shuffle."""
     kind, low = F.col("kind"), F.col("low")

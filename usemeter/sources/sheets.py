@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usemeter.config import FIELDS, HEADER_ALIASES, LABEL_HINTS, UsageSpec
+from usemeter.functions.binding import let
 from usemeter.functions.repo import is_repo_link
 from usemeter.functions.text import BLANK_CLASS, any_of, blank_if_null, first_line, header_key, strip
 from usemeter.operators.skew import lookup_join
@@ -113,106 +114,118 @@ def resolve_columns(cells: DataFrame, spec: UsageSpec) -> DataFrame:
         )
         .where(F.size(F.filter("headers", lambda h: h != "")) >= F.col("_need"))
     )
-    mapped = _claim_columns(candidates, spec)
-    fields = [F.col(f) for f in FIELDS]
+    claimed = F.filter(
+        F.array(_claim_columns(F.col("headers"), F.col("sample"), spec)),
+        lambda c: (_at(c, "github") >= 0) & (_at(c, "project") >= 0),
+    )
     return (
-        mapped.where(F.col("github").isNotNull() & F.col("project").isNotNull())
+        candidates.select("sheet_id", "header_row", F.explode(claimed).alias("columns"))
         .groupBy("sheet_id")
-        .agg(F.min(F.struct("header_row", *fields)).alias("m"))
-        .select("sheet_id", "m.*")
+        .agg(F.min(F.struct("header_row", "columns")).alias("m"))
+        .select(
+            "sheet_id", "m.header_row",
+            *[_null_if_none(_at(F.col("m.columns"), f)).alias(f) for f in FIELDS],
+        )
     )
 
 
+def _at(columns: Column, field: str) -> Column:
+    return F.get(columns, F.lit(FIELDS.index(field)))
+
+
+def _null_if_none(column: Column) -> Column:
+    return F.when(column >= 0, column)
+
+
+def _put(columns: Column, field: Column, value: Column) -> Column:
+    return F.transform(columns, lambda c, i: F.when(i == field, value).otherwise(c))
+
+
 def _first(flags: Column) -> Column:
-    """0-based position of the first true, null if there is none."""
-    return F.nullif(F.array_position(flags, True), F.lit(0)).cast("int") - 1
+    """0-based position of the first true, -1 if there is none."""
+    return F.array_position(flags, True).cast("int") - 1
 
 
-def _claim_columns(candidates: DataFrame, spec: UsageSpec) -> DataFrame:
-    """Each field in turn takes the first free column that suits it.
+def _claim_columns(headers: Column, sample: Column, spec: UsageSpec) -> Column:
+    """Column number per field (-1 for none) of one candidate header row.
 
-    Three rounds: header equal to an alias, header containing a longer alias, cell contents.
-    A claimed column is taken for all later steps, so the steps are chained, not ranked.
+    Each field in turn takes the first free column that suits it: header equal to an alias,
+    then header containing a longer alias, then cell contents.  A claimed column is taken for
+    all later steps, so this is a fold over the steps, not a ranking per field.
     """
-    df = candidates.withColumn("normed", F.transform("headers", header_key))
-    taken = [f"_{f}_{n}" for n in (1, 2) for f in FIELDS] + ["_github_3", "project_4"]
-    done: list[str] = []
-
-    def free(j: Column) -> Column:
-        held = [F.coalesce(F.col(c), F.lit(-1)) for c in done]
-        return ~F.array_contains(F.array(*held), j) if held else F.lit(True)
-
-    for field in FIELDS:
-        aliases = HEADER_ALIASES[field]
-        df = df.withColumn(
-            f"_{field}_1",
-            _first(F.transform("normed", lambda h, j: h.isin(*aliases) & free(j))),
-        )
-        done.append(f"_{field}_1")
-    for field in FIELDS:
-        longer = [a for a in HEADER_ALIASES[field] if len(a) >= MIN_SUBSTRING_ALIAS]
-        df = df.withColumn(
-            f"_{field}_2",
-            F.when(
-                F.col(f"_{field}_1").isNull(),
-                _first(
-                    F.transform(
-                        "normed",
-                        lambda h, j: any_of([F.contains(h, F.lit(a)) for a in longer]) & free(j),
-                    )
-                ),
-            ),
+    steps = [(i, True, HEADER_ALIASES[f]) for i, f in enumerate(FIELDS)] + [
+        (i, False, tuple(a for a in HEADER_ALIASES[f] if len(a) >= MIN_SUBSTRING_ALIAS))
+        for i, f in enumerate(FIELDS)
+    ]
+    step_rows = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("field"), F.lit(exact).alias("exact"),
+                F.array(*[F.lit(a) for a in aliases]).alias("aliases"),
+            )
+            for i, exact, aliases in steps
+        ]
+    )
+
+    def free(columns: Column, j: Column) -> Column:
+        return ~F.array_contains(columns, j)
+
+    def by_content(normed: Column, columns: Column) -> Column:
+        return let(_claim_repo(columns, normed), lambda c: _claim_label(c, normed))
+
+    def _claim_repo(columns: Column, normed: Column) -> Column:
+        hits = F.transform(
+            normed, lambda h, j: F.size(F.filter(sample, lambda r: is_repo_link(F.get(r, j), spec)))
         )
-        done.append(f"_{field}_2")
-    assert done == taken[: len(done)]
 
-    def by_header(field: str) -> Column:
-        return F.coalesce(F.col(f"_{field}_1"), F.col(f"_{field}_2"))
+        def most(n: Column) -> Column:
+            best = F.array_position(n, F.array_max(n)).cast("int") - 1
+            wanted = (_at(columns, "github") < 0) & (F.array_max(n) > 0) & free(columns, best)
+            return F.when(
+                wanted, _put(columns, F.lit(FIELDS.index("github")), best)
+            ).otherwise(columns)
+
+        return let(hits, most)
+
+    def _claim_label(columns: Column, normed: Column) -> Column:
+        def values(j: Column) -> Column:
+            cells = F.transform(sample, lambda r: strip(blank_if_null(F.get(r, j))))
+            return F.slice(F.filter(cells, lambda v: v != ""), 1, spec.caps.label_values)
+
+        # 2: plain text under a hinted header, 1: plain text, 0: neither or taken
+        grades = F.transform(
+            normed,
+            lambda h, j: F.when(
+                free(columns, j) & let(values(j), lambda v: _is_plain(v, spec)),
+                F.when(any_of([F.contains(h, F.lit(w)) for w in LABEL_HINTS]), 2).otherwise(1),
+            ).otherwise(0),
+        )
 
-    # repo by content: the column with the most repo links, unless it is taken
-    hits = F.transform(
-        "normed",
-        lambda h, j: F.size(F.filter("sample", lambda r: is_repo_link(F.get(r, j), spec))),
-    )
-    df = df.withColumn("_hits", hits).withColumn(
-        "_best", F.array_position("_hits", F.array_max("_hits")).cast("int") - 1
-    )
-    df = df.withColumn(
-        "_github_3",
-        F.when(
-            by_header("github").isNull() & (F.array_max("_hits") > 0) & free(F.col("_best")),
-            F.col("_best"),
-        ),
-    )
-    done.append("_github_3")
-    # label by content: a free plain-text column, hinted headers first
-    plain = F.transform(
-        "normed",
-        lambda h, j: free(j) & _is_plain(
-            F.slice(
-                F.filter(
-                    F.transform("sample", lambda r: strip(blank_if_null(F.get(r, j)))),
-                    lambda v: v != "",
-                ),
-                1, spec.caps.label_values,
-            ),
-            spec,
-        ),
-    )
-    hinted = F.transform(
-        "normed", lambda h: any_of([F.contains(h, F.lit(w)) for w in LABEL_HINTS])
-    )
-    df = df.withColumn("_plain", plain).withColumn("_hinted", hinted)
-    label = F.coalesce(
-        _first(F.zip_with("_plain", "_hinted", lambda p, h: p & h)), _first(F.col("_plain"))
-    )
-    df = df.withColumn(
-        "_label", F.when(by_header("project").isNull() & by_header("names").isNull(), label)
-    )
-    final = {f: by_header(f) for f in FIELDS}
-    final["github"] = F.coalesce(final["github"], F.col("_github_3"))
-    final["project"] = F.coalesce(final["project"], F.col("_label"), final["names"])
-    return df.select("sheet_id", "header_row", *[c.alias(f) for f, c in final.items()])
+        def label(g: Column) -> Column:
+            best = F.when(
+                F.array_max(g) > 0, F.array_position(g, F.array_max(g)).cast("int") - 1
+            ).otherwise(-1)
+            project, names = _at(columns, "project"), _at(columns, "names")
+            chosen = F.when(project >= 0, project).when(names >= 0, names).otherwise(best)
+            return _put(columns, F.lit(FIELDS.index("project")), chosen)
+
+        return let(grades, label)
+
+    def by_header(normed: Column) -> Column:
+        def step(columns: Column, s: Column) -> Column:
+            suits = F.transform(
+                normed,
+                lambda h, j: free(columns, j) & F.when(s["exact"], F.array_contains(s["aliases"], h))
+                .otherwise(F.exists(s["aliases"], lambda a: F.contains(h, a))),
+            )
+            return F.when(F.get(columns, s["field"]) >= 0, columns).otherwise(
+                _put(columns, s["field"], _first(suits))
+            )
+
+        none = F.array_repeat(F.lit(-1), len(FIELDS))
+        return let(F.aggregate(step_rows, none, step), lambda c: by_content(normed, c))
+
+    return let(F.transform(headers, header_key), by_header)
 
 
 def _is_plain(values: Column, spec: UsageSpec) -> Column:

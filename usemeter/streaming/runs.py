@@ -138,3 +138,10 @@ def running_counts(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def last_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The newest version of the running counts."""
+    versions = spark.read.parquet(out)
+    newest = versions.agg(F.max("version")).scalar()
+    return versions.where(F.col("version") == newest).drop("version")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from usemeter.config import UsageSpec
@@ -35,7 +36,8 @@ def upsert_stream(
     )
 
 
-def last_version(query: StreamingQuery) -> int | None:
-    """Number of the newest version, or null if no batch ran."""
-    done = query.lastProgress
-    return None if done is None else int(done["batchId"])
+def current_sheet(spark: SparkSession, out: str) -> DataFrame:
+    """The newest version of the sheet; only its folder is read (partition pruning)."""
+    versions = spark.read.parquet(out)
+    newest = versions.agg(F.max("version")).scalar()
+    return versions.where(F.col("version") == newest).drop("version")
