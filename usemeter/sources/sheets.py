@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +47,9 @@ def read_sheets(spark: SparkSession, path: str, columns: int = MAX_COLUMNS) -> D
     only suspect files are checked byte by byte and read again.  The list of such files is a
     part of the file listing that the driver holds for any scan.
     """
-    if not path.lower().rstrip("/").endswith((".csv", "/*")) and _has_suffix(path):
-        raise ValueError(f"unsupported sheet type: {path} (use .csv)")
+    suffix = os.path.splitext(path.rstrip("/"))[1].lower()
+    if suffix not in ("", ".csv"):
+        raise ValueError(f"unsupported sheet type: {suffix} (use .csv)")
     utf8 = _scan(spark, path, "UTF-8", columns)
     replaced = F.exists("cells", lambda c: F.contains(c, F.lit("�")))
     suspects = [r.sheet_id for r in utf8.where(replaced).select("sheet_id").distinct().collect()]
@@ -72,10 +75,6 @@ def _file_key(path: str) -> str:
     return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
-def _has_suffix(path: str) -> bool:
-    return "." in path.rstrip("/").rsplit("/", 1)[-1]
-
-
 def resolve_columns(cells: DataFrame, spec: UsageSpec) -> DataFrame:
     """Per sheet the header row and the column of each field.
 
