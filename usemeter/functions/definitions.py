@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from usemeter.config import UsageSpec
+from usemeter.functions.binding import let
 
 DEFINITION_DDL = (
     "components array<struct<provider: string>>, project_id string, _corrupt string"
@@ -36,33 +37,37 @@ def parse_definition(text: Column) -> Column:
         DEFINITION_DDL,
         {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_corrupt"},
     )
-    usable = (
-        is_single_json_value(text)
-        & F.json_object_keys(text).isNotNull()
-        & parsed["_corrupt"].isNull()
-    )
-    return F.when(usable, definition_metrics(parsed["components"], parsed["project_id"])).otherwise(
-        F.lit(None).cast(METRICS_DDL)
+    is_object = F.rlike(text, F.lit(r"^\s*\{")) & is_single_json_value(text)
+    return F.when(
+        is_object,
+        let(
+            parsed,
+            lambda d: F.when(
+                d["_corrupt"].isNull(), definition_metrics(d["components"], d["project_id"])
+            ),
+        ),
     )
 
 
 def definition_metrics(components: Column, project_id: Column) -> Column:
+    def starts(prefix):
+        return lambda p: F.startswith(p, F.lit(prefix))
+
+    def measured(providers: Column) -> Column:
+        return F.struct(
+            F.size(providers).alias("nodes"),
+            providers.alias("providers"),
+            F.exists(providers, starts("agent_")).alias("has_agent"),
+            F.exists(providers, starts("llm_")).alias("has_llm"),
+            F.size(F.filter(providers, starts("tool_"))).alias("tool_count"),
+            F.coalesce(project_id, F.lit("")).alias("project_id"),
+        ).cast(METRICS_DDL)
+
     providers = F.coalesce(
         F.transform(components, lambda c: F.coalesce(c["provider"], F.lit(""))),
         F.array().cast("array<string>"),
     )
-
-    def starts(prefix):
-        return lambda p: F.startswith(p, F.lit(prefix))
-
-    return F.struct(
-        F.size(providers).alias("nodes"),
-        providers.alias("providers"),
-        F.exists(providers, starts("agent_")).alias("has_agent"),
-        F.exists(providers, starts("llm_")).alias("has_llm"),
-        F.size(F.filter(providers, starts("tool_"))).alias("tool_count"),
-        F.coalesce(project_id, F.lit("")).alias("project_id"),
-    ).cast(METRICS_DDL)
+    return let(providers, measured)
 
 
 def complexity_band(nodes: Column, spec: UsageSpec) -> Column:

@@ -70,9 +70,16 @@ def duplicate_notes(results: DataFrame, spec: UsageSpec, listed: int = LISTED) -
     return small.unionByName(large)
 
 
-def mark_duplicates(results: DataFrame, spec: UsageSpec, listed: int = LISTED) -> DataFrame:
-    """Adds the duplicate note behind the row's own notes."""
-    notes = duplicate_notes(results, spec, listed).select("ord", F.col("note").alias("_dup"))
+def mark_duplicates(
+    results: DataFrame, spec: UsageSpec, listed: int = LISTED, submissions: DataFrame | None = None
+) -> DataFrame:
+    """Adds the duplicate note behind the row's own notes.
+
+    Only order, name and link decide what is a duplicate.  Where the ``submissions`` behind the
+    results are at hand the groups are taken from them, so the results are computed once.
+    """
+    rows = results if submissions is None else submissions
+    notes = duplicate_notes(rows, spec, listed).select("ord", F.col("note").alias("_dup"))
     joined = results.join(notes, "ord", "left")
     text = F.btrim(
         F.concat(blank_if_null(F.col("notes")), F.lit("; "), F.col("_dup")), F.lit("; ")

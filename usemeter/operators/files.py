@@ -88,7 +88,12 @@ def file_signals(files: DataFrame, spec: UsageSpec) -> DataFrame:
     text, low = F.col("text"), F.col("low")
     source, manifest = F.col("kind") == "source", F.col("kind") == "manifest"
     definition = F.col("kind") == "definition"
-    calls = F.when(source, F.regexp_count(text, F.lit(spec.call_regex))).otherwise(0)
+    # Plain searches rule out most files before the regex runs.  The three letters fold to
+    # ASCII in a case-insensitive regex but not in lower().
+    may_call = contains_any(low, tuple(t.lower() for t in spec.call_tokens)) | contains_any(
+        text, ("ſ", "İ", "ı")
+    )
+    calls = F.when(source & may_call, F.regexp_count(text, F.lit(spec.call_regex))).otherwise(0)
     caller = (
         source
         & F.contains(low, F.lit(spec.definition_suffix))

@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 BUCKETS = 8192
 
 
-def number_rows(df: DataFrame, order: str, name: str, start: Column | int = 0) -> DataFrame:
+def number_rows(
+    df: DataFrame, order: str, name: str, start: Column | int = 0, bounds: DataFrame | None = None
+) -> DataFrame:
     """Adds ``name`` = start + 1, start + 2, ... by the unique integer column ``order``.
 
+    ``bounds`` is a cheaper table with the same column, whose values enclose those of ``df``.
+
     The value range of ``order`` is cut into at most ``BUCKETS`` ranges.  Rows are numbered
     inside their range and shifted by the rows of the ranges before, which is a table of at
     most ``BUCKETS`` rows, small enough for one window and one broadcast.
     """
-    low = df.agg(F.min(order)).scalar()
-    width = df.agg(
+    bounds = df if bounds is None else bounds
+    low = bounds.agg(F.min(order)).scalar()
+    width = bounds.agg(
         F.floor((F.max(order) - F.min(order)) / F.lit(BUCKETS)) + F.lit(1)
     ).scalar()
     ranged = df.withColumn("_range", F.floor((F.col(order) - low) / width))

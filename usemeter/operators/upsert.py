@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usemeter.config import UsageSpec
@@ -13,7 +13,7 @@ from usemeter.operators.skew import lookup_join
 
 
 def match_rows(sheet: DataFrame, new: DataFrame, spec: UsageSpec) -> DataFrame:
-    """``new`` with ``target``: the sheet row it replaces, or null for a row to append.
+    """``ord, target``: the sheet row each new row replaces, or null for a row to append.
 
     A row is matched by name, otherwise by repo.  The later of two sheet rows owns a key.
     Unnamed sheet rows have no name key.  Both lookups take the largest row number per key,
@@ -29,11 +29,11 @@ def match_rows(sheet: DataFrame, new: DataFrame, spec: UsageSpec) -> DataFrame:
         .groupBy(repo_key(F.col("repo_link"), spec).alias("_repo"))
         .agg(F.max("row_no").alias("_by_repo"))
     )
-    keyed = new.withColumn("_name", name_key(F.col("project_name"))).withColumn(
-        "_repo",
-        F.when(
-            ~repo_missing(F.col("repo_link"), spec), repo_key(F.col("repo_link"), spec)
-        ),
+    repo = F.when(
+        ~repo_missing(F.col("repo_link"), spec), repo_key(F.col("repo_link"), spec)
+    )
+    keyed = new.select(
+        "ord", name_key(F.col("project_name")).alias("_name"), repo.alias("_repo")
     )
     named = lookup_join(keyed, by_name, "_name", spread_by="ord")
     # a row matched by name needs no second lookup and is spread like a row without a key
@@ -42,36 +42,37 @@ def match_rows(sheet: DataFrame, new: DataFrame, spec: UsageSpec) -> DataFrame:
         keyed.where(F.col("_repo").isNotNull()).groupBy("_repo").agg(F.count("*").alias("n"))
     )
     both = lookup_join(open_rows, by_repo, "_repo", spread_by="ord", counts=counts)
-    return both.withColumn("target", F.coalesce("_by_name", "_by_repo")).drop(
-        "_name", "_repo", "_by_name", "_by_repo"
+    return both.select("ord", F.coalesce("_by_name", "_by_repo").alias("target"))
+
+
+def place_rows(sheet: DataFrame, new: DataFrame, spec: UsageSpec) -> tuple[DataFrame, DataFrame]:
+    """Two tables ``ord, row_no``: the rows that replace a sheet row, and the rows appended.
+
+    The last of several results for one sheet row replaces it.  Appended rows are numbered in
+    order behind the sheet, also when they share a name with each other.
+    """
+    matched = match_rows(sheet, new, spec)
+    replacing = (
+        matched.where(F.col("target").isNotNull())
+        .groupBy(F.col("target").alias("row_no"))
+        .agg(F.max("ord").alias("ord"))
+    )
+    top = F.coalesce(sheet.agg(F.max("row_no")).scalar(), F.lit(0))
+    appended = number_rows(
+        matched.where(F.col("target").isNull()).select("ord"), "ord", "row_no", top, bounds=new
     )
+    return replacing.select("ord", "row_no"), appended.select("ord", "row_no")
 
 
 def upsert(sheet: DataFrame, new: DataFrame, spec: UsageSpec) -> DataFrame:
     """The sheet after the upsert: ``row_no`` and the 14 columns.
 
     ``sheet`` has ``row_no``, ``new`` has the unique order ``ord``.  A matched row is replaced
-    whole, blanks included, by its last result; the others are appended in order, also when
-    they share a name with each other.
+    whole, blanks included.  Places are found on narrow rows; the wide new rows are joined once,
+    by their unique order.
     """
     columns = list(spec.sheet_headers)
-    matched = match_rows(sheet, new, spec).select("ord", "target", *columns)
-    last = Window.partitionBy("target").orderBy(F.desc("ord"))
-    updates = (
-        matched.where(F.col("target").isNotNull())
-        .withColumn("_rank", F.row_number().over(last))
-        .where(F.col("_rank") == 1)
-        .select(
-            F.col("target").alias("row_no"), F.lit(True).alias("_hit"),
-            *[F.col(c).alias(f"_{c}") for c in columns],
-        )
-    )
-    kept = sheet.join(updates, "row_no", "left").select(
-        "row_no",
-        *[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns],
-    )
-    top = F.coalesce(sheet.agg(F.max("row_no")).scalar(), F.lit(0))
-    appended = number_rows(
-        matched.where(F.col("target").isNull()), "ord", "row_no", start=top
-    ).select("row_no", *columns)
-    return kept.unionByName(appended)
+    replacing, appended = place_rows(sheet, new, spec)
+    kept = sheet.join(replacing.select("row_no"), "row_no", "left_anti")
+    placed = replacing.unionByName(appended).join(new, "ord")
+    return kept.select("row_no", *columns).unionByName(placed.select("row_no", *columns))

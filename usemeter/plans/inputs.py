@@ -351,3 +351,25 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
             },
         ),
     )
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of a run's progress stream; sign-ups are cut off in the middle."""
+    kind, key = F.col("event_type"), F.col("event_id")
+    payload = F.to_json(
+        F.struct(
+            F.when(key % 3 == 0, "Moderate").otherwise("None").alias("tag"),
+            F.when(key % 5 == 0, "Yes").alias("backbone"),
+        )
+    )
+    line = F.to_json(
+        F.struct(
+            F.col("user_id").cast("string").alias("run_id"), key.alias("seq"),
+            F.when(kind == "error", "error").when(kind == "view", "stage").otherwise("result")
+            .alias("event"),
+            (key % 10).cast("int").alias("idx"), F.lit(10).alias("total"), payload.alias("payload"),
+        )
+    )
+    return table(spark, sf_dir, "events").select(
+        F.when(kind == "signup", F.left(line, F.length(line) - 3)).otherwise(line).alias("value")
+    )

@@ -480,6 +480,13 @@ SELECT ord, route, repo_accessible, route_notes AS notes, route_why AS justifica
 ORACLE["failed_rows"] = f"""WITH {ROUTED}
 SELECT ord, project, names, emails, github, feedback FROM noted WHERE repo_accessible IS NOT TRUE"""
 
+ORACLE["resubmission"] = f"""WITH {ROUTED}
+SELECT project, github, feedback FROM noted WHERE repo_accessible IS NOT TRUE"""
+
+ORACLE["needs_rerun"] = f"""WITH {ROUTED}
+SELECT c_custkey AS customer FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM noted WHERE repo_accessible)"""
+
 ORACLE["default_names"] = """
 SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 4 = 0 THEN 'order ' || o_orderkey
        WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN ' ' ELSE 'Repo' END AS project
@@ -580,6 +587,12 @@ SELECT ord, project, f_tag AS tag, f_backbone AS backbone, f_usage AS license_us
        {colour_case("f_backbone", BACKBONE_COLOURS)} AS backbone_colour
 FROM final"""
 
+ORACLE["result_lines"] = f"""WITH {RESULTS}
+SELECT project, github, f_tag AS tag, f_score AS score, repo_accessible, demo,
+       CASE WHEN f_backbone IN ('Yes', 'Partial') THEN 'license' ELSE 'none' END AS orchestration,
+       CASE f_backbone WHEN 'Yes' THEN 'license' WHEN 'Partial' THEN 'other' ELSE 'none' END AS reasoning
+FROM final"""
+
 UPSERT = r"""
 WITH sheet AS (
   SELECT c_custkey + 2 AS row_no, CASE WHEN c_nationkey = 3 THEN '' ELSE ' Cust  ' || (c_custkey // 2) END AS project_name,
@@ -667,6 +680,13 @@ ORACLE["stream_running_counts"] = """
 SELECT CASE WHEN event_type = 'error' THEN 'None' ELSE event_type END AS tag, count(*) AS n
 FROM events GROUP BY 1"""
 
+ORACLE["stream_results"] = """
+SELECT CASE WHEN failed OR event_id % 3 <> 0 THEN 'None' ELSE 'Moderate' END AS tag,
+       CASE WHEN failed THEN 'No' WHEN event_id % 5 = 0 THEN 'Yes' ELSE '?' END AS backbone,
+       count(*) AS n, count(*) FILTER (WHERE failed) AS failed
+FROM (SELECT *, event_type IN ('error', 'signup') AS failed FROM events WHERE event_type <> 'view')
+GROUP BY 1, 2"""
+
 ORACLE["stream_latest"] = """
 SELECT user_id AS run_id, event_id % 10 AS idx, max(event_id) AS seq,
        arg_max(event_type, event_id) AS event, arg_max(value, event_id) AS value

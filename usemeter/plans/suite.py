@@ -27,7 +27,7 @@ from usemeter.plans import inputs
 from usemeter.plans.inputs import CORPUS_SPEC, MONITOR_SPEC, PAGES_SPEC, SPEC, table
 from usemeter.plans.verification import verify
 from usemeter.session import scratch_dir
-from usemeter.sources import sheets
+from usemeter.sources import sheets, sinks
 from usemeter.streaming import monitor, runs, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -342,6 +342,26 @@ def failed_rows(spark, sf_dir):
     )
 
 
+@query
+def resubmission(spark, sf_dir):
+    """Failed rows written for correction and loaded again as a submission sheet."""
+    out = scratch_dir(spark, "needs-review")
+    sinks.write_needs_review(routed_orders(spark, sf_dir), out)
+    rows = sheets.load_submissions(spark, out, SPEC, columns=16)
+    return rows.select("project", "github", "feedback")
+
+
+@query
+def needs_rerun(spark, sf_dir):
+    """Orders whose customer never got through, by an anti join of the accessible ones."""
+    routed = routed_orders(spark, sf_dir)
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"))
+    through = routed.where("repo_accessible").select(
+        F.regexp_extract("repo_key", "cust([0-9]+)/", 1).try_cast("bigint").alias("customer")
+    ).distinct()  # reduced in each task, so a customer with many orders arrives once per task
+    return customers.join(through, "customer", "left_anti")
+
+
 @query
 def default_names(spark, sf_dir):
     """Live submissions carry only a link and are named after their repo."""
@@ -390,6 +410,20 @@ def public_fields(spark, sf_dir):
     )
 
 
+@query
+def result_lines(spark, sf_dir):
+    """Public fields written as JSON lines and read back."""
+    out = scratch_dir(spark, "lines")
+    sinks.write_ndjson(corpus_results(spark, sf_dir), out, CORPUS_SPEC)
+    ddl = (
+        "project string, github string, tag string, score double, repo_accessible boolean, "
+        "demo string, layers struct<orchestration: string, reasoning: string>"
+    )
+    return spark.read.schema(ddl).json(out).select(
+        "project", "github", "tag", "score", "repo_accessible", "demo", "layers.*"
+    )
+
+
 @query
 def explanation_requests(spark, sf_dir):
     """What is sent out to be explained: read back from the JSON."""
@@ -547,6 +581,19 @@ def stream_running_counts(spark, sf_dir):
     return runs.last_counts(spark, out).select("tag", "n")
 
 
+@query
+def stream_results(spark, sf_dir):
+    """Verification events as JSON lines, some cut off: failed items end as error results."""
+    lines = scratch_dir(spark, "events")
+    inputs.event_lines(spark, sf_dir).write.text(lines)
+    events = runs.route_errors(runs.read_events(spark, lines), SPEC.WORKER_ERROR)
+    ended = events.where("is_result")
+    partials = run_partials(
+        spark, ended, runs.count_batch("tag", "backbone", failed=F.col("failed")), "results"
+    )
+    return runs.merge_counts(partials, "tag", "backbone")
+
+
 @query
 def stream_latest(spark, sf_dir):
     events = event_stream(spark, sf_dir).select(

@@ -28,4 +28,4 @@ def verify(
     """
     prose = first_prose(replies, "ord", spec.caps.attempts, f"{spec.product}_usage")
     results = result_rows(submissions, repo_outcomes(snapshot, spec), prose, spec)
-    return mark_duplicates(results, spec)
+    return mark_duplicates(results, spec, submissions=submissions)
