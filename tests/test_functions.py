@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from usemeter.functions.definitions import parse_definition
 from usemeter.functions.repo import first_link, repo_key, repo_missing, repo_name, repo_owner
-from usemeter.functions.replies import last_object, simple_object
+from usemeter.functions.replies import last_object, simple_object, verdict_object
 from usemeter.functions.text import first_line, header_key, lines, name_key, strip
 
 
@@ -112,3 +112,8 @@ def test_simple_object(spark):
                '{"a": 1} and {"b": 2}']
     assert apply(spark, replies, simple_object) == [
         '{"a": 1}', '{"a": {"b": 1}}', None, None, None, None]
+
+
+def test_verdict_object(spark):
+    replies = ['{"tag": "Less"} {"tag": "None", "n": {}} {"x": 1}', 'say {"x": 1}', "{}x}"]
+    assert apply(spark, replies, verdict_object) == ['{"tag": "None", "n": {}}', '{"x": 1}', None]

@@ -150,6 +150,7 @@ def test_csv_scan(spark, spec, tmp_path):
         ("real � mark é", "github.com/o/t", "", ""),
         ('Say "hi"', "https://github.com/o/r/tree/x", "Zoë\nBob, Ann", ""),
     ]
+    assert len({r.ord for r in rows}) == 4
     limited = load_submissions(spark, str(tmp_path / "a.csv"), spec, limit=1, columns=8).collect()
     assert [r.project for r in limited] == ['Say "hi"']
     assert read_sheets(spark, str(tmp_path / "a.csv"), 8).count() == 3  # the blank row is left out

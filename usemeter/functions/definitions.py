@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from usemeter.config import UsageSpec
 from usemeter.functions.binding import let
 
-DEFINITION_DDL = (
-    "components array<struct<provider: string>>, project_id string, _corrupt string"
+_MEMBER_DDL = (
+    "v struct<components: array<struct<provider: string>>, project_id: string>, _corrupt string"
 )
 METRICS_DDL = (
     "struct<nodes: int, providers: array<string>, has_agent: boolean, has_llm: boolean, "
@@ -31,19 +31,25 @@ def is_single_json_value(text: Column) -> Column:
 
 
 def parse_definition(text: Column) -> Column:
-    """Metrics struct of a definition file; null when the text is not a definition."""
-    parsed = F.from_json(
-        text,
-        DEFINITION_DDL,
+    """Metrics struct of a definition file; null when the text is not a definition.
+
+    The same two readings as in ``is_single_json_value``, the second one with the schema.
+    """
+    as_member = F.from_json(
+        F.concat(F.lit('{"v":'), text, F.lit("}")),
+        _MEMBER_DDL,
         {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_corrupt"},
     )
-    is_object = F.rlike(text, F.lit(r"^\s*\{")) & is_single_json_value(text)
+    alone = F.rlike(text, F.lit(r"^\s*\{")) & (
+        F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    )
     return F.when(
-        is_object,
+        alone,
         let(
-            parsed,
+            as_member,
             lambda d: F.when(
-                d["_corrupt"].isNull(), definition_metrics(d["components"], d["project_id"])
+                d["_corrupt"].isNull(),
+                definition_metrics(d["v"]["components"], d["v"]["project_id"]),
             ),
         ),
     )

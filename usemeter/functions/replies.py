@@ -69,3 +69,8 @@ def last_object(reply: Column, wanted: tuple[str, ...]) -> Column:
         return F.aggregate(marks, start, step, lambda s: s["best"])
 
     return let(F.split(reply, r"(?=[{}])"), scan)
+
+
+def verdict_object(reply: Column) -> Column:
+    """The last balanced object that looks like a verdict, otherwise the simple reading."""
+    return F.coalesce(last_object(reply, VERDICT_KEYS), simple_object(reply))

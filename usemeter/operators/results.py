@@ -189,6 +189,16 @@ def sheet_rows(results: DataFrame, spec: UsageSpec) -> DataFrame:
     return results.select("ord", *[columns[c].alias(c) for c in spec.sheet_headers])
 
 
+def explanation_requests(results: DataFrame, spec: UsageSpec) -> DataFrame:
+    """What is sent out to be explained in prose, one row per evaluated submission."""
+    feedback = blank_if_null(F.col("feedback"))
+    return results.where(F.col("route") == "evaluate").select(
+        "ord", "project", "github",
+        F.when(feedback != "", feedback).otherwise("(none provided)").alias("feedback"),
+        present.explanation_payload(spec).alias("payload"),
+    )
+
+
 def public_rows(results: DataFrame, spec: UsageSpec) -> DataFrame:
     """The fields a reader of the live stream sees, with the layer map."""
     given = F.col("layers") if "layers" in results.columns else None

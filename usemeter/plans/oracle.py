@@ -351,11 +351,6 @@ verdicts AS (
 ORACLE["corpus_verdicts"] = f"""WITH {BREAKDOWN}
 SELECT repo_key, tag, backbone, score, pipelines_called, pipelines_total, breakdown FROM verdicts"""
 
-ORACLE["explanation_requests"] = f"""WITH {BREAKDOWN}
-SELECT repo_key, tag, backbone, score, n_parts AS parts, n_sites AS sites, callsites,
-       array_to_string(other, '|') AS other_platforms
-FROM verdicts WHERE accessible"""
-
 ORACLE["digest"] = f"""WITH {CORPUS},
 picked AS (SELECT * FROM ranked WHERE rk <= CASE kind WHEN 'definition' THEN 12 WHEN 'manifest' THEN 8 ELSE 22 END),
 dep AS (
@@ -505,7 +500,8 @@ prose AS (
 
 ORACLE["reply_objects"] = f"""WITH {REPLIES}
 SELECT ord, attempt, CASE WHEN turn % 4 <> 0 THEN good END AS last_object,
-       CASE WHEN turn % 4 = 3 THEN good END AS simple_object FROM replies"""
+       CASE WHEN turn % 4 = 3 THEN good END AS simple_object,
+       CASE WHEN turn % 4 = 3 THEN good END AS verdict_object FROM replies"""
 
 ORACLE["reply_prose"] = f"WITH {REPLIES} SELECT * FROM prose"
 
@@ -517,7 +513,8 @@ subs AS (
               ELSE 'https://GitHub.com/src' || (c_custkey % 20) || '/r' || ((c_custkey // 20) % 5) || '.git' END AS github,
          CASE WHEN c_nationkey = 7 THEN NULL WHEN c_nationkey = 8 THEN 'https://github.com/solo'
               ELSE 'src' || (c_custkey % 20) || '/r' || ((c_custkey // 20) % 5) END AS repo_key,
-         CASE WHEN c_nationkey = 1 THEN 'www.demo.example/x).' ELSE '' END AS demo, '' AS deployed
+         CASE WHEN c_nationkey = 1 THEN 'www.demo.example/x).' ELSE '' END AS demo, '' AS deployed,
+         c_mktsegment AS feedback
   FROM customer),
 routed AS (SELECT *, {ROUTE} AS route FROM subs LEFT JOIN verdicts USING (repo_key)),
 lines AS (
@@ -587,6 +584,11 @@ SELECT ord, project, f_tag AS tag, f_backbone AS backbone, f_usage AS license_us
        {colour_case("f_backbone", BACKBONE_COLOURS)} AS backbone_colour
 FROM final"""
 
+ORACLE["explanation_requests"] = f"""WITH {RESULTS}
+SELECT ord, project, feedback, tag, backbone, score, n_parts AS parts, n_sites AS sites, callsites,
+       array_to_string(other, '|') AS other_platforms
+FROM routed WHERE route = 'evaluate'"""
+
 ORACLE["result_lines"] = f"""WITH {RESULTS}
 SELECT project, github, f_tag AS tag, f_score AS score, repo_accessible, demo,
        CASE WHEN f_backbone IN ('Yes', 'Partial') THEN 'license' ELSE 'none' END AS orchestration,

@@ -426,18 +426,17 @@ def result_lines(spark, sf_dir):
 
 @query
 def explanation_requests(spark, sf_dir):
-    """What is sent out to be explained: read back from the JSON."""
-    verdicts = evaluate(corpus_evidence(spark, sf_dir), CORPUS_SPEC).where("accessible")
-    sent = verdicts.select("repo_key", present.explanation_payload(CORPUS_SPEC).alias("payload"))
+    """What is sent out to be explained, read back from the JSON."""
+    sent = results.explanation_requests(corpus_results(spark, sf_dir), CORPUS_SPEC)
     ddl = (
         "verdict struct<tag: string, backbone: string, score: double>, "
         "score_breakdown array<struct<points: double>>, "
         "pipelines array<struct<called: boolean, call_sites: array<string>>>, "
         "sdk struct<callsites: bigint>, other_platforms array<string>"
     )
-    p = sent.withColumn("p", F.from_json("payload", ddl)).select("repo_key", "p.*")
+    p = sent.withColumn("p", F.from_json("payload", ddl)).select("ord", "project", "feedback", "p.*")
     return p.select(
-        "repo_key", "verdict.tag", "verdict.backbone", "verdict.score",
+        "ord", "project", "feedback", "verdict.tag", "verdict.backbone", "verdict.score",
         F.size("score_breakdown").cast("bigint").alias("parts"),
         F.aggregate(
             "pipelines", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["call_sites"])
@@ -464,6 +463,7 @@ def reply_objects(spark, sf_dir):
         "ord", *big("attempt"),
         reply_functions.last_object(F.col("reply"), wanted).alias("last_object"),
         reply_functions.simple_object(F.col("reply")).alias("simple_object"),
+        reply_functions.verdict_object(F.col("reply")).alias("verdict_object"),
     )
 
 

@@ -24,17 +24,18 @@ _C1_FROM = "".join(chr(b) for b in _C1)
 _C1_TO = bytes(_C1).decode("cp1252")
 
 
-def _scan(spark: SparkSession, paths, encoding: str, columns: int) -> DataFrame:
+def _scan(spark: SparkSession, paths, encoding: str, columns: int, odd: int = 0) -> DataFrame:
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(columns)])
     raw = spark.read.csv(
         paths, schema=schema, header=False, multiLine=True, quote='"', escape='"',
         encoding=encoding, maxColumns=columns, maxCharsPerColumn=-1,
     )
     cells = F.array(*[blank_if_null(F.col(f"c{i}")) for i in range(columns)])
-    # A multi-line file is read in order by one task, so the id grows within a sheet.
+    # A multi-line file is read in order by one task, so the id grows within a sheet.  The two
+    # scans number apart: one takes the even numbers, the other the odd ones.
     return raw.select(
         F.col("_metadata.file_path").alias("sheet_id"),
-        F.monotonically_increasing_id().alias("row_no"),
+        (F.monotonically_increasing_id() * 2 + odd).alias("row_no"),
         cells.alias("cells"),
     )
 
@@ -60,7 +61,7 @@ def read_sheets(spark: SparkSession, path: str, columns: int = MAX_COLUMNS) -> D
             r.path for r in checked.where(~F.is_valid_utf8("content")).select("path").collect()
         ]
     if broken:
-        ansi = _scan(spark, broken, "ISO-8859-1", columns).withColumn(
+        ansi = _scan(spark, broken, "ISO-8859-1", columns, odd=1).withColumn(
             "cells",
             F.transform("cells", lambda c: F.translate(c, _C1_FROM, _C1_TO)),
         )

@@ -33,15 +33,18 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def route_errors(events: DataFrame, error_text: str) -> DataFrame:
     """Failed items become error results and never stop the run.
 
-    Adds ``is_result``, ``tag``, ``backbone`` and ``notes``.
+    Adds ``is_result``, ``failed``, ``tag``, ``backbone``, ``notes`` and, for the review group,
+    ``repo_accessible`` and ``classify_failed``.
     """
     failed = F.col("_broken").isNotNull() | (F.col("event") == "error")
     ended = F.coalesce(failed | (F.col("event") == "result"), F.lit(False))
-    body = F.from_json("payload", "tag string, backbone string, notes string")
+    body = F.from_json("payload", "tag string, backbone string, notes string, repo_accessible boolean")
     return (
         events.withColumn("failed", F.coalesce(failed, F.lit(False)))
         .withColumn("is_result", ended)
+        .withColumn("classify_failed", F.col("failed"))
         .withColumn("_b", body)
+        .withColumn("repo_accessible", F.when(F.col("failed"), True).otherwise(F.col("_b.repo_accessible")))
         .withColumn("tag", F.when(failed, "None").when(ended, F.coalesce("_b.tag", F.lit("?"))))
         .withColumn(
             "backbone", F.when(failed, "No").when(ended, F.coalesce("_b.backbone", F.lit("?")))
