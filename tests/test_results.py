@@ -136,6 +136,7 @@ def test_sinks_round_trip(spark, spec, results, tmp_path):
     sinks.write_ndjson(results, str(tmp_path / "lines"), spec)
     lines = [json.loads(x) for p in sorted((tmp_path / "lines").glob("part-*"))
              for x in p.read_text(encoding="utf-8").splitlines()]
+    lines.sort(key=lambda x: x["project"])
     assert [x["project"] for x in lines] == [f"P{i}" for i in range(9)]
     assert len(lines[0]) == 24 and lines[5]["repo_accessible"] is None
     sinks.write_sheet(results, str(tmp_path / "sheet"), spec, form="csv")

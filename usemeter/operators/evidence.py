@@ -123,17 +123,6 @@ def gather(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec)
     )
 
 
-def sdk_rollup(signals: DataFrame) -> DataFrame:
-    """SDK activity per repo over all its files with a signal, without a cap on files."""
-    s = F.col("signals")
-    return signals.groupBy("repo_key").agg(
-        F.sum(s["calls"]).alias("callsites"),
-        F.count_if((s["calls"] > 0) | s["imports"]).alias("file_spread"),
-        F.bool_or(s["hosted"]).alias("hosted"),
-        F.bool_or(s["engine"]).alias("engine"),
-    )
-
-
 PIPES_DDL = (
     "array<struct<path: string, metrics: struct<nodes: int, providers: array<string>, "
     "has_agent: boolean, has_llm: boolean, tool_count: int, project_id: string>, "

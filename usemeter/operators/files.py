@@ -83,17 +83,53 @@ def call_lines(text: Column, spec: UsageSpec) -> Column:
     )
 
 
+def sdk_signals(text: Column, low: Column, source: Column, spec: UsageSpec) -> dict[str, Column]:
+    """Client calls, package imports, hosted use and local engine use of one source text.
+
+    Plain searches rule out most files before the regex runs.  The three letters fold to ASCII
+    in a case-insensitive regex but not in lower().
+    """
+    may_call = contains_any(low, tuple(t.lower() for t in spec.call_tokens)) | contains_any(
+        text, ("ſ", "İ", "ı")
+    )
+    calls = F.when(source & may_call, F.regexp_count(text, F.lit(spec.call_regex))).otherwise(0)
+    return {
+        "calls": calls,
+        "imports": source & contains_any(low, spec.import_markers),
+        "hosted": source & contains_any(low, spec.hosted_markers),
+        "engine": source & contains_any(low, spec.engine_markers),
+    }
+
+
+def _classified(files: DataFrame, spec: UsageSpec) -> DataFrame:
+    return (
+        files.select("repo_key", "path", "text", path_kind(F.col("path"), spec).alias("kind"))
+        .where(F.col("kind").isNotNull())
+        .withColumn("low", F.lower("text"))
+    )
+
+
+def sdk_rollup(files: DataFrame, spec: UsageSpec) -> DataFrame:
+    """SDK activity per repo over all its source files, without a cap on files."""
+    signals = sdk_signals(F.col("text"), F.col("low"), F.col("kind") == "source", spec)
+    return (
+        _classified(files, spec)
+        .select("repo_key", *[c.alias(n) for n, c in signals.items()])
+        .groupBy("repo_key")
+        .agg(
+            F.sum("calls").alias("callsites"),
+            F.count_if((F.col("calls") > 0) | F.col("imports")).alias("file_spread"),
+            F.bool_or("hosted").alias("hosted"),
+            F.bool_or("engine").alias("engine"),
+        )
+    )
+
+
 def file_signals(files: DataFrame, spec: UsageSpec) -> DataFrame:
     """One row per file with at least one signal: ``repo_key, path, signals``."""
     text, low = F.col("text"), F.col("low")
     source, manifest = F.col("kind") == "source", F.col("kind") == "manifest"
     definition = F.col("kind") == "definition"
-    # Plain searches rule out most files before the regex runs.  The three letters fold to
-    # ASCII in a case-insensitive regex but not in lower().
-    may_call = contains_any(low, tuple(t.lower() for t in spec.call_tokens)) | contains_any(
-        text, ("ſ", "İ", "ı")
-    )
-    calls = F.when(source & may_call, F.regexp_count(text, F.lit(spec.call_regex))).otherwise(0)
     caller = (
         source
         & F.contains(low, F.lit(spec.definition_suffix))
@@ -105,10 +141,7 @@ def file_signals(files: DataFrame, spec: UsageSpec) -> DataFrame:
         F.when(source | manifest, words_in(low, spec.platforms)).otherwise(
             F.array().cast("array<string>")
         ).alias("platforms"),
-        calls.alias("calls"),
-        (source & contains_any(low, spec.import_markers)).alias("imports"),
-        (source & contains_any(low, spec.hosted_markers)).alias("hosted"),
-        (source & contains_any(low, spec.engine_markers)).alias("engine"),
+        *[c.alias(n) for n, c in sdk_signals(text, low, source, spec).items()],
         F.when(caller, call_lines(text, spec)).otherwise(no_lines).alias("call_lines"),
         F.when(definition, parse_definition(text)).otherwise(
             F.lit(None).cast(METRICS_DDL)
@@ -123,10 +156,5 @@ def file_signals(files: DataFrame, spec: UsageSpec) -> DataFrame:
 
     # The generator keeps the test behind the projection.  As a filter it would be pushed
     # below and every text would be searched twice.
-    return (
-        files.select("repo_key", "path", "text", path_kind(F.col("path"), spec).alias("kind"))
-        .where(F.col("kind").isNotNull())
-        .withColumn("low", F.lower("text"))
-        .select("repo_key", "path", F.explode(F.filter(F.array(signals), says_something))
-                .alias("signals"))
-    )
+    kept = F.explode(F.filter(F.array(signals), says_something))
+    return _classified(files, spec).select("repo_key", "path", kept.alias("signals"))

@@ -93,11 +93,23 @@ def result_rows(
     """One result per submission.
 
     The routes share one projection instead of a union of branches, so the join is made once.
+    Texts about a repo are written before that join, once per repo.
     ``prose(ord, description, usage, justification)`` has at most one row per submission.
     """
     route = F.col("route")
     evaluated = route == "evaluate"
-    joined = attach_outcomes(submissions, outcomes, spec).withColumn(
+    described = outcomes.withColumns(
+        {
+            "_verdict": present.verdict_note(
+                F.col("tag"), F.col("backbone"), F.col("score"), F.col("pipelines_called"),
+                F.col("pipelines_total"),
+            ),
+            "_lines": present.evidence_lines(
+                F.col("pipelines"), F.col("sdk"), F.col("other_platforms"), spec
+            ),
+        }
+    )
+    joined = attach_outcomes(submissions, described, spec).withColumn(
         "route",
         route_expr(F.col("github"), F.col("status"), F.col("tree_status"), spec),
     )
@@ -107,17 +119,13 @@ def result_rows(
     )
     rows = joined.join(written, "ord", "left")
     notes, reasons = route_notes(route, F.col("status"), F.col("tree_status"), spec)
-    verdict = present.verdict_note(
-        F.col("tag"), F.col("backbone"), F.col("score"), F.col("pipelines_called"),
-        F.col("pipelines_total"),
-    )
+    verdict, lines = F.col("_verdict"), F.col("_lines")
     missing = F.col("explain_failed")
 
     def when_evaluated(name: str, otherwise: Column) -> Column:
         return F.when(evaluated, F.col(name)).otherwise(otherwise)
 
     empty = F.array()
-    lines = present.evidence_lines(F.col("pipelines"), F.col("sdk"), F.col("other_platforms"), spec)
     seconds = F.col("seconds") if "seconds" in rows.columns else F.lit(0.0)
     types = dict(rows.dtypes)
     with_flags = rows.withColumn("explain_failed", evaluated & F.col("_written").isNull())

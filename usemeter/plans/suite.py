@@ -18,8 +18,8 @@ from usemeter.functions.repo import first_link, repo_key, repo_missing, repo_nam
 from usemeter.functions.text import header_key, name_key
 from usemeter.operators import digest as digests
 from usemeter.operators import duplicates, reports, results
-from usemeter.operators.evidence import gather, sdk_rollup
-from usemeter.operators.files import file_signals, select_files
+from usemeter.operators.evidence import gather
+from usemeter.operators.files import sdk_rollup, select_files
 from usemeter.operators.replies import first_prose
 from usemeter.operators.upsert import upsert
 from usemeter.operators.verdicts import breakdown_rows, evaluate, score_repos
@@ -149,7 +149,7 @@ def sdk_activity(spark, sf_dir):
         F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
         "text",
     )
-    rolled = sdk_rollup(file_signals(files, CORPUS_SPEC))
+    rolled = sdk_rollup(files, CORPUS_SPEC)
     return (
         docs.select(F.col("source").alias("repo_key")).distinct().join(rolled, "repo_key", "left")
         .select(

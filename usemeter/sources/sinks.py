@@ -10,12 +10,15 @@ from usemeter.operators.results import failed_rows, public_rows, sheet_rows
 
 
 def write_sheet(results: DataFrame, path: str, spec: UsageSpec, form: str = "parquet") -> None:
-    """The 14-column sheet in result order: Parquet with column names, CSV with printed headers."""
-    rows = sheet_rows(results, spec).orderBy("ord")
+    """The 14-column sheet: Parquet with the row order as a column, CSV with printed headers.
+
+    Only the CSV is sorted, as nothing else in it tells the order.
+    """
+    rows = sheet_rows(results, spec)
     if form == "parquet":
         rows.write.parquet(path)
         return
-    rows.select(*[F.col(c).alias(h) for c, h in spec.sheet_headers.items()]).write.csv(
+    rows.orderBy("ord").select(*[F.col(c).alias(h) for c, h in spec.sheet_headers.items()]).write.csv(
         path, header=True, quote='"', escape='"'
     )
 
@@ -32,7 +35,7 @@ def write_needs_review(results: DataFrame, path: str) -> None:
 
 
 def write_ndjson(results: DataFrame, path: str, spec: UsageSpec) -> None:
-    """Public fields, one JSON object per line, nulls kept."""
-    public_rows(results, spec).orderBy("ord").drop("ord").write.option(
+    """Public fields, one JSON object per line, nulls kept, in no particular order."""
+    public_rows(results, spec).drop("ord").write.option(
         "ignoreNullFields", "false"
     ).json(path)
