@@ -11,6 +11,7 @@ from usemeter.operators import reports
 from usemeter.operators.duplicates import duplicate_members, duplicate_notes, mark_duplicates
 from usemeter.operators.replies import first_prose
 from usemeter.operators.results import failed_rows, public_rows, sheet_rows, with_default_project
+from usemeter.plans import verification
 from usemeter.plans.verification import verify
 from usemeter.sources import sinks
 from usemeter.sources.sheets import load_submissions
@@ -191,3 +192,17 @@ def test_drift(spark):
     a = spark.createDataFrame([(1, "Less"), (2, "None")], "k int, tag string")
     b = spark.createDataFrame([(1, "Less"), (2, "Less")], "k int, tag string")
     assert [tuple(r) for r in reports.drift(a, b, "k").collect()] == [(2, "None", "Less")]
+
+
+def test_only_submitted_repos_are_evaluated(spark, spec, submissions, monkeypatch):
+    corpus = {**CORPUS, "own/other": [("src/server.ts", CALLING)]}
+    snapshot = Snapshot(*tables(spark, corpus, CLOSED))
+    few = verification.submitted_only(snapshot, submissions, spec)
+    assert {r.repo_key for r in few.repos.collect()} == {
+        "own/good", "own/plain", "own/gone", "own/half", "own/never"}
+    assert few.files.where("repo_key = 'own/other'").count() == 0
+    monkeypatch.setattr(verification, "MAX_KEYS", 2)
+    many = verification.submitted_only(snapshot, submissions, spec)
+    assert many.files is snapshot.files and many.repos.count() == 5
+    assert {r.repo_key for r in verification.repo_outcomes(many, spec).collect()} == {
+        "own/good", "own/plain", "own/gone", "own/half", "own/never"}

@@ -10,6 +10,7 @@ from usemeter.functions.repo import repo_key, repo_missing
 from usemeter.functions.text import name_key
 from usemeter.operators.numbering import number_rows
 from usemeter.operators.skew import lookup_join
+from usemeter.session import stored
 
 
 def match_rows(sheet: DataFrame, new: DataFrame, spec: UsageSpec) -> DataFrame:
@@ -49,9 +50,10 @@ def place_rows(sheet: DataFrame, new: DataFrame, spec: UsageSpec) -> tuple[DataF
     """Two tables ``ord, row_no``: the rows that replace a sheet row, and the rows appended.
 
     The last of several results for one sheet row replaces it.  Appended rows are numbered in
-    order behind the sheet, also when they share a name with each other.
+    order behind the sheet, also when they share a name with each other.  The matches, two
+    numbers per new row, are needed three times and therefore stored.
     """
-    matched = match_rows(sheet, new, spec)
+    matched = stored(match_rows(sheet, new, spec), "matched")
     replacing = (
         matched.where(F.col("target").isNotNull())
         .groupBy(F.col("target").alias("row_no"))

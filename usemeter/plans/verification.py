@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from usemeter.config import UsageSpec
+from usemeter.functions.repo import repo_key, repo_missing
 from usemeter.operators.duplicates import mark_duplicates
 from usemeter.operators.evidence import gather
 from usemeter.operators.replies import first_prose
@@ -19,13 +21,40 @@ def repo_outcomes(snapshot: Snapshot, spec: UsageSpec) -> DataFrame:
     return snapshot.repos.select("repo_key", "status", "tree_status").join(verdicts, "repo_key")
 
 
+MAX_KEYS, MAX_KEY_BYTES = 200_000, 16 << 20
+
+
+def submitted_only(snapshot: Snapshot, submissions: DataFrame, spec: UsageSpec) -> Snapshot:
+    """The part of a snapshot that the submissions name.
+
+    The keys are counted first.  Up to ``MAX_KEYS`` keys of ``MAX_KEY_BYTES`` together they are
+    broadcast, and trees and texts of other repos are dropped as they are read.  Beyond that most
+    of the snapshot is wanted, and only the repo table is reduced: an unwanted repo then ends at
+    the last join, and no text is shuffled for the sake of the filter.
+    """
+    url = F.col("github")
+    keys = (
+        submissions.where(~repo_missing(url, spec))
+        .select(repo_key(url, spec).alias("repo_key"))
+        .distinct()
+    )
+    size = keys.limit(MAX_KEYS + 1).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("repo_key")), F.lit(0)).alias("b")
+    ).first()
+    if size.n > MAX_KEYS or size.b > MAX_KEY_BYTES:
+        return snapshot._replace(repos=snapshot.repos.join(keys, "repo_key", "left_semi"))
+    wanted = F.broadcast(keys)
+    return Snapshot(*[df.join(wanted, "repo_key", "left_semi") for df in snapshot])
+
+
 def verify(
     submissions: DataFrame, snapshot: Snapshot, replies: DataFrame, spec: UsageSpec
 ) -> DataFrame:
     """Result rows of all submissions, with duplicate repos noted.
 
-    Repos are evaluated once each, however many submissions name them.
+    Repos are evaluated once each, however many submissions name them, and only those.
     """
     prose = first_prose(replies, "ord", spec.caps.attempts, f"{spec.product}_usage")
-    results = result_rows(submissions, repo_outcomes(snapshot, spec), prose, spec)
+    outcomes = repo_outcomes(submitted_only(snapshot, submissions, spec), spec)
+    results = result_rows(submissions, outcomes, prose, spec)
     return mark_duplicates(results, spec, submissions=submissions)

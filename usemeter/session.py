@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _local_root: str | None = None
@@ -42,3 +42,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         _local_root = _local_root or tempfile.mkdtemp(prefix="usemeter-")
         root = _local_root
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the shared folder, for results that several branches need.
+
+    It survives lost executors, cuts the lineage and gives later joins a known size.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
