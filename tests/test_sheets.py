@@ -156,9 +156,26 @@ def test_csv_scan(spark, spec, tmp_path):
     assert read_sheets(spark, str(tmp_path / "a.csv"), 8).count() == 3  # the blank row is left out
 
 
-def test_other_file_types_are_refused(spark):
+def test_unusable_sheets_are_refused(spark, spec, tmp_path):
     with pytest.raises(ValueError, match="unsupported"):
         read_sheets(spark, "/x/a.xlsx")
+    (tmp_path / "blank.csv").write_text(" ,\n\n")
+    with pytest.raises(ValueError, match="no rows"):
+        load_submissions(spark, str(tmp_path / "blank.csv"), spec, columns=4)
+    (tmp_path / "other.csv").write_text("City,Size\nX,1\n")
+    with pytest.raises(ValueError, match="headers seen: .*City"):
+        load_submissions(spark, str(tmp_path / "other.csv"), spec, columns=4)
+    (tmp_path / "fine one.CSV").write_text("Project,Repo\nX,github.com/a/b\n")
+    (tmp_path / "notes.txt").write_text("no sheet")
+    rows = load_submissions(spark, str(tmp_path), spec, columns=4).collect()
+    assert [(r.project, r.sheet_id.endswith("fine%20one.CSV")) for r in rows] == [("X", True)]
+
+
+def test_file_names_with_blanks_and_old_encodings(spark, spec, tmp_path):
+    for name, text in {"a b.csv": "caf\xe9", "c d.csv": "plain"}.items():
+        (tmp_path / name).write_bytes(f"Project,Repo\n{text},github.com/a/b\n".encode("latin-1"))
+    rows = load_submissions(spark, str(tmp_path), spec, columns=4).collect()
+    assert sorted(r.project for r in rows) == ["café", "plain"]
 
 
 def test_profile(spark, spec):

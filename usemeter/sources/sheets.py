@@ -13,6 +13,7 @@ from usemeter.functions.binding import let
 from usemeter.functions.repo import is_repo_link
 from usemeter.functions.text import BLANK_CLASS, any_of, blank_if_null, first_line, header_key, strip
 from usemeter.operators.skew import lookup_join
+from usemeter.session import stored
 
 MAX_COLUMNS = 256
 MIN_SUBSTRING_ALIAS = 5
@@ -24,19 +25,35 @@ _C1_FROM = "".join(chr(b) for b in _C1)
 _C1_TO = bytes(_C1).decode("cp1252")
 
 
-def _scan(spark: SparkSession, paths, encoding: str, columns: int, odd: int = 0) -> DataFrame:
+_FILES = {"pathGlobFilter": "*.[cC][sS][vV]"}
+
+
+def _scan(spark: SparkSession, path: str, encoding: str, columns: int, odd: int = 0) -> DataFrame:
+    """All non-blank rows, cut behind their last filled cell."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(columns)])
-    raw = spark.read.csv(
-        paths, schema=schema, header=False, multiLine=True, quote='"', escape='"',
+    raw = spark.read.options(**_FILES).csv(
+        path, schema=schema, header=False, multiLine=True, quote='"', escape='"',
         encoding=encoding, maxColumns=columns, maxCharsPerColumn=-1,
     )
     cells = F.array(*[blank_if_null(F.col(f"c{i}")) for i in range(columns)])
     # A multi-line file is read in order by one task, so the id grows within a sheet.  The two
     # scans number apart: one takes the even numbers, the other the odd ones.
-    return raw.select(
-        F.col("_metadata.file_path").alias("sheet_id"),
-        (F.monotonically_increasing_id() * 2 + odd).alias("row_no"),
-        cells.alias("cells"),
+    return (
+        raw.select(
+            F.col("_metadata.file_path").alias("sheet_id"),
+            (F.monotonically_increasing_id() * 2 + odd).alias("row_no"),
+            cells.alias("cells"),
+        )
+        .withColumn("_width", _filled_width(F.col("cells")))
+        .where(F.col("_width") > 0)
+        .select("sheet_id", "row_no", F.slice("cells", F.lit(1), F.col("_width")).alias("cells"))
+    )
+
+
+def _filled_width(cells: Column) -> Column:
+    """Position of the last cell with any content, 0 if there is none."""
+    return F.array_max(
+        F.transform(cells, lambda c, i: F.when(strip(c) != "", i + 1).otherwise(0))
     )
 
 
@@ -44,36 +61,35 @@ def read_sheets(spark: SparkSession, path: str, columns: int = MAX_COLUMNS) -> D
     """``sheet_id, row_no, cells`` of all CSV files below ``path``, blank rows left out.
 
     Files are UTF-8 (with or without a byte order mark) or, if that fails anywhere in the
-    file, Windows-1252.  A replacement character in the UTF-8 scan marks a file as suspect;
-    only suspect files are checked byte by byte and read again.  The list of such files is a
-    part of the file listing that the driver holds for any scan.
+    file, Windows-1252.  Multi-line CSV cannot be split, so it is parsed once, one file per task,
+    and stored; everything later reads the stored rows.  A replacement character marks a file as
+    suspect, and only suspect files are checked byte by byte and parsed again.  Their names are
+    a part of the file listing, which the driver holds for any scan.
     """
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix not in ("", ".csv"):
         raise ValueError(f"unsupported sheet type: {suffix} (use .csv)")
-    utf8 = _scan(spark, path, "UTF-8", columns)
-    replaced = F.exists("cells", lambda c: F.contains(c, F.lit("�")))
-    suspects = [r.sheet_id for r in utf8.where(replaced).select("sheet_id").distinct().collect()]
+    rows = stored(_scan(spark, path, "UTF-8", columns), "sheets")
+    replaced = F.exists("cells", lambda c: F.contains(c, F.lit("\ufffd")))
+    suspects = [r.sheet_id for r in rows.where(replaced).select("sheet_id").distinct().collect()]
     broken = []
     if suspects:
-        checked = spark.read.format("binaryFile").load(suspects)
+        source = F.col("_metadata.file_path")  # prunes the listing to the named files
+        checked = spark.read.options(**_FILES).format("binaryFile").load(path)
         broken = [
-            r.path for r in checked.where(~F.is_valid_utf8("content")).select("path").collect()
+            r.sheet_id
+            for r in checked.where(source.isin(suspects))
+            .where(~F.is_valid_utf8("content"))
+            .select(source.alias("sheet_id"))
+            .collect()
         ]
-    if broken:
-        ansi = _scan(spark, broken, "ISO-8859-1", columns, odd=1).withColumn(
-            "cells",
-            F.transform("cells", lambda c: F.translate(c, _C1_FROM, _C1_TO)),
-        )
-        names = F.array(*[F.lit(_file_key(b)) for b in broken])
-        utf8 = utf8.where(
-            ~F.array_contains(names, F.regexp_replace("sheet_id", "^file:/+", "/"))
-        ).unionByName(ansi)
-    return utf8.where(F.exists("cells", lambda c: strip(c) != ""))
-
-
-def _file_key(path: str) -> str:
-    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    if not broken:
+        return rows
+    ansi = _scan(spark, path, "ISO-8859-1", columns, odd=1).where(F.col("sheet_id").isin(broken))
+    decoded = F.transform("cells", lambda c: F.translate(c, _C1_FROM, _C1_TO))
+    return rows.where(~F.col("sheet_id").isin(broken)).unionByName(
+        stored(ansi.withColumn("cells", decoded), "sheets")
+    )
 
 
 def resolve_columns(cells: DataFrame, spec: UsageSpec) -> DataFrame:
@@ -86,10 +102,7 @@ def resolve_columns(cells: DataFrame, spec: UsageSpec) -> DataFrame:
     is a partial aggregate over all its rows.
     """
     caps = spec.caps
-    filled = F.transform(
-        "cells", lambda c, i: F.when(strip(c) != "", i + 1).otherwise(0)
-    )
-    width = cells.groupBy("sheet_id").agg(F.max(F.array_max(filled)).alias("width"))
+    width = cells.groupBy("sheet_id").agg(F.max(_filled_width(F.col("cells"))).alias("width"))
     order = Window.partitionBy("sheet_id").orderBy("row_no")
     head = (
         cells.withColumn("_at", F.row_number().over(order))
@@ -97,10 +110,13 @@ def resolve_columns(cells: DataFrame, spec: UsageSpec) -> DataFrame:
         .groupBy("sheet_id")
         .agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("rows"))
     )
-    trimmed = F.transform("rows", lambda r: F.slice(r["cells"], 1, F.col("width")))
+    blanks = F.array_repeat(F.lit(""), F.col("width"))
+    even = F.transform(
+        "rows", lambda r: F.slice(F.concat(r["cells"], blanks), F.lit(1), F.col("width"))
+    )
     candidates = (
         head.join(width, "sheet_id")
-        .select("sheet_id", "width", "rows", trimmed.alias("texts"))
+        .select("sheet_id", "width", "rows", even.alias("texts"))
         .select(
             "sheet_id", "width", "texts",
             F.posexplode(F.slice("rows", 1, caps.header_rows)).alias("at", "row"),
@@ -264,11 +280,25 @@ def load_submissions(
 ) -> DataFrame:
     """Sheets below ``path`` as submissions, optionally only the first ``limit`` rows."""
     cells = read_sheets(spark, path, columns)
-    rows = canonical_rows(cells, resolve_columns(cells, spec))
+    if cells.isEmpty():
+        raise ValueError(f"no rows found in {path}")
+    mapping = stored(resolve_columns(cells, spec), "columns")
+    if mapping.isEmpty():
+        seen = unresolved_sheets(cells, mapping).first()
+        raise ValueError(f"no repo column and label column found; headers seen: {seen.headers}")
+    rows = canonical_rows(cells, mapping)
     rows = rows.withColumnRenamed("row_no", "ord")
     return rows.orderBy("ord").limit(limit) if limit else rows
 
 
+def unresolved_sheets(cells: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Sheets without a mapping, with their first row: ``sheet_id, headers``."""
+    first = cells.groupBy("sheet_id").agg(F.min(F.struct("row_no", "cells")).alias("r"))
+    return first.join(mapping, "sheet_id", "left_anti").select(
+        "sheet_id", F.filter("r.cells", lambda c: strip(c) != "").alias("headers")
+    )
+
+
 def column_profile(cells: DataFrame, spec: UsageSpec) -> DataFrame:
     """Per sheet and column: filled cells, repo links, links, e-mails, numbers.
 
