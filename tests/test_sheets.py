@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from usemeter.config import FIELDS, HEADER_ALIASES, LABEL_HINTS
 from usemeter.sources.sheets import (
     canonical_rows, column_profile, load_submissions, long_cells, read_sheets, resolve_columns,
 )
@@ -62,44 +63,41 @@ HEADERS = ["Project", "Name", "Team Name", "Title of project", "Github", "Repo",
 CELLS = [LINK.format(1), "a@b.cd", "http://x", "12", "1,000.5", "plain", "", "  "]
 
 
-def claim_plainly(spec, headers, sample):
-    """The rules once more as loops over one sheet."""
-    import re
-
-    from usemeter.config import FIELDS, HEADER_ALIASES, LABEL_HINTS
-
-    normed = [re.sub("[^a-z0-9]", "", h.lower()) for h in headers]
-    found = {}
-
-    def take(field, test):
-        free = (j for j in range(len(headers)) if j not in found.values() and test(j))
-        j = next(free, None)
-        if j is not None:
-            found[field] = j
-
-    for f in FIELDS:
-        take(f, lambda j: normed[j] in HEADER_ALIASES[f])
-    for f in FIELDS:
-        if f not in found:
-            take(f, lambda j: any(len(a) > 4 and a in normed[j] for a in HEADER_ALIASES[f]))
-    is_repo = lambda v: re.search(r"github\.com[/:]+[^/\s]+/[^/\s#?]+", v, re.I)
-    if "github" not in found:
-        hits = [sum(bool(is_repo(r[j])) for r in sample) for j in range(len(headers))]
-        if any(hits) and hits.index(max(hits)) not in found.values():
-            found["github"] = hits.index(max(hits))
-    if "project" not in found and "names" not in found:
-        grades = []
-        for j in range(len(headers)):
-            vals = [r[j].strip() for r in sample if r[j].strip()][:8]
-            usable = j not in found.values() and vals and not any(
-                is_repo(v) or v.startswith("http") or "@" in v for v in vals
-            ) and not all(re.sub(r"[.\-\s,%$]", "", v).isdigit() for v in vals)
-            grades.append(2 * usable if any(h in normed[j] for h in LABEL_HINTS) else 1 * usable)
-        if any(grades):
-            found["project"] = grades.index(max(grades))
-    if "project" not in found and "names" in found:
-        found["project"] = found["names"]
-    return found if {"project", "github"} <= set(found) else None
+def expected_mapping(headers, sample):
+    """All rounds as one list of (field, suitable columns, best first), taken in turn."""
+    columns = range(len(headers))
+    plain = ["".join(c for c in h.lower() if c.isascii() and c.isalnum()) for h in headers]
+    column = [[r[j].strip() for r in sample] for j in columns]
+
+    def repo_links(j):
+        return sum("github.com/own/rep" in v for v in column[j])
+
+    def label_like(j):
+        shown = [v for v in column[j] if v][:8]
+        number = [v.translate(str.maketrans("", "", ".- ,%$")).isdigit() for v in shown]
+        marked = any("@" in v or "://" in v for v in shown)
+        return shown != [] and not marked and not all(number)
+
+    exact = [(f, [j for j in columns if plain[j] in HEADER_ALIASES[f]]) for f in FIELDS]
+    longer = [
+        (f, [j for j in columns if any(len(a) >= 5 and a in plain[j] for a in HEADER_ALIASES[f])])
+        for f in FIELDS
+    ]
+    taken = {}
+    for field, suitable in exact + longer:
+        free = [j for j in suitable if j not in taken.values()]
+        if field not in taken and free:
+            taken[field] = free[0]
+    best = max(columns, key=repo_links)
+    if "github" not in taken and repo_links(best) and best not in taken.values():
+        taken["github"] = best
+    if not {"project", "names"} & set(taken):
+        free = [j for j in columns if j not in taken.values() and label_like(j)]
+        free.sort(key=lambda j: not any(w in plain[j] for w in LABEL_HINTS))
+        taken.update({"project": j for j in free[:1]})
+    if "names" in taken:
+        taken.setdefault("project", taken["names"])
+    return taken if {"project", "github"} <= set(taken) else None
 
 
 def test_random_headers(spark, spec):
@@ -113,7 +111,7 @@ def test_random_headers(spark, spec):
         kinds = [rng.choice(CELLS) for _ in range(width)]
         body = [[k if rng.random() < 0.8 else rng.choice(CELLS) for k in kinds] for _ in range(9)]
         body.append(["z"] * width)  # the sheet is as wide as its rows
-        mapping = claim_plainly(spec, headers, body)
+        mapping = expected_mapping(headers, body)
         if mapping is None:
             continue
         sheets[f"s{n}"], want[f"s{n}"] = [headers, *body], (0, mapping)
