@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from usemeter.functions.binding import let
+
 # Blanks as Unicode defines them plus the four ASCII separators; Java's \s has
 # only the ASCII ones, and trim() only the space.
 BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 BLANK_CLASS = r"\s\x1c-\x1f"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+OTHER_BREAKS = r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+LINE_BREAK = rf"\r\n|\n|{OTHER_BREAKS}"
 
 
 def blank_if_null(c: Column) -> Column:
@@ -37,11 +40,21 @@ def first_line(c: Column) -> Column:
 
 
 def lines(c: Column) -> Column:
-    """All lines of a text; a final line break does not open another line."""
-    body = F.regexp_replace(c, rf"(?:{LINE_BREAK})\z", "")
-    return F.when(blank_if_null(c) == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, LINE_BREAK)
-    )
+    """All lines of a text; a final line break does not open another line.
+
+    Texts with plain line feeds only, nearly all of them, are cut at a literal character, which
+    needs no regex.
+    """
+
+    def without_last_blank(parts: Column) -> Column:
+        return F.when(
+            F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+        ).otherwise(parts)
+
+    text = blank_if_null(c)
+    return F.when(
+        ~F.rlike(text, F.lit(OTHER_BREAKS)), let(F.split(text, "\n"), without_last_blank)
+    ).otherwise(let(F.split(text, LINE_BREAK), without_last_blank))
 
 
 def any_of(conditions: list[Column]) -> Column:

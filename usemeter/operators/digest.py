@@ -68,11 +68,12 @@ def digest(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec)
         files.select("repo_key", "path", "text", path_kind(F.col("path"), spec).alias("kind"))
         .where(source | manifest)
         .withColumn("low", F.lower("text"))
+        .select("repo_key", "path", signals.alias("_s"))
         .select(
             "repo_key", "path",
             F.explode(
                 F.filter(
-                    F.array(signals),
+                    F.array("_s"),
                     lambda s: (F.size(s["dependencies"]) > 0) | (F.size(s["patterns"]) > 0)
                     | (F.size(s["platforms"]) > 0),
                 )

@@ -154,7 +154,11 @@ def file_signals(files: DataFrame, spec: UsageSpec) -> DataFrame:
             | s["hosted"] | s["engine"] | (F.size(s["call_lines"]) > 0) | s["metrics"].isNotNull()
         )
 
-    # The generator keeps the test behind the projection.  As a filter it would be pushed
-    # below and every text would be searched twice.
-    kept = F.explode(F.filter(F.array(signals), says_something))
-    return _classified(files, spec).select("repo_key", "path", kept.alias("signals"))
+    # The generator keeps the test behind the projection, which is compiled as a whole.  As a
+    # filter it would be pushed below and every text would be searched twice.
+    kept = F.explode(F.filter(F.array("s"), says_something))
+    return (
+        _classified(files, spec)
+        .select("repo_key", "path", signals.alias("s"))
+        .select("repo_key", "path", kept.alias("signals"))
+    )
