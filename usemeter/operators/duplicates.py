@@ -70,20 +70,17 @@ def duplicate_notes(results: DataFrame, spec: UsageSpec, listed: int = LISTED) -
     return small.unionByName(large)
 
 
-def mark_duplicates(
-    results: DataFrame, spec: UsageSpec, listed: int = LISTED, submissions: DataFrame | None = None
-) -> DataFrame:
-    """Adds the duplicate note behind the row's own notes.
+def append_note(notes: Column, duplicate: Column) -> Column:
+    """The duplicate note behind the row's own notes; a null note changes nothing."""
+    text = F.btrim(F.concat(blank_if_null(notes), F.lit("; "), duplicate), F.lit("; "))
+    return F.when(duplicate.isNotNull(), text).otherwise(notes)
 
-    Only order, name and link decide what is a duplicate.  Where the ``submissions`` behind the
-    results are at hand the groups are taken from them, so the results are computed once.
-    """
-    rows = results if submissions is None else submissions
-    notes = duplicate_notes(rows, spec, listed).select("ord", F.col("note").alias("_dup"))
-    joined = results.join(notes, "ord", "left")
-    text = F.btrim(
-        F.concat(blank_if_null(F.col("notes")), F.lit("; "), F.col("_dup")), F.lit("; ")
+
+def mark_duplicates(results: DataFrame, spec: UsageSpec, listed: int = LISTED) -> DataFrame:
+    """Result rows with the duplicate note added."""
+    notes = duplicate_notes(results, spec, listed).select("ord", F.col("note").alias("_dup"))
+    return (
+        results.join(notes, "ord", "left")
+        .withColumn("notes", append_note(F.col("notes"), F.col("_dup")))
+        .drop("_dup")
     )
-    return joined.withColumn(
-        "notes", F.when(F.col("_dup").isNotNull(), text).otherwise(F.col("notes"))
-    ).drop("_dup")

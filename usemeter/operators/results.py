@@ -9,6 +9,7 @@ from usemeter.config import FIELDS, UsageSpec
 from usemeter.functions import present
 from usemeter.functions.repo import repo_key, repo_missing, repo_name
 from usemeter.functions.text import blank_if_null, strip
+from usemeter.operators.duplicates import append_note
 from usemeter.operators.skew import lookup_join
 
 PUBLIC_FIELDS = (
@@ -88,13 +89,16 @@ def result_rows(
     submissions: DataFrame,
     outcomes: DataFrame,
     prose: DataFrame,
+    duplicates: DataFrame,
     spec: UsageSpec,
 ) -> DataFrame:
     """One result per submission.
 
     The routes share one projection instead of a union of branches, so the join is made once.
-    Texts about a repo are written before that join, once per repo.
-    ``prose(ord, description, usage, justification)`` has at most one row per submission.
+    Texts about a repo are written before that join, once per repo.  Everything keyed by
+    submission is joined first, while the rows are narrow; the wide verdicts come last and are
+    not shuffled again.  ``prose(ord, description, usage, justification)`` and
+    ``duplicates(ord, note)`` have at most one row per submission.
     """
     route = F.col("route")
     evaluated = route == "evaluate"
@@ -109,15 +113,16 @@ def result_rows(
             ),
         }
     )
-    joined = attach_outcomes(submissions, described, spec).withColumn(
-        "route",
-        route_expr(F.col("github"), F.col("status"), F.col("tree_status"), spec),
-    )
     written = prose.select(
         "ord", F.col("description").alias("_description"), F.col("usage").alias("_usage"),
         F.col("justification").alias("_justification"), F.lit(True).alias("_written"),
     )
-    rows = joined.join(written, "ord", "left")
+    notes_of = duplicates.select("ord", F.col("note").alias("_dup"))
+    narrow = submissions.join(written, "ord", "left").join(notes_of, "ord", "left")
+    rows = attach_outcomes(narrow, described, spec).withColumn(
+        "route",
+        route_expr(F.col("github"), F.col("status"), F.col("tree_status"), spec),
+    )
     notes, reasons = route_notes(route, F.col("status"), F.col("tree_status"), spec)
     verdict, lines = F.col("_verdict"), F.col("_lines")
     missing = F.col("explain_failed")
@@ -152,10 +157,12 @@ def result_rows(
         .when(missing, F.concat(verdict, F.lit(spec.PROSE_MISSING)))
         .otherwise(blank_if_null(F.col("_justification")))
         .alias("justification"),
-        F.when(~evaluated, notes)
-        .when(missing, F.concat(verdict, F.lit(spec.PROSE_PENDING)))
-        .otherwise(verdict)
-        .alias("notes"),
+        append_note(
+            F.when(~evaluated, notes)
+            .when(missing, F.concat(verdict, F.lit(spec.PROSE_PENDING)))
+            .otherwise(verdict),
+            F.col("_dup"),
+        ).alias("notes"),
         F.when(evaluated, lines).otherwise(empty.cast("array<string>")).alias("evidence"),
         F.when(route == "no_repo", 0.0).otherwise(F.coalesce(seconds, F.lit(0.0))).alias("seconds"),
     )

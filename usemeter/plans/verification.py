@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from usemeter.config import UsageSpec
 from usemeter.functions.repo import repo_key, repo_missing
-from usemeter.operators.duplicates import mark_duplicates
+from usemeter.operators.duplicates import duplicate_notes
 from usemeter.operators.evidence import gather
 from usemeter.operators.replies import first_prose
 from usemeter.operators.results import result_rows
@@ -56,5 +56,4 @@ def verify(
     """
     prose = first_prose(replies, "ord", spec.caps.attempts, f"{spec.product}_usage")
     outcomes = repo_outcomes(submitted_only(snapshot, submissions, spec), spec)
-    results = result_rows(submissions, outcomes, prose, spec)
-    return mark_duplicates(results, spec, submissions=submissions)
+    return result_rows(submissions, outcomes, prose, duplicate_notes(submissions, spec), spec)
