@@ -83,6 +83,22 @@ def repeated_chunks(rows: DataFrame, window: int, divisor: int, long_words: int)
     return same.groupBy(*_DOC).agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(start, stop - 1)")))).alias("drop"))
 
 
+def _kept(rows: DataFrame, window: int, divisor: int, long_words: int) -> DataFrame:
+    """``rows`` with ``drop`` (null: nothing), and ``text`` without the lines in it."""
+    drop = repeated_chunks(rows.select(*_DOC, "text"), window, divisor, long_words)
+    kept = F.array_join(F.expr("filter(split(text, '\\n', -1), (line, i) -> not array_contains(drop, i))"), "\n")
+    joined = rows.join(drop, _DOC, "left")
+    return joined.withColumn("kept", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept))
+
+
+def _keyed(docs: DataFrame, text: str, key: str, *others: Column) -> DataFrame:
+    source = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select(
+        F.col(f"`{key}`").isNull().alias("no_id"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0)).alias("id"),
+        F.xxhash64(source).alias("tie"), source.alias("text"), *others,
+    )
+
+
 def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2, long_words: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(doc_id, n_lines, n_removed, text)`` of every row: its text without the chunks found earlier elsewhere.
 
@@ -90,13 +106,17 @@ def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2, lon
     texts come back empty; null ids stand last in the order; rows equal in id and text are one document and
     come back alike; an empty table gives none; other columns are not looked at.  Lines end at line feeds.
     """
-    source = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{key}`").isNull().alias("no_id"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0)).alias("id"), F.xxhash64(source).alias("tie"), source.alias("text"))
-    drop = repeated_chunks(rows, window, divisor, long_words)
-    kept = F.array_join(F.expr("filter(split(text, '\\n', -1), (line, i) -> not array_contains(drop, i))"), "\n")
-    return rows.join(drop, _DOC, "left").select(
+    return _kept(_keyed(docs, text, key), window, divisor, long_words).select(
         F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
         F.size(_lines("text")).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.col("kept").alias("text"),
     )
+
+
+def without_repeats(docs: DataFrame, window: int = 2, divisor: int = 2, long_words: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with all its columns and ``text`` as ``drop_repeated_chunks`` leaves it; null texts stay null."""
+    others = F.struct(F.col(f"`{text}`").isNull().alias("_null"), *(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")
+    kept = _kept(_keyed(docs, text, key, others), window, divisor, long_words)
+    new = F.when(~F.col("row._null"), F.col("kept"))
+    return kept.select(*(new.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))

@@ -147,3 +147,15 @@ def mix_sources(docs: DataFrame, source: str = "source", **options) -> DataFrame
     """``(doc_id, size, source_size, target, taken)`` where each document has one source, as ``mix``."""
     mixed = mix(docs, F.array(F.col(f"`{source}`").cast("string")), **options)
     return mixed.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
+
+
+def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them (the part of the last to the nearest whole).
+
+    Rows without words are not taken; rows equal in id and text are taken equally often.
+    """
+    taken = mix(docs, F.array(F.col(f"`{source}`").cast("string")), text=text, key=key, **options)
+    copies = taken.where("size > 0").groupBy("doc_id", "tie").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("copies")).where("copies > 0")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{key}`").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_tie"))
+    joined = packed.join(copies, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select(*(F.col(f"row.`{c}`") for c in docs.columns))

@@ -9,15 +9,31 @@ from pyspark.sql import functions as F
 
 from usemeter.llm.bpe import vocabulary_path
 from usemeter.llm.common import table
+from usemeter.llm.html_text import extract_main_text
+from usemeter.llm.line_chunks import drop_repeated_chunks
+from usemeter.llm.mixing import mix_sources
+from usemeter.llm.multiprobe import nearest
 from usemeter.llm.ngram_join import jaccard_components
+from usemeter.llm.quality_rules import quality_verdicts
 from usemeter.llm.token_counts import token_counts
 from usemeter.llm.token_files import token_files
+from usemeter.llm.toxicity import toxicity_scores
 from usemeter.llm.tree_bpe import tree_encode
 
 VOCABULARY = "byte_bpe_50k.json"
 END_OF_TEXT = 2
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without multi-line chunks that stand earlier in another place."""
+    return drop_repeated_chunks(table(spark, sf_dir, "documents"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written as patched frame-of-reference files and read back."""
     return token_files(table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY), END_OF_TEXT)
@@ -28,11 +44,32 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=5, num=80, den=100)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of all documents."""
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents without making ids."""
     return token_counts(table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY), limit=1024)
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every twentieth vector, against all others."""
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    scores = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of all documents."""
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents' ids and of their decoding."""
     encoded = tree_encode(table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY))
@@ -41,7 +78,10 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_token_files, op4_ngram_join, op6_token_counts, op10_tree_bpe)
+    for f in (
+        op1_line_dedup, op2_html_extraction, op3_token_files, op4_ngram_join, op5_quality_rules,
+        op6_token_counts, op7_nearest_neighbours, op8_toxicity, op9_source_mixing, op10_tree_bpe,
+    )
 }
 
 #: SQL for DuckDB where it can say the same.

@@ -174,3 +174,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key:
 
     scored = narrow(docs, text, key).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(crc32_of_id() % 3 == 1, F.lit(False)).alias("held_out"), "score")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    model = train(training_rows(docs, labels, text, key))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for batch in batches:
+            scores = model.scores([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()], table)
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
