@@ -67,6 +67,12 @@ class Vocabulary:
         return re.split(f"({self.special.pattern})", text)
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``starts[i] .. starts[i] + lengths[i] - 1`` for all i, end to end."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class _Places(dict):
     """Where a piece is kept; a new one gets the next place."""
 
@@ -84,18 +90,27 @@ class Encoder:
     """Ids of texts, piece by piece; new pieces go to the library in one call.
 
     A key is a piece without the space before it; a text's first piece, which has none, gets one as its mark.
-    At ``limit`` pieces all are forgotten.
+    Beyond ``limit`` pieces the half that was met most often is remembered.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 800_000):
         self.vocabulary, self.limit = Vocabulary(path), limit
-        self._forget()
-
-    def _forget(self) -> None:
         self.places = _Places()
         self.ids = np.zeros(0, np.uint16 if self.vocabulary.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        new = np.full(len(self.uses), -1, np.int64)
+        new[kept] = np.arange(len(kept))
+        self.ids = self.ids[ragged(self.starts[kept], self.lengths[kept])]
+        self.lengths, self.uses = self.lengths[kept], self.uses[kept] // 2
+        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        places = _Places()
+        places.update((piece, at) for piece, at in zip(self.places, new.tolist()) if at >= 0)
+        self.places = places
 
     def _learn(self) -> None:
         new = [p[1:] if p[:1] == " " else " " + p for p in self.places.new]
@@ -103,23 +118,24 @@ class Encoder:
         flat, lengths = self._by_library(new)
         starts = np.cumsum(lengths) - lengths + len(self.ids)
         self.ids, self.starts, self.lengths = np.r_[self.ids, flat], np.r_[self.starts, starts], np.r_[self.lengths, lengths]
+        self.uses = np.r_[self.uses, np.zeros(len(new), np.int32)]
 
-    def _by_library(self, new: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    def _by_library(self, new: list[str], at_once: int = 200) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many short pieces end to end, and how many each has; a special string between them tells them apart."""
         encode, special = self.vocabulary.tokenizer.encode_batch_fast, self.vocabulary.special
         kind = self.ids.dtype
         if not special or any(special.search(p) for p in new):
             found = [e.ids for e in encode(new, add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((i for ids in found for i in ids), kind, int(lengths.sum())), lengths
+            return np.fromiter((i for ids in found for i in ids), kind, int(lengths.sum())), lengths.astype(np.int32)
         mark = self.vocabulary.specials[0]
         mark_id = self.vocabulary.tokenizer.token_to_id(mark)
         joined = [mark.join([*new[i : i + at_once], ""]) for i in range(0, len(new), at_once)]
         ids = np.concatenate([np.array(e.ids, kind) for e in encode(joined, add_special_tokens=False)])
         ends = np.flatnonzero(ids == mark_id)
-        return ids[ids != mark_id], np.diff(np.r_[-1, ends]) - 1
+        return ids[ids != mark_id], (np.diff(np.r_[-1, ends]) - 1).astype(np.int32)
 
-    def encode(self, texts: Iterable[str], at_once: int = 1 << 22) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str], at_once: int = 1 << 20) -> Iterator[np.ndarray]:
         """The ids of each text, in order; about ``at_once`` characters are looked at together."""
         group, size = [], 0
         for text in texts:
@@ -131,7 +147,7 @@ class Encoder:
         if group:
             yield from self._encode(group)
 
-    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.places) > self.limit:
             self._forget()
         at, counts, get = [], [], self.places.__getitem__
@@ -143,10 +159,10 @@ class Encoder:
         if self.places.new:
             self._learn()
         at = np.concatenate(at)
+        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         lengths = self.lengths[at]
         ends = np.cumsum(lengths, dtype=np.int64)
-        ids = self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1])]
-        yield from np.split(ids, ends[np.cumsum(counts)[:-1] - 1])
+        return np.split(self.ids[ragged(self.starts[at], lengths)], ends[np.cumsum(counts)[:-1] - 1])
 
     def encode_one(self, text: str) -> np.ndarray:
         """By the library alone: for texts that will not come again."""
