@@ -3,9 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from usemeter.operators.digest import digest
-from usemeter.operators.evidence import gather
+from usemeter.operators.evidence import call_sites, called_definitions, find, gather
+from usemeter.operators.files import file_signals, longest_base
 
 
 def flow(*providers, **more):
@@ -100,15 +102,41 @@ def test_closed_repos(gathered):
     assert half.fetch_incomplete and half.note == "tree fetch failed (HTTP 409)"
 
 
-def test_caps(spark, spec):
+def test_every_file_counts(spark, spec):
     files = [(f"d{i:02d}.pipe", flow("webhook")) for i in range(14)]
     files += [(f"src/x{i:02d}.py", "client.connect()") for i in range(30)]
-    files += [("src/yy.py", "client.use('d00.pipe')"), ("src/agent.py", "client.use('d01.pipe')")]
+    files += [("src/yy.py", "client.use('d00.pipe')"), ("src/agent.py", "client.use('d13.pipe')")]
     files += [(f"m{i}/package.json", "acme" if i == 8 else "-") for i in range(9)]
     r = gather(*tables(spark, {"c/big": files}), spec).first()
-    assert [p.path for p in r.pipes] == [f"d{i:02d}.pipe" for i in range(12)]
-    assert not r.dependency  # the ninth manifest is not read
-    assert r.sdk.callsites == 28 and [p.called for p in r.pipes][:2] == [False, True]
+    assert [p.path for p in r.pipes] == [f"d{i:02d}.pipe" for i in range(14)]
+    assert r.dependency  # said by the ninth manifest
+    assert r.sdk.callsites == 32 and [i for i, p in enumerate(r.pipes) if p.called] == [0, 13]
+
+
+def test_a_repo_of_many_definitions_and_callers(spark, spec):
+    n = 1500
+    files = [(f"p/d{i:04d}.pipe", flow("agent_x")) for i in range(n)]
+    files += [(f"src/s{i:04d}.py", f"client.use('d{i:04d}.pipe')\nclient.use('D{(i + 1) % n:04d}.PIPE')") for i in range(n)]
+    found = find(*tables(spark, {"c/huge": files}), spec)
+    definitions = called_definitions(found)
+    callers = {r.path: r.caller for r in definitions.collect()}
+    assert callers == {f"p/d{i:04d}.pipe": f"src/s{0 if i < 2 else i - 1:04d}.py" for i in range(n)}
+    assert call_sites(found, definitions).count() == 2 * n
+
+
+def test_a_long_line_sends_little(spark, spec):
+    line = "x" * 2_000_000 + " client.use('main.pipe') " + "y" * 2_000_000
+    repos, tree, files = tables(spark, {"c/min": [("main.pipe", flow("webhook")), ("src/min.js", line)]})
+    told = file_signals(files, spec, longest_base(tree, spec)).where("path = 'src/min.js'")
+    assert told.select(F.length(F.to_json("signals"))).first()[0] < 1000
+    assert gather(repos, tree, files, spec).first().pipes[0].called
+
+
+def test_sites_are_counted_and_the_first_shown(spark, spec):
+    text = "\n".join(["open main.pipe"] * 3 + ["client.use(1)"] * 9 + ["load('main.pipe')"])
+    r = gather(*tables(spark, {"c/s": [("main.pipe", flow("webhook")), ("src/a.py", text)]}), spec).first()
+    assert r.pipes[0].n_sites == 13
+    assert [s.line for s in r.pipes[0].call_sites] == [1, 2, 3, 4, 5, 6]
 
 
 def test_digest(spark, spec):
@@ -122,11 +150,3 @@ def test_digest(spark, spec):
     assert full.other_platforms == ["firebase", "supabase"]
     assert not full.definitions_folder and rows["a/scaffold"].definitions_folder
     assert rows["a/scaffold"].scaffold_only and not rows["a/hosted"].scaffold_only
-
-
-def test_texts_do_not_cross_a_shuffle(spark, spec):
-    df = gather(*tables(spark, CORPUS), spec)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    for line in plan.splitlines():
-        if "Exchange" in line:
-            assert "text#" not in line and "low#" not in line

@@ -6,6 +6,8 @@ import pytest
 from compare import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from usemeter.plans.oracle import ORACLE
+from usemeter.plans.suite import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
@@ -17,12 +19,13 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= queries().items() and ORACLE.items() <= oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    assert compare(spark, con, name, queries()[name], oracle_sql()[name], SF_DIR) is None
+    assert compare(spark, con, name, QUERIES[name], ORACLE[name], SF_DIR) is None
 
 
 def test_entry(spark):

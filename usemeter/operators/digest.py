@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usemeter.config import UsageSpec
 from usemeter.functions.text import lines, strip, words_in
-from usemeter.operators.files import path_kind, select_files, tree_facts
+from usemeter.operators.evidence import open_repos
+from usemeter.operators.files import ordered_files, path_kind, tree_facts
 
 
 def dependency_lines(files: DataFrame, spec: UsageSpec, *keep: str) -> DataFrame:
@@ -47,7 +48,13 @@ def platforms_per_repo(files: DataFrame, spec: UsageSpec) -> DataFrame:
 
 
 def digest(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec) -> DataFrame:
-    """One digest row per repo.  Like the evidence, texts are reduced before the shuffle."""
+    """One digest row per open repo, over all its files.
+
+    The lists show their first entries (``spec.caps``); ``pipe_file_count``, ``dependency_count``
+    and ``signal_count`` count all of them, and ``dependency_lines`` and ``source_patterns`` list
+    them in full.  Entries are ranked in long form, where the rank limit is applied on both sides of
+    the shuffle, so no repo's files are gathered beyond what is shown.
+    """
     kind, low = F.col("kind"), F.col("low")
     source, manifest = kind == "source", kind == "manifest"
     none = F.array().cast("array<string>")
@@ -58,63 +65,69 @@ def digest(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec)
     found_patterns = F.transform(
         words_in(low, spec.source_patterns), lambda p: F.concat(F.col("path"), F.lit(": "), p)
     )
-    signals = F.struct(
-        F.when(manifest & F.contains(low, F.lit(spec.product)), found_lines)
-        .otherwise(none).alias("dependencies"),
-        F.when(source, found_patterns).otherwise(none).alias("patterns"),
-        words_in(low, spec.platforms).alias("platforms"),
-    )
     speaking = (
         files.select("repo_key", "path", "text", path_kind(F.col("path"), spec).alias("kind"))
         .where(source | manifest)
         .withColumn("low", F.lower("text"))
-        .select("repo_key", "path", signals.alias("_s"))
         .select(
             "repo_key", "path",
-            F.explode(
-                F.filter(
-                    F.array("_s"),
-                    lambda s: (F.size(s["dependencies"]) > 0) | (F.size(s["patterns"]) > 0)
-                    | (F.size(s["platforms"]) > 0),
-                )
-            ).alias("s"),
+            F.when(manifest & F.contains(low, F.lit(spec.product)), found_lines)
+            .when(source, found_patterns).otherwise(none).alias("said"),
+            words_in(low, spec.platforms).alias("platforms"),
         )
+        .where((F.size("said") > 0) | (F.size("platforms") > 0))
+    )
+    found = (
+        ordered_files(tree, spec, spec.digest_hint_regex)
+        .join(open_repos(repos), "repo_key", "left_semi")
+        .join(speaking, ["repo_key", "path"], "left")
+    )
+    said = F.when(kind == "definition", F.array("path")).otherwise(F.coalesce("said", none))
+    shown = F.create_map(
+        F.lit("definition"), F.lit(spec.caps.definitions),
+        F.lit("manifest"), F.lit(spec.caps.source_signals),
+        F.lit("source"), F.lit(spec.caps.source_signals),
+    )
+    order = Window.partitionBy("repo_key", "kind").orderBy("place", "n")
+    first = (
+        found.select("repo_key", "kind", "place", F.posexplode(said).alias("n", "entry"))
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= max(spec.caps.definitions, spec.caps.source_signals))
+        .where(F.col("rank") <= F.element_at(shown, F.col("kind")))
+    )
+
+    def shown_of(which: str) -> Column:
+        entries = F.array_sort(
+            F.collect_list(F.when(F.col("kind") == which, F.struct("rank", "entry")))
+        )
+        return F.transform(entries, lambda e: e["entry"])
+
+    lists = first.groupBy("repo_key").agg(
+        shown_of("definition").alias("pipe_files"), shown_of("manifest").alias("dependencies"),
+        shown_of("source").alias("source_signals"),
     )
-    selected = select_files(
-        tree, spec, spec.digest_hint_regex, spec.caps.digest_sources
-    ).join(speaking, ["repo_key", "path"], "left")
-
-    def ordered(when, value):
-        """Lists of the files in rank order, joined into one list."""
-        entries = F.array_sort(F.collect_list(F.when(when, F.struct("rank", value.alias("v")))))
-        return F.flatten(F.transform(entries, lambda e: e["v"]))
-
-    per_repo = selected.groupBy("repo_key").agg(
-        ordered(kind == "definition", F.array("path")).alias("pipe_files"),
-        ordered(manifest & F.col("s").isNotNull(), F.col("s.dependencies")).alias("dependencies"),
-        ordered(source & F.col("s").isNotNull(), F.col("s.patterns")).alias("_signals"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("s.platforms")))).alias(
-            "other_platforms"
-        ),
+    count = lambda which: F.sum(F.when(kind == which, F.size(said)).otherwise(0))
+    counts = found.groupBy("repo_key").agg(
+        count("definition").alias("pipe_file_count"), count("manifest").alias("dependency_count"),
+        count("source").alias("signal_count"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("platforms")))).alias("other_platforms"),
     )
     joined = (
-        repos.where((F.col("status") == 200) & (F.col("tree_status") == 200))
+        repos.join(open_repos(repos), "repo_key", "left_semi")
         .join(tree_facts(tree, spec), "repo_key", "left")
-        .join(per_repo, "repo_key", "left")
+        .join(counts, "repo_key", "left").join(lists, "repo_key", "left")
     )
-    lists = ("pipe_files", "dependencies", "_signals", "other_platforms")
-    full = joined.withColumns({c: F.coalesce(c, none) for c in lists})
-    nothing = (
-        (F.size("dependencies") == 0) & (F.size("pipe_files") == 0) & (F.size("_signals") == 0)
+    filled = joined.withColumns(
+        {c: F.coalesce(c, none) for c in ("pipe_files", "dependencies", "source_signals", "other_platforms")}
+        | {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("pipe_file_count", "dependency_count", "signal_count")}
     )
-    return full.select(
+    nothing = (F.col("pipe_file_count") + F.col("dependency_count") + F.col("signal_count")) == 0
+    return filled.select(
         "repo_key", "default_branch",
         F.coalesce("file_count", F.lit(0)).alias("file_count"),
-        "pipe_files",
+        "pipe_files", "pipe_file_count",
         F.coalesce("definitions_folder", F.lit(False)).alias("definitions_folder"),
-        "dependencies",
-        F.slice("_signals", 1, spec.caps.source_signals).alias("source_signals"),
-        "other_platforms",
+        "dependencies", "dependency_count", "source_signals", "signal_count", "other_platforms",
         (F.coalesce("has_scaffold", F.lit(False)) & nothing).alias("scaffold_only"),
         F.coalesce("tree_truncated", F.lit(False)).alias("tree_truncated"),
     )

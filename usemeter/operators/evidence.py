@@ -2,73 +2,155 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usemeter.config import UsageSpec
-from usemeter.functions.text import strip
-from usemeter.operators.files import base_name, file_signals, select_files, tree_facts
+from usemeter.operators.files import (
+    base_name, file_signals, longest_base, ordered_files, tree_facts,
+)
 
 
-def verified_definitions(definitions: Column, callers: Column, spec: UsageSpec) -> Column:
-    """Adds to each definition whether a source calls it, and where.
+def open_repos(repos: DataFrame) -> DataFrame:
+    """Keys of the repos whose files were listed."""
+    return repos.where("status = 200 and tree_status = 200").select("repo_key")
 
-    The first source in candidate order that names the definition file counts; its lines
-    with the name or a client call are the call sites.  Both arrays are bounded by the
-    selection caps, so the match runs inside the repo's row and emits no pairs.
-    """
 
-    def names(line: Column, base: Column) -> Column:
-        return F.contains(F.lower(line["text"]), base)
+class Found(NamedTuple):
+    """What the files of open repos say, one row per file or per line; nothing is gathered."""
 
-    def with_caller(d: Column) -> Column:
-        base = base_name(d["path"])
-        matching = F.filter(
-            callers, lambda c: F.exists(c["lines"], lambda l: names(l, base))
-        )
-        return F.struct(
-            d["path"].alias("path"), d["metrics"].alias("metrics"), base.alias("base"),
-            F.get(matching, F.lit(0)).alias("caller"),
-        )
+    files: DataFrame  # repo_key, path, kind, place, signals (null: the text says nothing)
+    named: DataFrame  # repo_key, base, path, place, line, snippet, has_call: a line names a base
+    calls: DataFrame  # repo_key, path, line, snippet: a line of a caller calls the client
 
-    def with_sites(d: Column) -> Column:
-        caller = d["caller"]
-        shown = F.slice(
-            F.filter(caller["lines"], lambda l: l["has_call"] | names(l, d["base"])),
-            1, spec.caps.call_sites,
-        )
-        sites = F.transform(
-            shown,
-            lambda l: F.struct(
-                caller["path"].alias("file"), l["line"].alias("line"),
-                F.left(strip(l["text"]), F.lit(spec.caps.snippet_chars)).alias("snippet"),
-            ),
-        )
-        return F.struct(
-            d["path"].alias("path"), d["metrics"].alias("metrics"),
-            caller.isNotNull().alias("called"),
-            F.coalesce(
-                sites, F.array().cast("array<struct<file: string, line: int, snippet: string>>")
-            ).alias("call_sites"),
+
+def find(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec) -> Found:
+    """Every file of every open repo, and the lines that name a definition or call the client.
+
+    A name counts wherever it ends in a line.  As all names end with the definition suffix, each
+    place of the suffix gives one key per name length of the repo, and keys meet names in an
+    equi-join on (repo, name).
+    """
+    reachable = open_repos(repos)
+    signals = file_signals(files, spec, longest_base(tree, spec))
+    found = (
+        ordered_files(tree, spec).join(reachable, "repo_key", "left_semi")
+        .join(signals, ["repo_key", "path"], "left")
+    )
+    bases = found.where("kind = 'definition'").select(
+        "repo_key", base_name(F.col("path")).alias("base")
+    ).distinct()
+    lengths = bases.groupBy("repo_key").agg(
+        F.collect_set(F.char_length("base")).alias("lengths")  # at most the longest name's length
+    )
+    told = (
+        found.where("kind = 'source'")
+        .select("repo_key", "path", "place", F.explode("signals.call_lines").alias("l"))
+        .select("repo_key", "path", "place", "l.*")
+    )
+    keys = F.explode(
+        F.array_distinct(
+            F.flatten(
+                F.transform(
+                    "ends",
+                    lambda e: F.transform(
+                        F.filter("lengths", lambda n: n <= F.char_length(e)),
+                        lambda n: F.right(e, n),
+                    ),
+                )
+            )
         )
+    )
+    named = (
+        told.where(F.size("ends") > 0).join(lengths, "repo_key")
+        .select("repo_key", "path", "place", "line", "snippet", "has_call", keys.alias("base"))
+        .join(bases, ["repo_key", "base"])
+    )
+    calls = told.where("has_call").select("repo_key", "path", "line", "snippet")
+    return Found(found, named, calls)
 
-    return F.transform(F.transform(definitions, with_caller), with_sites)
 
+def called_definitions(found: Found) -> DataFrame:
+    """``repo_key, path, place, base, metrics, caller, caller_place``: caller is null if none.
 
-def gather(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec) -> DataFrame:
-    """Evidence of every repo.
+    The first source in candidate order that names the definition counts.
+    """
+    first = found.named.groupBy("repo_key", "base").agg(
+        F.min(F.struct("place", "path")).alias("first")
+    )
+    return (
+        found.files.where("kind = 'definition'")
+        .select("repo_key", "path", "place", base_name(F.col("path")).alias("base"),
+                F.col("signals.metrics").alias("metrics"))
+        .join(first, ["repo_key", "base"], "left")
+        .select("repo_key", "path", "place", "base", "metrics", F.col("first.path").alias("caller"))
+    )
 
-    ``repos(repo_key, status, tree_status)``, ``tree(repo_key, tree_ord, path)``,
-    ``files(repo_key, path, text)``.  Files are joined on (repo, path), which no single repo
-    can skew, and everything per repo is aggregated from the few selected files.
+
+def call_sites(found: Found, definitions: DataFrame) -> DataFrame:
+    """All call sites: ``repo_key, path, file, line, snippet``, lines of the definition's caller
+    that name it or call the client."""
+    called = definitions.where("caller is not null")
+    naming = called.join(
+        found.named.select("repo_key", "base", F.col("path").alias("caller"), "line", "snippet",
+                           "has_call").where("not has_call"),
+        ["repo_key", "base", "caller"],
+    )
+    calling = called.join(
+        found.calls.withColumnRenamed("path", "caller"), ["repo_key", "caller"]
+    )
+    columns = ("repo_key", "path", F.col("caller").alias("file"), "line", "snippet")
+    return naming.select(*columns).unionByName(calling.select(*columns))
+
+
+def verified_definitions(found: Found, spec: UsageSpec) -> DataFrame:
+    """``repo_key, path, place, metrics, called, n_sites, call_sites``: the sites counted, the first
+    few shown.
+
+    A caller's own lines are counted and its first ones taken once per file, so the number of
+    rows is that of the definitions.
     """
-    s = F.col("signals")
-    selected = select_files(tree, spec).join(
-        file_signals(files, spec), ["repo_key", "path"], "left"
+    shown = spec.caps.call_sites
+    site = F.struct("line", "snippet")
+    first = lambda sites: F.slice(F.array_sort(sites), 1, shown)
+    definitions = called_definitions(found)
+    naming = (
+        found.named.where("not has_call").groupBy("repo_key", "base", F.col("path").alias("caller"))
+        .agg(F.count("*").alias("_n"), first(F.collect_list(site)).alias("_named"))
     )
-    kind = F.col("kind")
-    is_caller = (kind == "source") & (F.size(s["call_lines"]) > 0)
-    per_repo = selected.groupBy("repo_key").agg(
+    calls = F.filter("signals.call_lines", lambda l: l["has_call"])
+    calling = found.files.where("kind = 'source'").select(
+        "repo_key", F.col("path").alias("caller"), F.size(calls).alias("_calls"),
+        F.transform(
+            F.slice(calls, 1, shown),
+            lambda l: F.struct(l["line"].alias("line"), l["snippet"].alias("snippet")),
+        ).alias("_calling"),
+    ).where("_calls > 0")
+    none = F.array().cast("array<struct<line: int, snippet: string>>")
+    sites = first(F.concat(F.coalesce("_named", none), F.coalesce("_calling", none)))
+    return (
+        definitions.join(naming, ["repo_key", "base", "caller"], "left")
+        .join(calling, ["repo_key", "caller"], "left")
+        .select(
+            "repo_key", "path", "place", "metrics", F.col("caller").isNotNull().alias("called"),
+            (F.coalesce("_n", F.lit(0)) + F.coalesce("_calls", F.lit(0))).cast("int").alias("n_sites"),
+            F.transform(
+                sites,
+                lambda s: F.struct(
+                    F.col("caller").alias("file"), s["line"].alias("line"),
+                    s["snippet"].alias("snippet"),
+                ),
+            ).alias("call_sites"),
+        )
+    )
+
+
+def repo_facts(found: Found) -> DataFrame:
+    """Partial aggregates of all files per repo; sets are bounded by the dictionary."""
+    s = F.col("signals")
+    return found.files.groupBy("repo_key").agg(
         F.coalesce(F.bool_or(s["dependency"]), F.lit(False)).alias("dependency"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(s["platforms"])))).alias(
             "other_platforms"
@@ -77,40 +159,46 @@ def gather(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec)
         F.count_if((s["calls"] > 0) | s["imports"]).cast("int").alias("file_spread"),
         F.coalesce(F.bool_or(s["hosted"]), F.lit(False)).alias("hosted"),
         F.coalesce(F.bool_or(s["engine"]), F.lit(False)).alias("engine"),
-        F.array_sort(
-            F.collect_list(
-                F.when(kind == "definition", F.struct("rank", "path", s["metrics"].alias("metrics")))
-            )
-        ).alias("definitions"),
-        F.array_sort(
-            F.collect_list(
-                F.when(is_caller, F.struct("rank", "path", s["call_lines"].alias("lines")))
-            )
-        ).alias("callers"),
+        F.count_if(F.col("kind") == "definition").alias("_definitions"),
     )
-    open_repo = (F.col("status") == 200) & (F.col("tree_status") == 200)
+
+
+def gather(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec) -> DataFrame:
+    """Evidence of every repo, from all files of the open ones.
+
+    ``repos(repo_key, status, tree_status)``, ``tree(repo_key, tree_ord, path)``,
+    ``files(repo_key, path, text)``.  Files are joined on (repo, path), which no single repo
+    can skew.  A repo's row lists its definitions; ``find`` has everything in long form.
+    """
+    found = find(repos, tree, files, spec)
+    pipe = F.struct("path", "metrics", "called", "n_sites", "call_sites")
+    pipes = (
+        verified_definitions(found, spec).groupBy("repo_key")
+        .agg(F.array_sort(F.collect_list(F.struct("place", pipe.alias("p")))).alias("_pipes"))
+        .select("repo_key", F.transform("_pipes", lambda x: x["p"]).alias("pipes"))
+    )
+    is_open = (F.col("status") == 200) & (F.col("tree_status") == 200)
     none = F.array()
+    listed = tree_facts(tree, spec).join(open_repos(repos), "repo_key", "left_semi")
     joined = (
-        repos.join(tree_facts(tree, spec), "repo_key", "left").join(per_repo, "repo_key", "left")
+        repos.join(listed, "repo_key", "left").join(repo_facts(found), "repo_key", "left")
+        .join(pipes, "repo_key", "left")
     )
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))
-    pipes = F.coalesce(
-        verified_definitions(F.col("definitions"), F.col("callers"), spec), none.cast(PIPES_DDL)
-    )
     return joined.select(
         "repo_key",
         (F.col("status") == 200).alias("accessible"),
-        ((F.col("status") == 200) & ~open_repo).alias("fetch_incomplete"),
+        ((F.col("status") == 200) & ~is_open).alias("fetch_incomplete"),
         "status",
         F.when(
-            (F.col("status") == 200) & ~open_repo,
+            (F.col("status") == 200) & ~is_open,
             F.format_string(spec.TREE_NOTE, F.col("tree_status").cast("string")),
         ).alias("note"),
         F.coalesce("file_count", F.lit(0)).alias("file_count"),
         flag("dependency").alias("dependency"),
         (
             flag("has_scaffold") & ~flag("dependency")
-            & (F.coalesce(F.size("definitions"), F.lit(0)) <= 0)
+            & (F.coalesce("_definitions", F.lit(0)) == 0)
         ).alias("scaffold_only"),
         F.coalesce("other_platforms", none.cast("array<string>")).alias("other_platforms"),
         F.struct(
@@ -119,12 +207,13 @@ def gather(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec)
             flag("hosted").alias("hosted"),
             flag("engine").alias("engine"),
         ).alias("sdk"),
-        pipes.alias("pipes"),
+        F.coalesce("pipes", none.cast(PIPES_DDL)).alias("pipes"),
     )
 
 
 PIPES_DDL = (
     "array<struct<path: string, metrics: struct<nodes: int, providers: array<string>, "
     "has_agent: boolean, has_llm: boolean, tool_count: int, project_id: string>, "
-    "called: boolean, call_sites: array<struct<file: string, line: int, snippet: string>>>>"
+    "called: boolean, n_sites: int, "
+    "call_sites: array<struct<file: string, line: int, snippet: string>>>>"
 )

@@ -1,17 +1,21 @@
 """File trees and file texts: which files count, and what each text says.
 
 Texts are the bulk of the data.  Each text is reduced to a few signals inside its scan
-task, and files without any signal stop there; no text column ever crosses a shuffle.
+task, and files without any signal stop there; what leaves a task of a line is its number,
+a snippet, and the few characters before a definition suffix.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usemeter.config import UsageSpec
+from usemeter.functions.binding import let
 from usemeter.functions.definitions import METRICS_DDL, parse_definition
-from usemeter.functions.text import contains_any, lines, words_in
+from usemeter.functions.text import contains_any, lines, strip, words_in
 
 
 def path_kind(path: Column, spec: UsageSpec) -> Column:
@@ -39,47 +43,96 @@ def tree_facts(tree: DataFrame, spec: UsageSpec) -> DataFrame:
     )
 
 
-def select_files(
-    tree: DataFrame, spec: UsageSpec, hint_regex: str | None = None, source_cap: int | None = None
-) -> DataFrame:
-    """The files that count: the first few of each kind, hinted sources before the others.
+def ordered_files(tree: DataFrame, spec: UsageSpec, hint_regex: str | None = None) -> DataFrame:
+    """All classified files with their place among the files of their kind: hinted sources first.
 
+    ``repo_key, path, kind, place``; the place is a struct to be compared, not a number, so no
+    repo's files are gathered to be counted off.
+    """
+    kind = path_kind(F.col("path"), spec)
+    hinted = (F.col("kind") == "source") & F.rlike("path", F.lit(hint_regex or spec.hint_regex))
+    return (
+        tree.select("repo_key", "path", "tree_ord", kind.alias("kind"))
+        .where(F.col("kind").isNotNull())
+        .select(
+            "repo_key", "path", "kind",
+            F.struct((~hinted).alias("unhinted"), "tree_ord", "path").alias("place"),
+        )
+    )
+
+
+def select_files(tree: DataFrame, spec: UsageSpec, caps: dict[str, int] | None = None) -> DataFrame:
+    """The first few files of each kind: ``repo_key, kind, path, rank``, hinted sources first.
+
+    ``caps`` (by kind) is the feature here, by default that of the spec; evidence reads every file.
     The rank limit reaches both sides of the shuffle (WindowGroupLimit), so a repo with
     any number of files sends at most ``cap`` rows per task.
     """
-    caps = {
+    caps = caps or {
         "definition": spec.caps.definitions,
         "manifest": spec.caps.manifests,
-        "source": source_cap or spec.caps.sources,
+        "source": spec.caps.sources,
     }
-    hinted = (F.col("kind") == "source") & F.rlike("path", F.lit(hint_regex or spec.hint_regex))
-    order = Window.partitionBy("repo_key", "kind").orderBy(F.desc("hinted"), "tree_ord", "path")
+    order = Window.partitionBy("repo_key", "kind").orderBy("place")
     cap = F.element_at(
         F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("kind")
     )
     return (
-        tree.select("repo_key", "path", "tree_ord", path_kind(F.col("path"), spec).alias("kind"))
-        .where(F.col("kind").isNotNull())
-        .withColumn("hinted", hinted)
+        ordered_files(tree, spec)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= max(caps.values()))
         .where(F.col("rank") <= cap)
-        .drop("hinted", "tree_ord")
+        .drop("place")
     )
 
 
-def call_lines(text: Column, spec: UsageSpec) -> Column:
-    """Lines that name a definition file or call the client, with 1-based numbers."""
+def longest_base(tree: DataFrame, spec: UsageSpec) -> Column:
+    """Characters of the longest definition file name, one number for all repos."""
+    names = tree.where(path_kind(F.col("path"), spec) == "definition")
+    return F.coalesce(names.agg(F.max(F.char_length(base_name(F.col("path"))))).scalar(), F.lit(0))
+
+
+def call_lines(text: Column, width: Column, spec: UsageSpec) -> Column:
+    """Lines that name a definition file or call the client, with 1-based numbers.
+
+    Of a line stay the call flag, a snippet, and for every definition suffix in it the up to
+    ``width`` characters that end with it: enough to tell which definition is named.
+    """
+    suffix = F.lit(spec.definition_suffix)
+
+    def ends(low: Column) -> Column:
+        parts = F.split(low, re.escape(spec.definition_suffix), -1)
+
+        def step(acc: Column, part: Column) -> Column:
+            return let(
+                F.right(F.concat(acc["tail"], part, suffix), width),
+                lambda tail: F.struct(
+                    tail.alias("tail"), F.array_append(acc["ends"], tail).alias("ends")
+                ),
+            )
+
+        none = F.struct(F.lit("").alias("tail"), F.array().cast("array<string>").alias("ends"))
+        return F.array_distinct(
+            F.aggregate(F.slice(parts, 1, F.size(parts) - 1), none, step, lambda acc: acc["ends"])
+        )
+
     numbered = F.transform(
         lines(text),
-        lambda t, i: F.struct(
-            (i + 1).alias("line"), t.alias("text"),
-            contains_any(F.lower(t), spec.call_strings).alias("has_call"),
-        ),
+        lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.lower(t).alias("low")),
     )
-    return F.filter(
+    telling = F.filter(
         numbered,
-        lambda l: l["has_call"] | F.contains(F.lower(l["text"]), F.lit(spec.definition_suffix)),
+        lambda l: contains_any(l["low"], spec.call_strings) | F.contains(l["low"], suffix),
+    )
+    return F.transform(
+        telling,
+        lambda l: F.struct(
+            l["line"].alias("line"),
+            F.left(strip(l["text"]), F.lit(spec.caps.snippet_chars)).alias("snippet"),
+            contains_any(l["low"], spec.call_strings).alias("has_call"),
+            F.when(F.contains(l["low"], suffix), ends(l["low"]))
+            .otherwise(F.array().cast("array<string>")).alias("ends"),
+        ),
     )
 
 
@@ -125,8 +178,14 @@ def sdk_rollup(files: DataFrame, spec: UsageSpec) -> DataFrame:
     )
 
 
-def file_signals(files: DataFrame, spec: UsageSpec) -> DataFrame:
-    """One row per file with at least one signal: ``repo_key, path, signals``."""
+LINES_DDL = "array<struct<line: int, snippet: string, has_call: boolean, ends: array<string>>>"
+
+
+def file_signals(files: DataFrame, spec: UsageSpec, width: Column) -> DataFrame:
+    """One row per file with at least one signal: ``repo_key, path, signals``.
+
+    ``width`` is the length of the longest definition name that a line may have to show.
+    """
     text, low = F.col("text"), F.col("low")
     source, manifest = F.col("kind") == "source", F.col("kind") == "manifest"
     definition = F.col("kind") == "definition"
@@ -135,14 +194,14 @@ def file_signals(files: DataFrame, spec: UsageSpec) -> DataFrame:
         & F.contains(low, F.lit(spec.definition_suffix))
         & contains_any(low, spec.call_strings)
     )
-    no_lines = F.array().cast("array<struct<line: int, text: string, has_call: boolean>>")
+    no_lines = F.array().cast(LINES_DDL)
     signals = F.struct(
         (manifest & F.contains(low, F.lit(spec.product))).alias("dependency"),
         F.when(source | manifest, words_in(low, spec.platforms)).otherwise(
             F.array().cast("array<string>")
         ).alias("platforms"),
         *[c.alias(n) for n, c in sdk_signals(text, low, source, spec).items()],
-        F.when(caller, call_lines(text, spec)).otherwise(no_lines).alias("call_lines"),
+        F.when(caller, call_lines(text, F.col("_width"), spec)).otherwise(no_lines).alias("call_lines"),
         F.when(definition, parse_definition(text)).otherwise(
             F.lit(None).cast(METRICS_DDL)
         ).alias("metrics"),
@@ -159,6 +218,7 @@ def file_signals(files: DataFrame, spec: UsageSpec) -> DataFrame:
     kept = F.explode(F.filter(F.array("s"), says_something))
     return (
         _classified(files, spec)
+        .withColumn("_width", width)
         .select("repo_key", "path", signals.alias("s"))
         .select("repo_key", "path", kept.alias("signals"))
     )

@@ -228,23 +228,24 @@ repos AS (
          count(*) AS file_count, bool_or(d = 9 AND lang = 'de') AS scaffold,
          bool_or(d < 2) AS folder
   FROM docs GROUP BY 1),
+opened AS (SELECT repo_key FROM repos WHERE status = 200 AND tree_status = 200),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY repo_key, kind
            ORDER BY (kind = 'source' AND lang = 'en') DESC, doc_id) AS rk
-  FROM paths WHERE kind IS NOT NULL),
+  FROM paths SEMI JOIN opened USING (repo_key) WHERE kind IS NOT NULL),
 defs AS (
   SELECT repo_key, rk, path, lower(split_part(path, '/', 3)) AS base, n_chars % 17 <> 0 AS ok,
          CASE WHEN n_chars % 17 <> 0 THEN n_chars % 13 ELSE 0 END AS nodes,
          list_transform(range(1, n_chars % 13 + 1), lambda i: (i + doc_id) % 4) AS p
-  FROM ranked WHERE kind = 'definition' AND rk <= 12),
+  FROM ranked WHERE kind = 'definition'),
 manifests AS (
   SELECT repo_key, bool_or(contains(lower(text), 'license')) AS dependency
-  FROM ranked WHERE kind = 'manifest' AND rk <= 8 GROUP BY 1),
-sources AS (SELECT repo_key, rk, path, text FROM ranked WHERE kind = 'source' AND rk <= 28),
+  FROM ranked WHERE kind = 'manifest' GROUP BY 1),
+sources AS (SELECT repo_key, rk, path, text FROM ranked WHERE kind = 'source'),
 platforms AS (
   SELECT repo_key, list(DISTINCT p ORDER BY p) AS other
   FROM (SELECT repo_key, text FROM sources
-        UNION ALL SELECT repo_key, text FROM ranked WHERE kind = 'manifest' AND rk <= 8) t
+        UNION ALL SELECT repo_key, text FROM ranked WHERE kind = 'manifest') t
   JOIN {WORDS} ON contains(lower(text), p) GROUP BY 1),
 sdk AS (
   SELECT repo_key, sum(calls)::BIGINT AS callsites,
@@ -267,8 +268,7 @@ site_lines AS (
 sites AS (
   SELECT *, left(trim(raw, {STRIP_CHARS}), 110) AS snippet FROM (
     SELECT *, row_number() OVER (PARTITION BY repo_key, rk ORDER BY line) AS n FROM site_lines
-    WHERE contains(lower(raw), base) OR {any_contains("lower(raw)", S.call_strings)})
-  WHERE n <= 6),
+    WHERE contains(lower(raw), base) OR {any_contains("lower(raw)", S.call_strings)})),
 site_lists AS (
   SELECT repo_key, rk, count(*) AS n_sites, min(file) AS file,
          string_agg(file || ':' || line, '; ' ORDER BY n) FILTER (WHERE n <= 3) AS shown
@@ -283,8 +283,9 @@ evidence AS (
   SELECT repo_key, status = 200 AS accessible, status = 200 AND tree_status <> 200 AS fetch_incomplete,
          status, CASE WHEN status = 200 AND tree_status <> 200
                       THEN 'tree fetch failed (HTTP ' || tree_status || ')' END AS note,
-         file_count, coalesce(dependency, false) AS dependency,
-         scaffold AND NOT coalesce(dependency, false)
+         CASE WHEN repo_key IN (FROM opened) THEN file_count ELSE 0 END AS file_count,
+         coalesce(dependency, false) AS dependency,
+         scaffold AND repo_key IN (FROM opened) AND NOT coalesce(dependency, false)
            AND repo_key NOT IN (SELECT repo_key FROM defs) AS scaffold_only,
          coalesce(other, []) AS other, coalesce(callsites, 0) AS callsites,
          coalesce(spread, 0) AS spread, coalesce(hosted, false) AS hosted,
@@ -300,7 +301,7 @@ SELECT repo_key, accessible, fetch_incomplete, status::BIGINT AS status, note, f
 FROM evidence"""
 
 ORACLE["call_verification"] = f"""WITH {CORPUS}
-SELECT repo_key, path, called, file AS caller, n_sites AS sites FROM pipes"""
+SELECT repo_key, path, called, file AS caller, n_sites FROM pipes"""
 
 ORACLE["call_sites"] = f"""WITH {CORPUS}
 SELECT repo_key, path, file, line, snippet FROM sites"""
@@ -330,7 +331,7 @@ summed AS (
   FROM parts GROUP BY 1),
 counted AS (
   SELECT repo_key, count(*) AS total, count(*) FILTER (WHERE called) AS ncalled,
-         bool_or(called AND (has_agent OR has_llm)) AS runs, sum(n_sites)::BIGINT AS n_sites
+         bool_or(called AND (has_agent OR has_llm)) AS runs, sum(least(n_sites, 6))::BIGINT AS n_sites
   FROM pipes GROUP BY 1),
 scored AS (
   SELECT e.*, CASE WHEN accessible THEN greatest(0.0::DOUBLE, coalesce(points, 0.0::DOUBLE)) ELSE 0.0::DOUBLE END AS score,
@@ -352,24 +353,28 @@ ORACLE["corpus_verdicts"] = f"""WITH {BREAKDOWN}
 SELECT repo_key, tag, backbone, score, pipelines_called, pipelines_total, breakdown FROM verdicts"""
 
 ORACLE["digest"] = f"""WITH {CORPUS},
-picked AS (SELECT * FROM ranked WHERE rk <= CASE kind WHEN 'definition' THEN 12 WHEN 'manifest' THEN 8 ELSE 22 END),
 dep AS (
-  SELECT repo_key, string_agg(path || ': ' || trim(raw, {STRIP_CHARS}), '|' ORDER BY rk, line) AS hits
-  FROM (SELECT repo_key, rk, path, unnest(string_split(text, chr(10))) AS raw,
-               unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line
-        FROM picked WHERE kind = 'manifest')
-  WHERE contains(lower(raw), 'license') GROUP BY 1),
+  SELECT repo_key, count(*) AS n, string_agg(hit, '|' ORDER BY nth) FILTER (WHERE nth <= 20) AS hits
+  FROM (SELECT repo_key, path || ': ' || trim(raw, {STRIP_CHARS}) AS hit,
+               row_number() OVER (PARTITION BY repo_key ORDER BY rk, line) AS nth
+        FROM (SELECT repo_key, rk, path, unnest(string_split(text, chr(10))) AS raw,
+                     unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line
+              FROM ranked WHERE kind = 'manifest')
+        WHERE contains(lower(raw), 'license')) GROUP BY 1),
 sig AS (
-  SELECT repo_key, string_agg(path || ': ' || pattern, '|' ORDER BY n) AS hits FROM (
-    SELECT repo_key, path, pattern, row_number() OVER (PARTITION BY repo_key ORDER BY rk, pattern_no) AS n
-    FROM picked JOIN {PATTERNS} ON kind = 'source' AND contains(lower(text), pattern)) WHERE n <= 20
+  SELECT repo_key, count(*) AS n, string_agg(path || ': ' || pattern, '|' ORDER BY nth) FILTER (WHERE nth <= 20) AS hits
+  FROM (SELECT repo_key, path, pattern, row_number() OVER (PARTITION BY repo_key ORDER BY rk, pattern_no) AS nth
+        FROM ranked JOIN {PATTERNS} ON kind = 'source' AND contains(lower(text), pattern))
   GROUP BY 1),
 plat AS (SELECT repo_key, string_agg(DISTINCT p, '|' ORDER BY p) AS other
-         FROM picked JOIN {WORDS} ON kind <> 'definition' AND contains(lower(text), p) GROUP BY 1),
-pf AS (SELECT repo_key, string_agg(path, '|' ORDER BY rk) AS files FROM picked WHERE kind = 'definition' GROUP BY 1)
+         FROM ranked JOIN {WORDS} ON kind <> 'definition' AND contains(lower(text), p) GROUP BY 1),
+pf AS (SELECT repo_key, count(*) AS n, string_agg(path, '|' ORDER BY rk) FILTER (WHERE rk <= 12) AS files
+       FROM ranked WHERE kind = 'definition' GROUP BY 1)
 SELECT repo_key, 'main' AS default_branch, file_count, coalesce(files, '') AS pipe_files,
-       folder AS definitions_folder, coalesce(dep.hits, '') AS dependencies,
-       coalesce(sig.hits, '') AS source_signals, coalesce(other, '') AS other_platforms,
+       coalesce(pf.n, 0) AS pipe_file_count, folder AS definitions_folder,
+       coalesce(dep.hits, '') AS dependencies, coalesce(dep.n, 0) AS dependency_count,
+       coalesce(sig.hits, '') AS source_signals, coalesce(sig.n, 0) AS signal_count,
+       coalesce(other, '') AS other_platforms,
        scaffold AND dep.hits IS NULL AND sig.hits IS NULL AND files IS NULL AS scaffold_only,
        truncated AS tree_truncated
 FROM repos LEFT JOIN dep USING (repo_key) LEFT JOIN sig USING (repo_key)

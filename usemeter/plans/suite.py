@@ -18,6 +18,7 @@ from usemeter.functions.repo import first_link, repo_key, repo_missing, repo_nam
 from usemeter.functions.text import header_key, name_key
 from usemeter.operators import digest as digests
 from usemeter.operators import duplicates, reports, results
+from usemeter.operators import evidence
 from usemeter.operators.evidence import gather
 from usemeter.operators.files import sdk_rollup, select_files
 from usemeter.operators.replies import first_prose
@@ -214,16 +215,16 @@ def call_verification(spark, sf_dir):
     pipes = corpus_evidence(spark, sf_dir).select("repo_key", F.inline("pipes"))
     return pipes.select(
         "repo_key", "path", "called", F.get("call_sites", F.lit(0))["file"].alias("caller"),
-        F.size("call_sites").cast("bigint").alias("sites"),
+        *big("n_sites"),
     )
 
 
 @query
 def call_sites(spark, sf_dir):
-    pipes = corpus_evidence(spark, sf_dir).select("repo_key", F.inline("pipes"))
-    return pipes.select("repo_key", "path", F.inline("call_sites")).select(
-        "repo_key", "path", "file", *big("line"), "snippet"
-    )
+    """Every call site of every definition, in long form."""
+    found = evidence.find(*inputs.corpus(spark, sf_dir), CORPUS_SPEC)
+    sites = evidence.call_sites(found, evidence.called_definitions(found))
+    return sites.select("repo_key", "path", "file", *big("line"), "snippet")
 
 
 @query
@@ -243,9 +244,10 @@ def corpus_verdicts(spark, sf_dir):
 @query
 def digest(spark, sf_dir):
     return digests.digest(*inputs.corpus(spark, sf_dir), CORPUS_SPEC).select(
-        "repo_key", "default_branch", *big("file_count"), joined("pipe_files"),
-        "definitions_folder", joined("dependencies"), joined("source_signals"),
-        joined("other_platforms"), "scaffold_only", "tree_truncated",
+        "repo_key", "default_branch", *big("file_count"), joined("pipe_files"), "pipe_file_count",
+        "definitions_folder", joined("dependencies"), "dependency_count",
+        joined("source_signals"), "signal_count", joined("other_platforms"), "scaffold_only",
+        "tree_truncated",
     )
 
 
