@@ -21,7 +21,7 @@ def test_full_run_and_merge(spark, spec, tmp_path):
     assert {(r.facet, r.value): r.n for r in summary.collect()} == {
         ("tag", "Significant"): 1, ("tag", "None"): 2, ("backbone", "Yes"): 1, ("backbone", "No"): 2,
         ("review_group", "Yes"): 1, ("review_group", "review"): 2}
-    before = spark.read.parquet(f"{first}/sheet").orderBy("ord").collect()
+    before = spark.read.parquet(f"{first}/sheet").orderBy("row_no").collect()
     assert [r.project_name for r in before] == ["One", "Two", "Three"]
 
     # the file of failed rows is corrected and run again
@@ -32,11 +32,11 @@ def test_full_run_and_merge(spark, spec, tmp_path):
     (fixed / "b.csv").write_text(text + "Four,,,github.com/own/plain,\n", encoding="utf-8")
     second = str(tmp_path / "second")
     run(spark, spec, str(fixed), snapshot, second, merge=f"{first}/sheet")
-    after = spark.read.parquet(f"{second}/sheet").orderBy("ord").collect()
+    after = spark.read.parquet(f"{second}/sheet").orderBy("row_no").collect()
     assert [(r.project_name, r.repo_link, r.usage_tag) for r in after] == [
         ("One", "https://github.com/own/good", "Significant"),
         ("Two", "github.com/own/plain", "None"), ("Three", "n/a", "None"),
         ("Four", "github.com/own/plain", "None")]
-    assert after[1].notes.endswith("duplicate repo (same as: Four)")
+    assert after[1].notes.endswith("duplicate repo (2 rows share own/plain)")
     limited = run(spark, spec, str(sheets), snapshot, str(tmp_path / "third"), limit=1)
     assert limited.where("facet = 'tag'").collect()[0].n == 1

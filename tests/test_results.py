@@ -85,11 +85,11 @@ def test_verdict_and_prose(by_ord):
     assert (r.tag, r.backbone, r.score) == ("Significant", "Yes", 5.0)
     assert (r.description, r.usage, r.justification, r.explain_failed) == ("d", "u", "j", False)
     note = "Deterministic score 5.0 -> Significant / backbone Yes; 1/1 pipeline(s) called."
-    assert r.notes == note + "; duplicate repo (same as: P1)"
+    assert r.notes == note + "; duplicate repo (2 rows share own/good)"
     # no reply: the verdict stands
     assert by_ord[1].explain_failed and by_ord[1].justification.startswith(note + " (Plain-English")
     assert by_ord[1].notes == (
-        note + " [explanation pending — cloud classifier unreachable]; duplicate repo (same as: P0)")
+        note + " [explanation pending — cloud classifier unreachable]; duplicate repo (2 rows share own/good)")
     assert by_ord[8].explain_failed  # the fourth attempt does not count
     assert by_ord[0].evidence == [
         "main.pipe — 2 nodes (low), agent — CALLED @ src/server.ts:1; src/server.ts:3; src/server.ts:4",
@@ -156,36 +156,24 @@ def test_default_project(spark, spec):
 # --- duplicates --------------------------------------------------------------------------
 
 
-def plain_notes(rows):
-    """Straightforward grouping in Python."""
-    groups = {}
-    for o, project, url in rows:
-        if "github.com" in url.lower():
-            groups.setdefault(url.lower().removesuffix(".git"), []).append((o, project))
-    return {
-        o: f"duplicate repo (same as: {', '.join(n for _, n in g if n != p)})"
-        for g in groups.values() if len(g) > 1 for o, p in g
-    }
-
-
-@pytest.mark.parametrize("listed", [1000, 3])
-def test_duplicates_with_a_hot_repo(spark, spec, listed):
+def test_duplicates_of_any_size_have_one_form(spark, spec):
     rows = [(i, f"n{i % 5}", "https://github.com/hot/one" if i % 3 == 0 else
              f"https://github.com/o/r{i // 4}" if i % 3 == 1 else "none") for i in range(600)]
     df = spark.createDataFrame(rows, "ord bigint, project string, github string")
-    want = plain_notes(rows)
-    got = {r.ord: (r.n, r.note) for r in duplicate_notes(df, spec, listed).collect()}
-    assert got.keys() == want.keys()
-    for o, (n, note) in got.items():
-        assert note == (want[o] if n <= listed else f"duplicate repo ({n} rows share hot/one)")
+    groups = {}
+    for o, _, url in rows:
+        if "github.com" in url:
+            groups.setdefault(url.removeprefix("https://github.com/"), []).append(o)
+    want = {o: (len(g), f"duplicate repo ({len(g)} rows share {k})") for k, g in groups.items() if len(g) > 1 for o in g}
+    assert {r.ord: (r.n, r.note) for r in duplicate_notes(df, spec).collect()} == want
     assert duplicate_members(df, spec).where("repo_key = 'hot/one'").count() == 200
 
 
-def test_same_names_leave_each_other_out(spark, spec):
+def test_notes_join_the_rows_own(spark, spec):
     rows = [(1, "a", "github.com/o/r", ""), (2, "a", "github.com/O/R.git", "seen")]
     df = spark.createDataFrame(rows, "ord bigint, project string, github string, notes string")
     notes = {r.ord: r.notes for r in mark_duplicates(df, spec).collect()}
-    assert notes == {1: "duplicate repo (same as: )", 2: "seen; duplicate repo (same as: )"}
+    assert notes == {1: "duplicate repo (2 rows share o/r)", 2: "seen; duplicate repo (2 rows share o/r)"}
 
 
 def test_drift(spark):
@@ -194,15 +182,10 @@ def test_drift(spark):
     assert [tuple(r) for r in reports.drift(a, b, "k").collect()] == [(2, "None", "Less")]
 
 
-def test_only_submitted_repos_are_evaluated(spark, spec, submissions, monkeypatch):
+def test_only_submitted_repos_are_evaluated(spark, spec, submissions):
     corpus = {**CORPUS, "own/other": [("src/server.ts", CALLING)]}
     snapshot = Snapshot(*tables(spark, corpus, CLOSED))
     few = verification.submitted_only(snapshot, submissions, spec)
-    assert {r.repo_key for r in few.repos.collect()} == {
-        "own/good", "own/plain", "own/gone", "own/half", "own/never"}
-    assert few.files.where("repo_key = 'own/other'").count() == 0
-    monkeypatch.setattr(verification, "MAX_KEYS", 2)
-    many = verification.submitted_only(snapshot, submissions, spec)
-    assert many.files is snapshot.files and many.repos.count() == 5
-    assert {r.repo_key for r in verification.repo_outcomes(many, spec).collect()} == {
-        "own/good", "own/plain", "own/gone", "own/half", "own/never"}
+    named = {"own/good", "own/plain", "own/gone", "own/half", "own/never"}
+    assert {r.repo_key for r in few.repos.collect()} == named
+    assert {r.repo_key for r in verification.repo_outcomes(few, spec).collect()} == named

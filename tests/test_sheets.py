@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from usemeter.config import FIELDS, HEADER_ALIASES, LABEL_HINTS
 from usemeter.sources.sheets import (
     canonical_rows, column_profile, load_submissions, long_cells, read_sheets, resolve_columns,
+    unusable_sheets,
 )
 
 LINK = "https://github.com/own/rep{}"
@@ -165,10 +166,40 @@ def test_unusable_sheets_are_refused(spark, spec, tmp_path):
         load_submissions(spark, str(tmp_path / "other.csv"), spec, columns=4)
     (tmp_path / "fine one.CSV").write_text("Project,Repo\nX,github.com/a/b\n")
     (tmp_path / "notes.txt").write_text("no sheet")
-    rows = load_submissions(spark, str(tmp_path), spec, columns=4).collect()
+    (tmp_path / "wide.csv").write_text("Project,Repo" + ",x" * 300 + "\nW,github.com/a/w" + ",1" * 300 + "\n")
+    for name in ("other.csv", "notes.txt", "wide.csv"):
+        with pytest.raises(ValueError, match=name):
+            load_submissions(spark, str(tmp_path), spec, columns=4)
+    rows = load_submissions(spark, str(tmp_path), spec, columns=4, skip_unusable=True).collect()
+    cells = read_sheets(spark, str(tmp_path), 4)
+    reasons = unusable_sheets(spark, str(tmp_path), cells, resolve_columns(cells, spec), 4).collect()
+    assert {r.sheet_id.rpartition("/")[2]: r.reason.partition(";")[0] for r in reasons} == {
+        "other.csv": "no repo column and label column found", "notes.txt": "not a CSV file",
+        "wide.csv": "more than 4 columns"}
+    wide = load_submissions(spark, str(tmp_path / "wide.csv"), spec, columns=400).collect()
+    assert [r.project for r in wide] == ["W"]
     assert [(r.project, r.sheet_id.endswith("fine%20one.CSV")) for r in rows] == [("X", True)]
 
 
+def test_row_keys_are_the_same_in_every_run(spark, spec, tmp_path):
+    for name, n in (("b", 40), ("a", 3), ("c", 25)):
+        rows = "".join(f"{name}{i},github.com/o/{name}{i}\n" + ("\n" if i % 7 == 0 else "") for i in range(n))
+        (tmp_path / f"{name}.csv").write_text("Project,Repo\n" + rows)
+    keys = lambda **kw: {r.project: r.ord for r in load_submissions(spark, str(tmp_path), spec, columns=4, **kw).collect()}
+    first = keys()
+    assert len(first) == 68 and sorted(first, key=first.get)[:4] == ["a0", "a1", "a2", "b0"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert keys() == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "aa.csv").write_bytes("Project,Repo\nCaf\xe9,github.com/o/x\n".encode("latin-1"))
+    assert {k: v for k, v in keys().items() if k != "Café"} == first
+    assert set(keys(limit=5)) == {"a0", "a1", "a2", "Café", "b0"}
+
+
 def test_file_names_with_blanks_and_old_encodings(spark, spec, tmp_path):
     for name, text in {"a b.csv": "caf\xe9", "c d.csv": "plain"}.items():
         (tmp_path / name).write_bytes(f"Project,Repo\n{text},github.com/a/b\n".encode("latin-1"))

@@ -89,6 +89,20 @@ def test_hot_keys_are_spread(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_clustered_orders_are_numbered_in_even_tasks(spark):
+    """Most rows in one narrow range of values, a few far away: no range holds much more than others."""
+    ids = spark.range(100_000).select((F.col("id") + F.lit(7 << 34)).alias("o")).union(
+        spark.range(300).where("id <> 7").select(F.shiftleft("id", 34).alias("o")))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = number_rows(ids, "o", "n")
+        assert got.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (1, 100_299, 100_299)
+        sizes = [r["count"] for r in ids.repartitionByRange(16, "o").groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 4 * 100_299 / 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_number_rows_is_dense_and_ordered(spark):
     ids = random.Random(1).sample(range(-10**9, 10**9), 5000) + [5 * 10**9]
     df = spark.createDataFrame([(i,) for i in ids], "o bigint")

@@ -35,9 +35,8 @@ def run(
     verify(rows, read_snapshot(spark, snapshot), given, spec).write.parquet(f"{out}/results")
     results = spark.read.parquet(f"{out}/results")
     if merge:
-        standing = spark.read.parquet(merge).withColumnRenamed("ord", "row_no")
-        merged = upsert(standing, sheet_rows(results, spec), spec)
-        merged.withColumnRenamed("row_no", "ord").write.parquet(f"{out}/sheet")
+        merged = upsert(spark.read.parquet(merge), sheet_rows(results, spec), spec)
+        merged.write.parquet(f"{out}/sheet")
     else:
         sinks.write_sheet(results, f"{out}/sheet", spec)
         if not failed_rows(results).isEmpty():

@@ -33,8 +33,6 @@ PLATFORMS = (
 )
 COMPETING_RUNTIMES = ("langchain", "crewai")
 
-PLACEHOLDERS = ("", "na", "n/a", "none", "nil", "-", "tbd")
-
 FIELDS = ("project", "names", "emails", "github", "feedback", "demo", "deployed")
 HEADER_ALIASES = {
     "project": ("projecttitle", "projectname", "project", "name", "title"),

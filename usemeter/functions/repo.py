@@ -12,9 +12,15 @@ _B = BLANK_CLASS
 
 
 def _repo_regex(spec: UsageSpec) -> str:
+    """Owner and name of a repo link as two groups."""
     return rf"(?iU){spec.host_regex}[/:]+([^/{_B}]+)/([^/{_B}#?]+)"
 
 
+def _pair_regex(spec: UsageSpec) -> str:
+    """``owner/name`` of a repo link as one group."""
+    return rf"(?iU){spec.host_regex}[/:]+([^/{_B}]+/[^/{_B}#?]+)"
+
+
 def repo_missing(url: Column, spec: UsageSpec) -> Column:
     """No link to the host.  Placeholders such as ``n/a`` never contain the host."""
     return ~F.contains(F.lower(blank_if_null(url)), F.lit(spec.host))
@@ -38,7 +44,7 @@ def repo_name(url: Column, spec: UsageSpec) -> Column:
 def repo_key(url: Column, spec: UsageSpec) -> Column:
     """``owner/repo`` in lowercase; a cell without one is its own key."""
     url = blank_if_null(url)
-    pair = F.regexp_extract(url, _repo_regex(spec).replace(")/(", "/"), 1)
+    pair = F.regexp_extract(url, _pair_regex(spec), 1)
     return F.when(pair != "", F.regexp_replace(F.lower(pair), r"\.git\z", "")).otherwise(
         strip(F.lower(url))
     )

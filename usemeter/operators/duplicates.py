@@ -10,8 +10,6 @@ from usemeter.functions.repo import repo_key, repo_missing
 from usemeter.functions.text import blank_if_null
 from usemeter.operators.skew import lookup_join
 
-LISTED = 1000
-
 
 def duplicate_members(results: DataFrame, spec: UsageSpec) -> DataFrame:
     """Every row of every group with more than one row: ``ord, project, repo_key, n``.
@@ -29,45 +27,17 @@ def duplicate_members(results: DataFrame, spec: UsageSpec) -> DataFrame:
     )
 
 
-def duplicate_notes(results: DataFrame, spec: UsageSpec, listed: int = LISTED) -> DataFrame:
+def duplicate_notes(results: DataFrame, spec: UsageSpec) -> DataFrame:
     """``ord, repo_key, n, note`` for every row of a group with more than one row.
 
-    The note lists the names of the group's other rows in order; rows of the same name leave
-    each other out.  Writing that list on every row is quadratic in the group, so groups above
-    ``listed`` rows get their size and key instead; their full list is ``duplicate_members``,
-    once per group and not once per row.
+    The note names the group and its size, in one form for groups of any size; who is in the group
+    stands once in ``duplicate_members``.  Listing all others on every row would be quadratic.
     """
-    members = duplicate_members(results, spec)
-    group = F.array_sort(F.collect_list(F.struct("ord", "project")))
-
-    def others(m: Column) -> Column:
-        names = F.transform("members", lambda x: x["project"])
-        return F.array_join(F.filter(names, lambda x: x != m["project"]), ", ")
-
-    small = (
-        members.where(F.col("n") <= listed)
-        .groupBy("repo_key", "n")
-        .agg(group.alias("members"))
-        .select("repo_key", "n", F.explode(
-            F.transform(
-                "members",
-                lambda m: F.struct(
-                    m["ord"].alias("ord"),
-                    F.concat(F.lit("duplicate repo (same as: "), others(m), F.lit(")"))
-                    .alias("note"),
-                ),
-            )
-        ).alias("row"))
-        .select("row.ord", "repo_key", "n", "row.note")
-    )
-    large = members.where(F.col("n") > listed).select(
-        "ord", "repo_key", "n",
-        F.concat(
-            F.lit("duplicate repo ("), F.col("n").cast("string"), F.lit(" rows share "),
-            F.col("repo_key"), F.lit(")"),
-        ).alias("note"),
+    note = F.concat(
+        F.lit("duplicate repo ("), F.col("n").cast("string"), F.lit(" rows share "),
+        F.col("repo_key"), F.lit(")"),
     )
-    return small.unionByName(large)
+    return duplicate_members(results, spec).select("ord", "repo_key", "n", note.alias("note"))
 
 
 def append_note(notes: Column, duplicate: Column) -> Column:
@@ -76,9 +46,9 @@ def append_note(notes: Column, duplicate: Column) -> Column:
     return F.when(duplicate.isNotNull(), text).otherwise(notes)
 
 
-def mark_duplicates(results: DataFrame, spec: UsageSpec, listed: int = LISTED) -> DataFrame:
+def mark_duplicates(results: DataFrame, spec: UsageSpec) -> DataFrame:
     """Result rows with the duplicate note added."""
-    notes = duplicate_notes(results, spec, listed).select("ord", F.col("note").alias("_dup"))
+    notes = duplicate_notes(results, spec).select("ord", F.col("note").alias("_dup"))
     return (
         results.join(notes, "ord", "left")
         .withColumn("notes", append_note(F.col("notes"), F.col("_dup")))

@@ -5,26 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 8192
+from usemeter.session import stored
 
 
-def number_rows(
-    df: DataFrame, order: str, name: str, start: Column | int = 0, bounds: DataFrame | None = None
-) -> DataFrame:
-    """Adds ``name`` = start + 1, start + 2, ... by the unique integer column ``order``.
+def number_rows(df: DataFrame, order: str, name: str, start: Column | int = 0) -> DataFrame:
+    """Adds ``name`` = start + 1, start + 2, ... by the unique column ``order``.
 
-    ``bounds`` is a cheaper table with the same column, whose values enclose those of ``df``.
-
-    The value range of ``order`` is cut into at most ``BUCKETS`` ranges.  Rows are numbered
-    inside their range and shifted by the rows of the ranges before, which is a table of at
-    most ``BUCKETS`` rows, small enough for one window and one broadcast.
+    Rows are dealt by ranges that hold about equally many of them (Spark samples the values, so
+    clustered ones do no harm) and stored with their range, which fixes the ranges for both uses
+    below.  They are numbered inside their range and shifted by the rows of the ranges before: a
+    table with a row for each task, small enough for one window and one broadcast.
     """
-    bounds = df if bounds is None else bounds
-    low = bounds.agg(F.min(order)).scalar()
-    width = bounds.agg(
-        F.floor((F.max(order) - F.min(order)) / F.lit(BUCKETS)) + F.lit(1)
-    ).scalar()
-    ranged = df.withColumn("_range", F.floor((F.col(order) - low) / width))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(
+        df.repartitionByRange(tasks, order).withColumn("_range", F.spark_partition_id()), "ranges"
+    )
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1

@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 256  # proven bound: every other key holds less than 1/256 of the rows
-SPREAD = 64
 
+def hot_keys(counts: DataFrame, key: str, n: str, tasks: int) -> DataFrame:
+    """Keys with more rows than an even task has, and the ``salts`` that bring each down to that.
 
-def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
-    """The keys with the most rows; never more than ``HOT_KEYS`` rows, so it may be broadcast."""
-    return counts.where(F.col(n) > SPREAD).orderBy(F.desc(n)).limit(HOT_KEYS).select(key)
+    Fewer than ``tasks`` keys can hold more than one part in ``tasks`` of all rows, so the result has
+    fewer than ``tasks`` rows and may be broadcast.  It depends on the counts alone.
+    """
+    total = counts.agg(F.sum(n)).scalar()
+    share = F.col(n) * tasks
+    return counts.where(share > total).select(key, F.ceil(share / total).cast("int").alias("salts"))
 
 
 def lookup_join(
@@ -28,20 +31,20 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``rows`` with ``lookup``, which has one row per ``key``.
 
-    Rows of hot keys are spread over ``SPREAD`` salts taken from ``spread_by`` (a column
-    with many values, so a retried task salts alike) and only the lookup rows of hot keys
-    are repeated.  Rows without a key match nothing and are spread as well.  ``counts``
-    (``key``, ``n``) saves the counting pass where the caller has it already.
+    Rows of hot keys are spread over salts taken from ``spread_by`` (a column with many values,
+    so a retried task salts alike) and only the lookup rows of hot keys are repeated, all of them
+    together fewer than two a task.  Rows without a key match nothing and are spread as well.
+    ``counts`` (``key``, ``n``) saves the counting pass where the caller has it already.
     """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if counts is None:
         counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    hot = F.broadcast(hot_keys(counts, key, "n").withColumn("_hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(
-        F.array(F.lit(0))
-    )
+    hot = F.broadcast(hot_keys(counts, key, "n", tasks).withColumnRenamed("salts", "_salts"))
+    spread = F.when(F.col(key).isNull(), F.lit(tasks)).otherwise(F.coalesce("_salts", F.lit(1)))
     left = rows.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), salt).otherwise(0)
+        "_salt", F.pmod(F.xxhash64(spread_by), spread.cast("bigint")).cast("int")
+    )
+    right = lookup.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
     )
-    right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(salts))
-    return left.drop("_hot").join(right.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    return left.drop("_salts").join(right.drop("_salts"), [key, "_salt"], how).drop("_salt")

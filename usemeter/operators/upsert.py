@@ -61,7 +61,7 @@ def place_rows(sheet: DataFrame, new: DataFrame, spec: UsageSpec) -> tuple[DataF
     )
     top = F.coalesce(sheet.agg(F.max("row_no")).scalar(), F.lit(0))
     appended = number_rows(
-        matched.where(F.col("target").isNull()).select("ord"), "ord", "row_no", top, bounds=new
+        matched.where(F.col("target").isNull()).select("ord"), "ord", "row_no", top
     )
     return replacing.select("ord", "row_no"), appended.select("ord", "row_no")
 

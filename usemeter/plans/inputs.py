@@ -187,11 +187,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> Snapshot:
 
 
 def corpus_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer submits one corpus repo; some links are blank, cut off or unknown."""
+    """Every customer submits one corpus repo, in turn over all there are; some links are blank,
+    cut off or unknown."""
     key = F.col("c_custkey")
+    ranges = table(spark, sf_dir, "documents").agg(F.max(F.expr("doc_id div 2000")) + 1).scalar()
     repo = F.concat(
         F.lit("https://GitHub.com/src"), (key % 20).cast("string"), F.lit("/r"),
-        F.expr("(c_custkey div 20) % 5").cast("string"), F.lit(".git"),
+        (F.expr("c_custkey div 20") % ranges).cast("string"), F.lit(".git"),
     )
     return table(spark, sf_dir, "customer").select(
         key.alias("ord"),
@@ -200,6 +202,7 @@ def corpus_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_nationkey") % 2 == 0, "a@b.example").otherwise("").alias("emails"),
         F.when(F.col("c_nationkey") == 7, "n/a")
         .when(F.col("c_nationkey") == 8, "https://github.com/solo")
+        .when(F.col("c_nationkey") == 9, "https://github.com/nobody/r0")
         .otherwise(repo)
         .alias("github"),
         F.col("c_mktsegment").alias("feedback"),

@@ -420,13 +420,9 @@ ORACLE["duplicate_members"] = f"""WITH {MEMBERS}
 SELECT repo_key, ord, project, n FROM rows JOIN sizes USING (repo_key)"""
 
 ORACLE["duplicate_notes"] = f"""WITH {MEMBERS},
-listed AS (
-  SELECT a.ord, coalesce(string_agg(b.project, ', ' ORDER BY b.ord) FILTER (WHERE b.project <> a.project), '') AS names
-  FROM rows a JOIN sizes USING (repo_key) JOIN rows b USING (repo_key) WHERE n <= 1000 GROUP BY 1),
 notes AS (
-  SELECT ord, 'duplicate repo (same as: ' || names || ')' AS note FROM listed
-  UNION ALL SELECT ord, 'duplicate repo (' || n || ' rows share ' || repo_key || ')'
-  FROM rows JOIN sizes USING (repo_key) WHERE n > 1000)
+  SELECT ord, 'duplicate repo (' || n || ' rows share ' || repo_key || ')' AS note
+  FROM rows JOIN sizes USING (repo_key))
 SELECT ord, project, CASE WHEN note IS NULL THEN notes ELSE trim(notes || '; ' || note, '; ') END AS notes
 FROM rows LEFT JOIN notes USING (ord)"""
 
@@ -515,12 +511,14 @@ subs AS (
   SELECT c_custkey AS ord, 'Team ' || (c_custkey // 3) AS project, c_name AS names,
          CASE WHEN c_nationkey % 2 = 0 THEN 'a@b.example' ELSE '' END AS emails,
          CASE WHEN c_nationkey = 7 THEN 'n/a' WHEN c_nationkey = 8 THEN 'https://github.com/solo'
-              ELSE 'https://GitHub.com/src' || (c_custkey % 20) || '/r' || ((c_custkey // 20) % 5) || '.git' END AS github,
+              WHEN c_nationkey = 9 THEN 'https://github.com/nobody/r0'
+              ELSE 'https://GitHub.com/src' || (c_custkey % 20) || '/r' || ((c_custkey // 20) % ranges) || '.git' END AS github,
          CASE WHEN c_nationkey = 7 THEN NULL WHEN c_nationkey = 8 THEN 'https://github.com/solo'
-              ELSE 'src' || (c_custkey % 20) || '/r' || ((c_custkey // 20) % 5) END AS repo_key,
+              WHEN c_nationkey = 9 THEN 'nobody/r0'
+              ELSE 'src' || (c_custkey % 20) || '/r' || ((c_custkey // 20) % ranges) END AS repo_key,
          CASE WHEN c_nationkey = 1 THEN 'www.demo.example/x).' ELSE '' END AS demo, '' AS deployed,
          c_mktsegment AS feedback
-  FROM customer),
+  FROM customer, (SELECT max(doc_id // 2000) + 1 AS ranges FROM documents)),
 routed AS (SELECT *, {ROUTE} AS route FROM subs LEFT JOIN verdicts USING (repo_key)),
 lines AS (
   SELECT repo_key, string_agg(path || ' — ' || nodes || ' nodes (' ||
@@ -538,11 +536,8 @@ noted AS (
   FROM routed r LEFT JOIN prose p USING (ord) LEFT JOIN lines ON lines.repo_key = r.repo_key),
 groups AS (SELECT repo_key, count(*) AS n FROM subs WHERE repo_key IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
 dup AS (
-  SELECT a.ord, 'duplicate repo (same as: ' ||
-         coalesce(string_agg(b.project, ', ' ORDER BY b.ord) FILTER (WHERE b.project <> a.project), '') || ')' AS text
-  FROM subs a JOIN groups USING (repo_key) JOIN subs b USING (repo_key) WHERE n <= 1000 GROUP BY 1
-  UNION ALL SELECT ord, 'duplicate repo (' || n || ' rows share ' || repo_key || ')'
-  FROM subs JOIN groups USING (repo_key) WHERE n > 1000),
+  SELECT ord, 'duplicate repo (' || n || ' rows share ' || repo_key || ')' AS text
+  FROM subs JOIN groups USING (repo_key)),
 final AS (
   SELECT noted.ord, project, names, emails, github, demo, deployed, route,
          CASE WHEN route = 'evaluate' THEN tag ELSE 'None' END AS f_tag,
@@ -670,11 +665,23 @@ SELECT sheet_id, col_no, count(*) AS rows, count(*) FILTER (WHERE v <> '') AS fi
 FROM cells GROUP BY 1, 2"""
 
 ORACLE["csv_scan"] = f"""
-SELECT 'Doc ' || doc_id AS project, source AS names, lang || '@x.example' AS emails,
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS row_no, 'Doc ' || doc_id AS project,
+       source AS names, lang || '@x.example' AS emails,
        'https://github.com/' || source || '/d' || doc_id AS github, '' AS demo, '' AS deployed,
        md5(trim(text, {STRIP_CHARS})) AS feedback_md5
 FROM documents"""
 
+ORACLE["attached_replies"] = """
+SELECT 'order ' || o_orderkey AS project, 'https://github.com/o/r' || o_custkey AS github,
+       o_orderpriority AS feedback, CASE WHEN o_orderpriority < '3' THEN 'order ' || o_orderkey END AS description
+FROM orders"""
+
+ORACLE["sheet_inventory"] = """
+SELECT 'good' AS kind, count(*) AS rows, 'loaded' AS reason FROM customer WHERE c_nationkey < 10
+UNION ALL SELECT 'unmappable', 0, 'no repo column and label column found'
+UNION ALL SELECT 'wide', 0, 'more than 8 columns'
+UNION ALL SELECT 'foreign', 0, 'not a CSV file'"""
+
 # --- streams -------------------------------------------------------------------------------
 
 HAS_VERDICT = """(contains(props, '"k": 1') OR contains(props, '"k": 7') OR contains(props, 'Significant'))"""

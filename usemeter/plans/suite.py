@@ -29,6 +29,7 @@ from usemeter.plans.inputs import CORPUS_SPEC, MONITOR_SPEC, PAGES_SPEC, SPEC, t
 from usemeter.plans.verification import verify
 from usemeter.session import scratch_dir
 from usemeter.sources import sheets, sinks
+from usemeter.sources.snapshots import read_replies
 from usemeter.streaming import monitor, runs, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -530,22 +531,84 @@ def column_profile(spark, sf_dir):
 
 @query
 def csv_scan(spark, sf_dir):
-    """Documents written as submission sheets and read back, texts over many lines included."""
+    """Documents written as a submission sheet per language and read back, with each row's place.
+
+    Texts run over many lines.
+    """
     out = scratch_dir(spark, "sheets")
     doc = F.col("doc_id").cast("string")
-    table(spark, sf_dir, "documents").select(
+    table(spark, sf_dir, "documents").repartition("lang").sortWithinPartitions("lang", "doc_id").select(
         F.concat(F.lit("Doc "), doc).alias("Project title"),
         F.col("source").alias("Team Members Names"),
         F.concat("lang", F.lit("@x.example")).alias("Team Members Emails"),
         F.concat(F.lit("https://github.com/"), "source", F.lit("/d"), doc).alias("Github Repo"),
         F.col("text").alias("Feedback"),
-    ).write.csv(out, header=True, quote='"', escape='"')
+        "lang",
+    ).write.partitionBy("lang").csv(out, header=True, quote='"', escape='"')
     rows = sheets.load_submissions(spark, out, SPEC, columns=16)
     return rows.select(
+        F.regexp_extract("sheet_id", "lang=([a-z]+)", 1).alias("lang"), "row_no",
         *[f for f in FIELDS if f != "feedback"], F.md5("feedback").alias("feedback_md5")
     )
 
 
+@query
+def attached_replies(spark, sf_dir):
+    """Replies stored under the row keys of one load and joined to the rows of a second load."""
+    out, answers = scratch_dir(spark, "sheets"), scratch_dir(spark, "replies")
+    orders = table(spark, sf_dir, "orders")
+    orders.select(
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("Project title"),
+        F.concat(F.lit("https://github.com/o/r"), F.col("o_custkey").cast("string")).alias("Github Repo"),
+        F.col("o_orderpriority").alias("Feedback"),
+    ).repartition(3, "Github Repo").write.csv(out, header=True, quote='"', escape='"')
+    first = sheets.load_submissions(spark, out, SPEC, columns=8)
+    sinks.write_replies(
+        first.where(F.col("feedback") < "3").select(
+            "ord", F.lit(1).alias("attempt"),
+            F.to_json(
+                F.struct(F.col("project").alias("description"), F.lit("u").alias("acme_usage"),
+                         F.lit("j").alias("justification"))
+            ).alias("reply"),
+        ),
+        answers,
+    )
+    prose = first_prose(read_replies(spark, answers), "ord", SPEC.caps.attempts, "acme_usage")
+    again = sheets.load_submissions(spark, out, SPEC, columns=8)
+    return again.join(prose, "ord", "left").select("project", "github", "feedback", "description")
+
+
+@query
+def sheet_inventory(spark, sf_dir):
+    """A folder with good, unmappable, too wide and foreign files: what loads, and why the rest does not."""
+    out = scratch_dir(spark, "mixed")
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("Project title"),
+        F.concat(F.lit("https://github.com/o/r"), F.col("c_custkey").cast("string")).alias("Github Repo"),
+        "c_nationkey",
+    )
+    good = customers.withColumn("kind", F.lit("good"))
+    good.where("c_nationkey < 10").write.csv(f"{out}/good", header=True)
+    customers.where("c_nationkey = 10").select(F.col("Project title").alias("City")).write.csv(
+        f"{out}/unmappable", header=True)
+    customers.where("c_nationkey = 11").select(
+        "Project title", "Github Repo", *[F.lit("x").alias(f"extra{i}") for i in range(20)]
+    ).write.csv(f"{out}/wide", header=True)
+    customers.where("c_nationkey = 12").write.parquet(f"{out}/foreign")
+    kind = F.regexp_extract("sheet_id", r"/(good|unmappable|wide|foreign)/", 1).alias("kind")
+    cells = sheets.read_sheets(spark, f"{out}/*", columns=8)
+    mapping = sheets.resolve_columns(cells, SPEC)
+    unusable = sheets.unusable_sheets(spark, f"{out}/*", cells, mapping, columns=8)
+    loaded = sheets.load_submissions(spark, f"{out}/*", SPEC, columns=8, skip_unusable=True)
+    return (
+        loaded.groupBy(kind).agg(F.count("*").alias("rows")).withColumn("reason", F.lit("loaded"))
+        .unionByName(
+            unusable.select(kind, F.regexp_extract("reason", "^[^;]*", 0).alias("reason")).distinct()
+            .withColumn("rows", F.lit(0).cast("bigint"))
+        )
+    )
+
+
 # --- streams ------------------------------------------------------------------------------
 
 

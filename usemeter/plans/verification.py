@@ -21,16 +21,11 @@ def repo_outcomes(snapshot: Snapshot, spec: UsageSpec) -> DataFrame:
     return snapshot.repos.select("repo_key", "status", "tree_status").join(verdicts, "repo_key")
 
 
-MAX_KEYS, MAX_KEY_BYTES = 200_000, 16 << 20
-
-
 def submitted_only(snapshot: Snapshot, submissions: DataFrame, spec: UsageSpec) -> Snapshot:
-    """The part of a snapshot that the submissions name.
+    """The part of a snapshot that the submissions name, whatever their number.
 
-    The keys are counted first.  Up to ``MAX_KEYS`` keys of ``MAX_KEY_BYTES`` together they are
-    broadcast, and trees and texts of other repos are dropped as they are read.  Beyond that most
-    of the snapshot is wanted, and only the repo table is reduced: an unwanted repo then ends at
-    the last join, and no text is shuffled for the sake of the filter.
+    Only the repo table is reduced here: files of other repos end at the evidence's join with the open
+    repos, as a few signals a file.  Nothing is counted or run while the plan is built.
     """
     url = F.col("github")
     keys = (
@@ -38,13 +33,7 @@ def submitted_only(snapshot: Snapshot, submissions: DataFrame, spec: UsageSpec)
         .select(repo_key(url, spec).alias("repo_key"))
         .distinct()
     )
-    size = keys.limit(MAX_KEYS + 1).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("repo_key")), F.lit(0)).alias("b")
-    ).first()
-    if size.n > MAX_KEYS or size.b > MAX_KEY_BYTES:
-        return snapshot._replace(repos=snapshot.repos.join(keys, "repo_key", "left_semi"))
-    wanted = F.broadcast(keys)
-    return Snapshot(*[df.join(wanted, "repo_key", "left_semi") for df in snapshot])
+    return snapshot._replace(repos=snapshot.repos.join(keys, "repo_key", "left_semi"))
 
 
 def verify(

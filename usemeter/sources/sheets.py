@@ -12,10 +12,12 @@ from usemeter.config import FIELDS, HEADER_ALIASES, LABEL_HINTS, UsageSpec
 from usemeter.functions.binding import let
 from usemeter.functions.repo import is_repo_link
 from usemeter.functions.text import BLANK_CLASS, any_of, blank_if_null, first_line, header_key, strip
+from usemeter.operators.numbering import number_rows
 from usemeter.operators.skew import lookup_join
 from usemeter.session import stored
 
-MAX_COLUMNS = 256
+COLUMNS = 256
+_SENTINELS = 8  # cells beyond the columns read that tell a wider sheet
 MIN_SUBSTRING_ALIAS = 5
 _EMAIL = rf"(?U)[^@{BLANK_CLASS}]+@[^@{BLANK_CLASS}]+\.[^@{BLANK_CLASS}]+"
 
@@ -28,26 +30,31 @@ _C1_TO = bytes(_C1).decode("cp1252")
 _FILES = {"pathGlobFilter": "*.[cC][sS][vV]"}
 
 
-def _scan(spark: SparkSession, path: str, encoding: str, columns: int, odd: int = 0) -> DataFrame:
-    """All non-blank rows, cut behind their last filled cell."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(columns)])
+def _scan(spark: SparkSession, path: str, encoding: str, columns: int) -> DataFrame:
+    """``sheet_id, row_no, cells`` of all rows, cut behind their last filled cell.
+
+    A multi-line file is read in order by one task, so the running id grows by one a row within a
+    sheet; less the sheet's first one it is the place in the sheet, whatever else the task reads.
+    Blank rows have no cells.
+    """
+    width = columns + _SENTINELS
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = spark.read.options(**_FILES).csv(
         path, schema=schema, header=False, multiLine=True, quote='"', escape='"',
-        encoding=encoding, maxColumns=columns, maxCharsPerColumn=-1,
-    )
-    cells = F.array(*[blank_if_null(F.col(f"c{i}")) for i in range(columns)])
-    # A multi-line file is read in order by one task, so the id grows within a sheet.  The two
-    # scans number apart: one takes the even numbers, the other the odd ones.
-    return (
-        raw.select(
-            F.col("_metadata.file_path").alias("sheet_id"),
-            (F.monotonically_increasing_id() * 2 + odd).alias("row_no"),
-            cells.alias("cells"),
-        )
-        .withColumn("_width", _filled_width(F.col("cells")))
-        .where(F.col("_width") > 0)
-        .select("sheet_id", "row_no", F.slice("cells", F.lit(1), F.col("_width")).alias("cells"))
+        encoding=encoding, maxColumns=max(20_480, width), maxCharsPerColumn=-1,
     )
+    cells = F.array(*[blank_if_null(F.col(f"c{i}")) for i in range(width)])
+    return raw.select(
+        F.col("_metadata.file_path").alias("sheet_id"),
+        F.monotonically_increasing_id().alias("_id"), cells.alias("cells"),
+    ).select("sheet_id", "_id", F.slice("cells", F.lit(1), _filled_width(F.col("cells"))).alias("cells"))
+
+
+def _in_sheets(rows: DataFrame) -> DataFrame:
+    """Stored rows with their place in the sheet in place of the running id, blank rows left out."""
+    first = rows.groupBy("sheet_id").agg(F.min("_id").alias("_first"))
+    placed = lookup_join(rows.where(F.size("cells") > 0), first, "sheet_id", spread_by="_id")
+    return placed.select("sheet_id", (F.col("_id") - F.col("_first")).alias("row_no"), "cells")
 
 
 def _filled_width(cells: Column) -> Column:
@@ -57,38 +64,42 @@ def _filled_width(cells: Column) -> Column:
     )
 
 
-def read_sheets(spark: SparkSession, path: str, columns: int = MAX_COLUMNS) -> DataFrame:
+def other_files(spark: SparkSession, path: str) -> DataFrame:
+    """``sheet_id`` of the files below ``path`` that are no CSV; their contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listed.select(F.col("path").alias("sheet_id")).where(~F.rlike("path", F.lit(r"(?i)\.csv$")))
+
+
+def read_sheets(spark: SparkSession, path: str, columns: int = COLUMNS) -> DataFrame:
     """``sheet_id, row_no, cells`` of all CSV files below ``path``, blank rows left out.
 
-    Files are UTF-8 (with or without a byte order mark) or, if that fails anywhere in the
-    file, Windows-1252.  Multi-line CSV cannot be split, so it is parsed once, one file per task,
-    and stored; everything later reads the stored rows.  A replacement character marks a file as
-    suspect, and only suspect files are checked byte by byte and parsed again.  Their names are
-    a part of the file listing, which the driver holds for any scan.
+    ``(sheet_id, row_no)`` is the file and the place in it: the same in every run, however files are
+    packed into tasks and whatever other files there are.  Files are UTF-8 (with or without a byte
+    order mark) or, if that fails anywhere in the file, Windows-1252.  Multi-line CSV cannot be
+    split, so it is parsed once, one file per task, and stored.  A replacement character marks a
+    sheet as suspect; only then are the bytes checked, line by line, and the broken sheets parsed
+    again.  Cells beyond ``columns`` are kept for the first few, see ``unusable_sheets``.
     """
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix not in ("", ".csv"):
         raise ValueError(f"unsupported sheet type: {suffix} (use .csv)")
     rows = stored(_scan(spark, path, "UTF-8", columns), "sheets")
     replaced = F.exists("cells", lambda c: F.contains(c, F.lit("\ufffd")))
-    suspects = [r.sheet_id for r in rows.where(replaced).select("sheet_id").distinct().collect()]
-    broken = []
-    if suspects:
-        source = F.col("_metadata.file_path")  # prunes the listing to the named files
-        checked = spark.read.options(**_FILES).format("binaryFile").load(path)
-        broken = [
-            r.sheet_id
-            for r in checked.where(source.isin(suspects))
-            .where(~F.is_valid_utf8("content"))
-            .select(source.alias("sheet_id"))
-            .collect()
-        ]
-    if not broken:
-        return rows
-    ansi = _scan(spark, path, "ISO-8859-1", columns, odd=1).where(F.col("sheet_id").isin(broken))
+    suspects = rows.where(replaced).select("sheet_id").distinct()
+    if suspects.isEmpty():
+        return _in_sheets(rows)
+    # The text source hands on a line's bytes as they are.
+    bytes_ = spark.read.options(**_FILES).text(path).select(
+        F.col("_metadata.file_path").alias("sheet_id"), "value"
+    )
+    broken = stored(
+        bytes_.where(~F.is_valid_utf8("value")).select("sheet_id").distinct()
+        .join(suspects, "sheet_id", "left_semi"), "broken",
+    )
     decoded = F.transform("cells", lambda c: F.translate(c, _C1_FROM, _C1_TO))
-    return rows.where(~F.col("sheet_id").isin(broken)).unionByName(
-        stored(ansi.withColumn("cells", decoded), "sheets")
+    ansi = _scan(spark, path, "ISO-8859-1", columns).join(broken, "sheet_id", "left_semi")
+    return _in_sheets(rows.join(broken, "sheet_id", "left_anti")).unionByName(
+        _in_sheets(stored(ansi.withColumn("cells", decoded), "sheets"))
     )
 
 
@@ -275,20 +286,53 @@ def canonical_rows(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
+def row_key(sheet_id: Column, row_no: Column) -> Column:
+    """Sheet and place as one text: unique, the same in every run, and in sheet order."""
+    return F.concat(sheet_id, F.lit("#"), F.lpad(row_no.cast("string"), 12, "0"))
+
+
 def load_submissions(
-    spark: SparkSession, path: str, spec: UsageSpec, limit: int = 0, columns: int = MAX_COLUMNS
+    spark: SparkSession, path: str, spec: UsageSpec, limit: int = 0, columns: int = COLUMNS,
+    skip_unusable: bool = False,
 ) -> DataFrame:
-    """Sheets below ``path`` as submissions, optionally only the first ``limit`` rows."""
+    """Sheets below ``path`` as submissions, optionally only the first ``limit`` rows.
+
+    ``ord`` is the row's key (``row_key``): it orders the rows, and replies are joined on it, also in
+    later runs.  Anything below ``path`` that cannot be used is an error, unless ``skip_unusable``;
+    ``unusable_sheets`` lists it.
+    """
     cells = read_sheets(spark, path, columns)
     if cells.isEmpty():
         raise ValueError(f"no rows found in {path}")
     mapping = stored(resolve_columns(cells, spec), "columns")
-    if mapping.isEmpty():
-        seen = unresolved_sheets(cells, mapping).first()
-        raise ValueError(f"no repo column and label column found; headers seen: {seen.headers}")
-    rows = canonical_rows(cells, mapping)
-    rows = rows.withColumnRenamed("row_no", "ord")
-    return rows.orderBy("ord").limit(limit) if limit else rows
+    unusable = unusable_sheets(spark, path, cells, mapping, columns)
+    if not skip_unusable:
+        worst = unusable.orderBy("sheet_id").limit(5).collect()
+        if worst:
+            raise ValueError("; ".join(f"{r.sheet_id}: {r.reason}" for r in worst))
+    usable = mapping.join(unusable.select("sheet_id"), "sheet_id", "left_anti")
+    rows = canonical_rows(cells, usable).withColumn("ord", row_key(F.col("sheet_id"), F.col("row_no")))
+    rows = rows.select("ord", "sheet_id", "row_no", *FIELDS)
+    if not limit:
+        return rows
+    return number_rows(rows, "ord", "_n").where(F.col("_n") <= limit).drop("_n")
+
+
+def unusable_sheets(
+    spark: SparkSession, path: str, cells: DataFrame, mapping: DataFrame, columns: int = COLUMNS
+) -> DataFrame:
+    """Everything below ``path`` that gives no submissions, and why: ``sheet_id, reason``."""
+    wide = cells.groupBy("sheet_id").agg(F.max(F.size("cells")).alias("n")).where(F.col("n") > columns)
+    wide = wide.select("sheet_id", F.lit(f"more than {columns} columns").alias("reason"))
+    unmapped = unresolved_sheets(cells, mapping).join(wide, "sheet_id", "left_anti").select(
+        "sheet_id",
+        F.concat(
+            F.lit("no repo column and label column found; headers seen: "),
+            F.array_join("headers", ", "),
+        ).alias("reason"),
+    )
+    other = other_files(spark, path).withColumn("reason", F.lit("not a CSV file"))
+    return wide.unionByName(unmapped).unionByName(other)
 
 
 def unresolved_sheets(cells: DataFrame, mapping: DataFrame) -> DataFrame:

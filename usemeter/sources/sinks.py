@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usemeter.config import NEEDS_REVIEW_HEADERS, UsageSpec
+from usemeter.operators.numbering import number_rows
 from usemeter.operators.results import failed_rows, public_rows, sheet_rows
 
 
 def write_sheet(results: DataFrame, path: str, spec: UsageSpec, form: str = "parquet") -> None:
-    """The 14-column sheet: Parquet with the row order as a column, CSV with printed headers.
+    """The 14-column sheet: Parquet with the row number as a column, CSV with printed headers.
 
     Only the CSV is sorted, as nothing else in it tells the order.
     """
     rows = sheet_rows(results, spec)
     if form == "parquet":
-        rows.write.parquet(path)
+        numbers = number_rows(results.select("ord"), "ord", "row_no")
+        numbers.join(rows, "ord").select("row_no", *spec.sheet_headers).write.parquet(path)
         return
     rows.orderBy("ord").select(*[F.col(c).alias(h) for c, h in spec.sheet_headers.items()]).write.csv(
         path, header=True, quote='"', escape='"'
@@ -39,3 +41,8 @@ def write_ndjson(results: DataFrame, path: str, spec: UsageSpec) -> None:
     public_rows(results, spec).drop("ord").write.option(
         "ignoreNullFields", "false"
     ).json(path)
+
+
+def write_replies(replies: DataFrame, path: str) -> None:
+    """Replies under the row keys of the submissions that they answer: ``ord, attempt, reply``."""
+    replies.select(F.col("ord").cast("string"), F.col("attempt").cast("int"), "reply").write.parquet(path)

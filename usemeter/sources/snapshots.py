@@ -11,7 +11,7 @@ REPOS_DDL = (
 )
 TREE_DDL = "repo_key string, tree_ord bigint, path string"
 FILES_DDL = "repo_key string, path string, text string"
-REPLIES_DDL = "ord bigint, attempt int, reply string"
+REPLIES_DDL = "ord string, attempt int, reply string"
 
 CASE_DDL = """
 name string,
@@ -51,9 +51,10 @@ def read_replies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Captured evidence with the expected verdict, one JSON object per file."""
+    """Captured evidence with the expected verdict, one JSON object per file, in order of the files."""
     return (
         spark.read.schema(CASE_DDL)
         .json(path, multiLine=True)
         .selectExpr("_metadata.file_name AS file_name", "name", "evidence.*", "expect")
+        .orderBy("file_name")
     )
