@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from usemeter.streaming import monitor, runs, upserts
+from usemeter.streaming import monitor, ranges, runs, upserts
 
 
 def write_lines(folder, name, events, broken=()):
@@ -39,7 +39,7 @@ def source(spark, tmp_path):
 def partials(spark, tmp_path, stream, reduce_batch):
     out = str(tmp_path / "out")
     runs.write_partials(stream, reduce_batch, out, str(tmp_path / "log")).awaitTermination()
-    assert len(list((tmp_path / "out").glob("batch=*"))) == 2
+    assert len(list((tmp_path / "out").glob("part=*"))) == 2
     return runs.read_partials(spark, out)
 
 
@@ -117,6 +117,36 @@ def test_upsert_stream(spark, spec, tmp_path):
     )
     out = str(tmp_path / "sheet")
     upserts.upsert_stream(spark, base, stream, out, str(tmp_path / "log"), spec).awaitTermination()
-    rows = upserts.current_sheet(spark, out).orderBy("row_no").collect()
+    rows = upserts.current_sheet(spark, base, out).orderBy("row_no").collect()
     assert [(r.row_no, r.project_name, r.notes) for r in rows] == [
         (2, "a", "first"), (3, "B", "old"), (4, "c", "second")]
+
+
+def test_parts_are_merged_and_never_counted_twice(spark, tmp_path):
+    out = str(tmp_path / "parts")
+    frame = lambda n: spark.createDataFrame([("a", n)], "k string, n bigint")
+    merge = lambda p: runs.merge_counts(p, "k")
+    for i in range(3):
+        frame(1).write.parquet(ranges.part(out, i, i))
+    ranges.merge_parts(spark, out, merge, 2)
+    assert [f[:2] for f in ranges.current(spark, out)] == [(0, 2)]
+    frame(1).write.mode("overwrite").parquet(ranges.part(out, 2, 2))  # a repeated batch
+    frame(1).write.parquet(ranges.part(out, 3, 3))
+    (tmp_path / "parts" / "part=4-4").mkdir()  # not finished
+    assert merge(runs.read_partials(spark, out)).first().n == 4
+    ranges.merge_parts(spark, out, merge, 3)
+    assert merge(runs.read_partials(spark, out)).first().n == 4
+    assert [f[:2] for f in ranges.finished(spark, out)] == [(0, 2), (0, 3), (3, 3)]
+    assert [f[:2] for f in ranges.current(spark, out, before=3)] == [(0, 2)]
+
+
+def test_a_merged_stream_takes_a_repeated_batch(spark, tmp_path, source):
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    merge = lambda p: runs.merge_counts(p, "tag")
+    start = lambda: runs.write_partials(source.where("is_result"), runs.count_batch("tag"), out, log, merge, every=2)
+    start().awaitTermination()
+    ranges.forget_commit(spark, log, 1)
+    start().awaitTermination()
+    assert {tuple(r) for r in merge(runs.read_partials(spark, out)).collect()} == {
+        ("Less", 2), ("Moderate", 1), ("None", 2)}
+    assert len(ranges.current(spark, out)) == 1

@@ -628,7 +628,13 @@ SELECT (SELECT max(row_no) FROM sheet) + row_number() OVER (ORDER BY ord), proje
 FROM matched WHERE target IS NULL"""
 
 ORACLE["upsert_merge"] = UPSERT
-ORACLE["stream_upsert"] = UPSERT
+_CHANGES = UPSERT[UPSERT.index("chg AS (") : UPSERT.index("by_name AS (")]
+ORACLE["stream_upsert"] = UPSERT.replace(_CHANGES, """chg AS (
+  SELECT o_orderkey AS ord, CASE WHEN o_orderstatus = 'F' AND o_custkey // 2 IN
+             (SELECT c_custkey // 2 FROM customer WHERE c_nationkey <> 3) THEN 'cust ' || (o_custkey // 2)
+           WHEN o_orderstatus <> 'P' THEN 'new ' || o_orderkey ELSE '' END AS project_name,
+         '-' AS repo_link, o_orderpriority AS notes, o_totalprice AS score FROM orders),
+""")
 
 # --- sheets --------------------------------------------------------------------------------
 
@@ -691,8 +697,15 @@ SELECT event_type, count(*) AS n, count(*) FILTER (WHERE {HAS_VERDICT}) AS verdi
 FROM events GROUP BY 1"""
 
 ORACLE["stream_running_counts"] = """
-SELECT CASE WHEN event_type = 'error' THEN 'None' ELSE event_type END AS tag, count(*) AS n
-FROM events GROUP BY 1"""
+WITH r AS (
+  SELECT CASE WHEN failed OR event_id % 3 <> 0 THEN 'None' ELSE 'Moderate' END AS tag,
+         CASE WHEN failed THEN 'No' WHEN event_id % 5 = 0 THEN 'Yes' ELSE '?' END AS backbone,
+         failed, event_id % 11 <> 0 AND event_id % 7 <> 0 AS through
+  FROM (SELECT *, event_type IN ('error', 'signup') AS failed FROM events WHERE event_type <> 'view'))
+SELECT 'tag' AS facet, tag AS value, count(*) AS n FROM r GROUP BY 1, 2
+UNION ALL SELECT 'backbone', backbone, count(*) FROM r GROUP BY 1, 2
+UNION ALL SELECT 'review_group', CASE WHEN failed OR NOT through THEN 'review' ELSE backbone END, count(*)
+FROM r GROUP BY 1, 2"""
 
 ORACLE["stream_results"] = """
 SELECT CASE WHEN failed OR event_id % 3 <> 0 THEN 'None' ELSE 'Moderate' END AS tag,

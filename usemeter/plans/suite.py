@@ -27,10 +27,10 @@ from usemeter.operators.verdicts import breakdown_rows, evaluate, score_repos
 from usemeter.plans import inputs
 from usemeter.plans.inputs import CORPUS_SPEC, MONITOR_SPEC, PAGES_SPEC, SPEC, table
 from usemeter.plans.verification import verify
-from usemeter.session import scratch_dir
+from usemeter.session import scratch_dir, stored
 from usemeter.sources import sheets, sinks
 from usemeter.sources.snapshots import read_replies
-from usemeter.streaming import monitor, runs, upserts
+from usemeter.streaming import monitor, ranges, runs, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -611,52 +611,87 @@ def sheet_inventory(spark, sf_dir):
 
 # --- streams ------------------------------------------------------------------------------
 
+BATCHES = 4
+
+
+def written_in_order(rows: DataFrame, order: str, form: str = "parquet") -> str:
+    """``rows`` in a few files by ranges of ``order``, the first range's file written first."""
+    folder = scratch_dir(rows.sparkSession, "arriving")
+    ranged = stored(
+        rows.repartitionByRange(BATCHES, order).withColumn("_range", F.spark_partition_id()), "ranged"
+    )
+    for i in range(BATCHES):
+        one = ranged.where(F.col("_range") == i).drop("_range", *([order] if form == "text" else []))
+        one.coalesce(1).write.format(form).save(f"{folder}/{i}")
+    return f"{folder}/*"
+
+
+def arriving(spark: SparkSession, rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` as they would arrive: one file per batch, in order."""
+    files = written_in_order(rows, order)
+    schema = spark.read.parquet(files).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(files)
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as they would arrive: a file source over the table's files."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    return arriving(spark, table(spark, sf_dir, "events"), "event_id")
+
+
+def run_twice(start, spark: SparkSession, checkpoint: str) -> None:
+    """Runs a stream to its end, takes back its last commit, and lets it repeat that batch."""
+    query_ = start()
+    query_.awaitTermination()
+    ranges.forget_commit(spark, checkpoint, query_.lastProgress["batchId"])
+    start().awaitTermination()
 
 
-def run_partials(spark, stream, reduce_batch, purpose) -> DataFrame:
+def run_partials(spark, stream, reduce_batch, purpose, merge=None) -> DataFrame:
+    """Partials of all batches, the last one repeated; merged after every three if ``merge`` is given."""
     out, checkpoint = scratch_dir(spark, purpose), scratch_dir(spark, f"{purpose}-log")
-    runs.write_partials(stream, reduce_batch, out, checkpoint).awaitTermination()
+    run_twice(
+        lambda: runs.write_partials(stream, reduce_batch, out, checkpoint, merge, every=3),
+        spark, checkpoint,
+    )
     return runs.read_partials(spark, out)
 
 
+def routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verification events as lines, some cut off: failed items end as error results."""
+    files = written_in_order(inputs.event_lines(spark, sf_dir), "event_id", "text")
+    events = runs.read_events(spark, files, files_per_batch=1)
+    return runs.route_errors(events, SPEC.WORKER_ERROR)
+
+
 @query
 def stream_counts(spark, sf_dir):
     """Events and verdict-carrying events per type, merged from per-batch partial counts."""
-    events = event_stream(spark, sf_dir)
     verdict = monitor.has_verdict(F.col("props"), MONITOR_SPEC)
+    merge = lambda p: runs.merge_counts(p, "event_type")
     partials = run_partials(
-        spark, events, runs.count_batch("event_type", verdicts=verdict), "counts"
+        spark, event_stream(spark, sf_dir), runs.count_batch("event_type", verdicts=verdict),
+        "counts", merge,
     )
-    return runs.merge_counts(partials, "event_type")
+    return merge(partials)
 
 
 @query
 def stream_running_counts(spark, sf_dir):
-    """Stateful running counts; the last version of the table."""
+    """Stateful running counts of real verdicts by tag, backbone and review group."""
     out, log = scratch_dir(spark, "running"), scratch_dir(spark, "running-log")
-    tagged = event_stream(spark, sf_dir).withColumn(
-        "tag", F.when(F.col("event_type") == "error", "None").otherwise(F.col("event_type"))
-    )
-    runs.running_counts(tagged, ("tag",), out, log).awaitTermination()
-    return runs.last_counts(spark, out).select("tag", "n")
+    verdicts = runs.facets(routed_events(spark, sf_dir))
+    run_twice(lambda: runs.running_counts(verdicts, ("facet", "value"), out, log), spark, log)
+    return runs.last_counts(spark, out).select("facet", "value", "n")
 
 
 @query
 def stream_results(spark, sf_dir):
-    """Verification events as JSON lines, some cut off: failed items end as error results."""
-    lines = scratch_dir(spark, "events")
-    inputs.event_lines(spark, sf_dir).write.text(lines)
-    events = runs.route_errors(runs.read_events(spark, lines), SPEC.WORKER_ERROR)
-    ended = events.where("is_result")
+    """Results by tag and backbone, with the failed ones among them."""
+    ended = routed_events(spark, sf_dir).where("is_result")
+    merge = lambda p: runs.merge_counts(p, "tag", "backbone")
     partials = run_partials(
-        spark, ended, runs.count_batch("tag", "backbone", failed=F.col("failed")), "results"
+        spark, ended, runs.count_batch("tag", "backbone", failed=F.col("failed")), "results", merge
     )
-    return runs.merge_counts(partials, "tag", "backbone")
+    return merge(partials)
 
 
 @query
@@ -666,9 +701,8 @@ def stream_latest(spark, sf_dir):
         F.col("event_id").alias("seq"), F.col("event_type").alias("event"), "value",
     )
     keys = ("run_id", "idx")
-    partials = run_partials(
-        spark, events, runs.latest_batch(keys, "seq", "event", "value"), "latest"
-    )
+    reduce_batch = runs.latest_batch(keys, "seq", "event", "value")
+    partials = run_partials(spark, events, reduce_batch, "latest", reduce_batch)
     return runs.latest(partials, keys, "seq", "event", "value")
 
 
@@ -679,7 +713,8 @@ def stream_progress(spark, sf_dir):
         F.get_json_object("props", "$.k").cast("int").alias("total"),
         F.col("event_type").isin("purchase", "error").alias("is_result"),
     )
-    partials = run_partials(spark, events, runs.progress_batch(), "progress")
+    merge = lambda p: runs.merge_progress(p).drop("done")
+    partials = run_partials(spark, events, runs.progress_batch(), "progress", merge)
     return runs.merge_progress(partials).select("run_id", *big("total"), "results", "done")
 
 
@@ -692,21 +727,23 @@ def stream_monitor(spark, sf_dir):
         )
     )
     keys = ("window_start", "event")
+    merge = lambda p: runs.merge_counts(p, *keys)
     partials = run_partials(
-        spark, events, lambda b: monitor.tally(b, MONITOR_SPEC, *keys), "monitor"
+        spark, events, lambda b: monitor.tally(b, MONITOR_SPEC, *keys), "monitor", merge
     )
-    return runs.merge_counts(partials, *keys)
+    return merge(partials)
 
 
 @query
 def stream_upsert(spark, sf_dir):
-    """Re-verified rows arrive as a stream and go into the standing sheet."""
-    base, changes = scratch_dir(spark, "sheet"), scratch_dir(spark, "changes")
+    """Re-verified rows arrive in several batches and go into the standing sheet."""
+    base = scratch_dir(spark, "sheet")
     inputs.standing_sheet(spark, sf_dir).write.parquet(base)
-    inputs.order_changes(spark, sf_dir).write.parquet(changes)
-    arriving = spark.readStream.schema(spark.read.parquet(changes).schema).parquet(changes)
-    out, log = scratch_dir(spark, "versions"), scratch_dir(spark, "versions-log")
-    upserts.upsert_stream(spark, base, arriving, out, log, SPEC).awaitTermination()
-    return upserts.current_sheet(spark, out).select(
+    changes = arriving(spark, inputs.stream_changes(spark, sf_dir), "ord")
+    out, log = scratch_dir(spark, "changes"), scratch_dir(spark, "changes-log")
+    run_twice(
+        lambda: upserts.upsert_stream(spark, base, changes, out, log, SPEC, every=3), spark, log
+    )
+    return upserts.current_sheet(spark, base, out).select(
         "row_no", "project_name", "repo_link", "notes", "score"
     )

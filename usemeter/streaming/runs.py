@@ -1,9 +1,9 @@
 """Progress events of verification runs.
 
 Counts, latest states and progress are mergeable, so every micro-batch is reduced on its own
-and written as partial rows; a reader merges the partials.  No state is kept between batches:
-nothing grows with the number of items, late events count, and a repeated batch overwrites its
-own folder.  A small, bounded count can instead run as a stateful aggregation
+and written as partial rows; a reader merges the partials, and every so many batches they are
+merged in place.  No state is kept between batches: nothing grows with the number of items, late
+events count, and a repeated batch overwrites its own folder.  A small, bounded count can instead run as a stateful aggregation
 (``running_counts``).
 """
 
@@ -15,15 +15,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from usemeter.functions.present import review_group
+from usemeter.streaming import ranges
+
 EVENTS_DDL = (
     "run_id string, seq bigint, event string, idx int, total int, payload string, _broken string"
 )
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """NDJSON events as they arrive.  A broken line becomes a row with only ``_broken`` set."""
+    reader = spark.readStream.schema(EVENTS_DDL)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
-        spark.readStream.schema(EVENTS_DDL)
+        reader
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_broken")
         .json(path)
@@ -61,12 +67,19 @@ def route_errors(events: DataFrame, error_text: str) -> DataFrame:
 
 
 def write_partials(
-    stream: DataFrame, reduce_batch: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
+    stream: DataFrame, reduce_batch: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+    merge: Callable[[DataFrame], DataFrame] | None = None, every: int = 32,
 ) -> StreamingQuery:
-    """Reduces each micro-batch and writes it to its own folder below ``out``."""
+    """Reduces each micro-batch and writes it to its own folder below ``out``.
+
+    With ``merge``, which reduces partials to partials, the folders are merged after ``every`` batches.
+    """
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        reduce_batch(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        reduce_batch(batch).write.mode("overwrite").parquet(ranges.part(out, batch_id, batch_id))
+        if merge is not None and (batch_id + 1) % every == 0:
+            ranges.merge_parts(spark, out, merge, batch_id)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -77,7 +90,7 @@ def write_partials(
 
 
 def read_partials(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(*[path for _, _, path in ranges.current(spark, out)])
 
 
 # Each pair: the reduction of a batch, and the merge of the partials.
@@ -131,7 +144,7 @@ def running_counts(
     """
 
     def write(table: DataFrame, batch_id: int) -> None:
-        table.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        table.write.mode("overwrite").parquet(ranges.part(out, 0, batch_id))
 
     return (
         stream.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -144,7 +157,16 @@ def running_counts(
 
 
 def last_counts(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version of the running counts."""
-    versions = spark.read.parquet(out)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
+    """The newest finished version of the running counts; all but the last two are deleted."""
+    return spark.read.parquet(ranges.newest(spark, out))
+
+
+def facets(results: DataFrame) -> DataFrame:
+    """One row per result and facet: ``facet, value`` for tag, backbone and review group."""
+    group = review_group(F.col("repo_accessible"), F.col("classify_failed"), F.col("backbone"))
+    pairs = {"tag": F.col("tag"), "backbone": F.col("backbone"), "review_group": group}
+    return results.where("is_result").select(
+        F.explode(
+            F.array(*[F.struct(F.lit(k).alias("facet"), v.alias("value")) for k, v in pairs.items()])
+        ).alias("f")
+    ).select("f.facet", "f.value")

@@ -7,37 +7,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from usemeter.config import UsageSpec
-from usemeter.operators.upsert import upsert
+from usemeter.operators.upsert import place_rows
+from usemeter.streaming import ranges
 
 
-def sheet_version(out: str, batch_id: int) -> str:
-    return f"{out}/version={batch_id}"
+def current_sheet(spark: SparkSession, base: str, out: str, before: int | None = None) -> DataFrame:
+    """The sheet after all finished batches (or those ``before`` one): each row's last form.
+
+    ``base`` is the sheet that the stream began with, ``out`` has changed and new rows by batch.
+    """
+    sheet = spark.read.parquet(base)
+    columns = [c for c in sheet.columns if c != "row_no"]
+    parts = ranges.current(spark, out, before)
+    if not parts:
+        return sheet
+    changes = spark.read.parquet(*[path for _, _, path in parts])
+    rows = sheet.withColumn("_batch", F.lit(-1).cast("bigint")).unionByName(changes)
+    return last_forms(rows, columns).select("row_no", *columns)
+
+
+def last_forms(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The last form of every row: ``row_no``, the columns, and the batch it came with."""
+    last = rows.groupBy("row_no").agg(F.max_by(F.struct(*columns), "_batch").alias("_r"), F.max("_batch").alias("_batch"))
+    return last.select("row_no", "_r.*", "_batch")
 
 
 def upsert_stream(
-    spark: SparkSession, base: str, stream: DataFrame, out: str, checkpoint: str, spec: UsageSpec
+    spark: SparkSession, base: str, stream: DataFrame, out: str, checkpoint: str, spec: UsageSpec,
+    every: int = 32,
 ) -> StreamingQuery:
-    """Merges every micro-batch into the sheet and writes the result as a new version.
+    """Writes of every micro-batch only the rows that it changes or appends.
 
-    Batch 0 starts from ``base``.  A table cannot be overwritten while it is read, and a
-    repeated batch starts from the version before it, so it writes the same rows again.
+    A batch is matched with the sheet as the finished batches before it left it; a folder without its
+    success marker does not count, and a repeated batch writes the same rows again.  After ``every``
+    batches the changes are merged into one folder.
     """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        before = base if batch_id == 0 else sheet_version(out, batch_id - 1)
-        merged = upsert(spark.read.parquet(before), batch, spec)
-        merged.write.mode("overwrite").parquet(sheet_version(out, batch_id))
+    columns = list(spec.sheet_headers)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sheet = current_sheet(spark, base, out, before=batch_id)
+        replacing, appended = place_rows(sheet, batch, spec)
+        changed = replacing.unionByName(appended).join(batch, "ord").select("row_no", *columns)
+        changed.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
+            ranges.part(out, batch_id, batch_id)
+        )
+        if (batch_id + 1) % every == 0:
+            ranges.merge_parts(spark, out, lambda rows: last_forms(rows, columns), batch_id)
 
     return (
-        stream.writeStream.foreachBatch(merge)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-
-
-def current_sheet(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version of the sheet; only its folder is read (partition pruning)."""
-    versions = spark.read.parquet(out)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
