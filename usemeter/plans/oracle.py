@@ -688,6 +688,45 @@ UNION ALL SELECT 'unmappable', 0, 'no repo column and label column found'
 UNION ALL SELECT 'wide', 0, 'more than 8 columns'
 UNION ALL SELECT 'foreign', 0, 'not a CSV file'"""
 
+ORACLE["old_encoding_sheet"] = """
+SELECT 'Caf\u00e9 \u2013 \u20ac ' || c_custkey AS project, 'github.com/o/r' || c_custkey AS github FROM customer"""
+
+ORACLE["limited_load"] = """
+SELECT 'order ' || o_orderkey AS project, 'github.com/o/r' || o_custkey AS github
+FROM orders ORDER BY o_orderkey LIMIT 100"""
+
+ORACLE["snapshot_scan"] = f"""WITH {CORPUS}
+SELECT repo_key, status::BIGINT AS status, tree_status::BIGINT AS tree_status, truncated AS tree_truncated,
+       file_count AS paths, last, characters
+FROM repos JOIN (
+  SELECT repo_key, max(doc_id) AS last, sum(length(CASE WHEN d >= 2 THEN text ELSE
+    '{{"components":[' || array_to_string(list_transform(range(1, n_chars % 13 + 1), lambda i:
+      '{{"id":"' || i || '","provider":"' || ['agent_x', 'llm_y', 'tool_z', 'webhook'][(i + doc_id) % 4 + 1] || '"}}'), ',')
+    || '],"project_id":"' || source || '"}}' || CASE WHEN n_chars % 17 = 0 THEN '{{' ELSE '' END END))::BIGINT AS characters
+  FROM paths_of_docs GROUP BY 1) USING (repo_key)""".replace("paths_of_docs", "docs")
+
+ORACLE["written_sheet"] = f"""WITH {RESULTS}
+SELECT row_number() OVER (ORDER BY ord) AS row_no, project AS project_name, github AS repo_link,
+       f_tag AS usage_tag, f_backbone AS backbone, f_score AS score
+FROM final"""
+
+ORACLE["ordered_cases"] = """
+WITH c AS (
+  SELECT s_name AS name, s_suppkey AS n, s_suppkey % 5 <> 4 AS open,
+         CASE WHEN s_suppkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+         + CASE WHEN s_suppkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+         + CASE WHEN s_suppkey >= 3 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
+         + CASE WHEN s_suppkey % 4 >= 2 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS points FROM supplier),
+s AS (
+  SELECT *, CASE WHEN open THEN points ELSE 0.0::DOUBLE END AS score,
+         CASE WHEN NOT open OR NOT (n % 3 = 0 OR n % 8 = 5) THEN 'No'
+              WHEN n % 7 = 0 THEN 'Partial' ELSE 'Yes' END AS raw FROM c),
+t AS (
+  SELECT *, CASE WHEN NOT open OR n % 6 = 2 THEN 'None' WHEN n % 4 = 1 THEN 'Less'
+                 WHEN score >= 4 AND raw <> 'No' THEN 'Significant' WHEN score >= 2 THEN 'Moderate'
+                 WHEN score >= 1 THEN 'Less' ELSE 'None' END AS tag FROM s)
+SELECT row_number() OVER (ORDER BY n) AS place, name, tag, CASE WHEN tag IN ('None', 'Less') THEN 'No' ELSE raw END AS backbone, score FROM t"""
+
 # --- streams -------------------------------------------------------------------------------
 
 HAS_VERDICT = """(contains(props, '"k": 1') OR contains(props, '"k": 7') OR contains(props, 'Significant'))"""

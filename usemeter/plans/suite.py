@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usemeter.config import FIELDS
@@ -29,7 +29,7 @@ from usemeter.plans.inputs import CORPUS_SPEC, MONITOR_SPEC, PAGES_SPEC, SPEC, t
 from usemeter.plans.verification import verify
 from usemeter.session import scratch_dir, stored
 from usemeter.sources import sheets, sinks
-from usemeter.sources.snapshots import read_replies
+from usemeter.sources.snapshots import read_cases, read_replies, read_snapshot
 from usemeter.streaming import monitor, ranges, runs, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -609,6 +609,87 @@ def sheet_inventory(spark, sf_dir):
     )
 
 
+@query
+def old_encoding_sheet(spark, sf_dir):
+    """Sheets in Windows-1252 beside one in UTF-8."""
+    out = scratch_dir(spark, "encodings")
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("Caf\u00e9 \u2013 \u20ac "), F.col("c_custkey").cast("string")).alias("Project title"),
+        F.concat(F.lit("github.com/o/r"), F.col("c_custkey").cast("string")).alias("Github Repo"),
+        "c_nationkey",
+    )
+    # Spark writes no Windows-1252; it is ISO-8859-1 but for the dash and the euro sign.
+    ansi = rows.withColumn("Project title", F.translate("Project title", "\u2013\u20ac", "\x96\x80"))
+    ansi.where("c_nationkey < 20").drop("c_nationkey").write.csv(
+        f"{out}/ansi", header=True, encoding="ISO-8859-1")
+    rows.where("c_nationkey >= 20").drop("c_nationkey").write.csv(f"{out}/utf8", header=True)
+    loaded = sheets.load_submissions(spark, f"{out}/*", SPEC, columns=8)
+    return loaded.select("project", "github")
+
+
+@query
+def limited_load(spark, sf_dir):
+    """The first hundred rows of several sheets, in sheet order."""
+    out = scratch_dir(spark, "limited")
+    table(spark, sf_dir, "orders").repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey").select(
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("Project title"),
+        F.concat(F.lit("github.com/o/r"), F.col("o_custkey").cast("string")).alias("Github Repo"),
+    ).write.csv(out, header=True)
+    return sheets.load_submissions(spark, out, SPEC, limit=100, columns=8).select("project", "github")
+
+
+@query
+def snapshot_scan(spark, sf_dir):
+    """The corpus written as a snapshot folder, read back and described per repo."""
+    out = scratch_dir(spark, "snapshot")
+    for name, df in zip(("repos", "repo_tree", "repo_files"), inputs.corpus(spark, sf_dir)):
+        df.write.parquet(f"{out}/{name}")
+    repos, tree, files = read_snapshot(spark, out)
+    listed = tree.groupBy("repo_key").agg(F.count("*").alias("paths"), F.max("tree_ord").alias("last"))
+    texts = files.groupBy("repo_key").agg(F.sum(F.char_length("text")).alias("characters"))
+    return (
+        repos.join(listed, "repo_key").join(texts, "repo_key")
+        .select("repo_key", *big("status", "tree_status"), "tree_truncated", "paths", "last", "characters")
+    )
+
+
+@query
+def written_sheet(spark, sf_dir):
+    """The verdict sheet written as Parquet and read back, rows numbered in the order of submission."""
+    out = scratch_dir(spark, "verdicts")
+    sinks.write_sheet(corpus_results(spark, sf_dir), out, CORPUS_SPEC)
+    return spark.read.parquet(out).select(
+        "row_no", "project_name", "repo_link", "usage_tag", "backbone", "score"
+    )
+
+
+@query
+def ordered_cases(spark, sf_dir):
+    """Captured cases, one JSON file each, read in order of the files and evaluated: closed repos,
+    scaffolds only, claims that say too much, and live engines among them."""
+    out = scratch_dir(spark, "cases")
+    n = F.col("s_suppkey")
+    sdk = F.struct(
+        n.cast("int").alias("callsites"), (n % 4).cast("int").alias("file_spread"),
+        (n % 3 == 0).alias("hosted"), (n % 8 == 5).alias("engine"),
+    )
+    evidence_ = F.struct(
+        (n % 5 != 4).alias("accessible"), (n % 2 == 0).alias("dependency"),
+        (n % 4 == 1).alias("scaffold_only"), (n % 6 == 2).alias("overclaim"),
+        F.when(n % 7 == 0, F.array(F.lit("langchain"))).otherwise(F.array().cast("array<string>"))
+        .alias("other_platforms"),
+        sdk.alias("sdk"),
+        F.array().cast("array<string>").alias("pipes"),
+    )
+    suppliers = table(spark, sf_dir, "supplier").repartitionByRange(64, "s_suppkey")
+    suppliers.sortWithinPartitions("s_suppkey").select(
+        F.col("s_name").alias("name"), evidence_.alias("evidence"),
+        F.struct(F.lit("None").alias("tag"), F.lit(0.0).alias("score")).alias("expect"),
+    ).write.option("maxRecordsPerFile", 1).json(out)
+    cases = read_cases(spark, out).withColumn("place", F.row_number().over(Window.orderBy("file_name")))
+    return evaluate(cases.drop("expect"), SPEC).select(*big("place"), "name", "tag", "backbone", "score")
+
+
 # --- streams ------------------------------------------------------------------------------
 
 BATCHES = 4
