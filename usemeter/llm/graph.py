@@ -16,24 +16,29 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node and its lower neighbours are tied to the least of these neighbours."""
+    """Every node and its lower neighbours are tied to the least of these neighbours: a row an edge at most, and one a node."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     tied = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.union(least.select("a", F.col("m").alias("b"))).where("a <> b")
 
 
+def _state(edges: DataFrame):
+    total = F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return edges.agg(F.count("*"), total).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges (a, b)``; the root is the component's least node.
 
     Edges without a partner, loops and repeats are harmless; an empty table gives none.  A star with any
     number of rays costs one row a ray: minima are taken map-side and the join back is one that Spark can split.
     """
-    edges = keep(edges.where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
-        edges = keep(_small_star(_large_star(edges)).distinct(), "edges")
-        state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+    edges = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    seen = _state(edges)
+    while seen[0]:
+        edges = keep(_small_star(_large_star(edges)).distinct(), "edges", rows=2 * seen[0])
+        state = _state(edges)
         if state == seen:
             break
         seen = state
