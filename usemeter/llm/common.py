@@ -14,6 +14,7 @@ from usemeter.session import scratch_dir, stored
 #: A word, for Java's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_FILE_ROWS = 100_000
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -21,13 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long: no more than ``rows`` of them go to Python at once in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def narrow(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(id, text)`` of ``df`` with null texts as empty ones; no other column can clash from here on."""
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
-def keep(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a table in the shared folder: evaluated once, lineage cut; the folder goes when the session ends."""
+def keep(df: DataFrame, purpose: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: evaluated once, lineage cut; the folder goes when the session ends.
+
+    Where at most ``rows`` rows are known to come, they go to as few files as hold ``_FILE_ROWS`` each.
+    """
+    if rows is not None:
+        df = df.coalesce(min(partitions(df.sparkSession), -(-rows // _FILE_ROWS) or 1))
     out = stored(df, purpose)
     path = out.inputFiles()[0].rpartition("/")[0] if out.inputFiles() else None
     if path:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usemeter.llm.common import crc32_of_id, keep, narrow, record_batch
+from usemeter.llm.common import crc32_of_id, keep, narrow, record_batch, small_batches
 
 GRAMS = (4, 5, 6)
 BITS = 20
@@ -186,4 +186,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text:
             scores = model.scores([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()], table)
             yield batch.filter(pa.array(scores < threshold))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(clean, docs.schema)
