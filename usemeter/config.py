@@ -103,12 +103,12 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class Caps:
-    """Caps that are part of the results (which files count, how much is shown)."""
+    """How much is shown, how far headers are looked for; ``definitions``, ``manifests`` and ``sources``
+    are the sizes of the selection in ``select_files``.  Evidence and verdicts have no caps."""
 
     definitions: int = 12
     manifests: int = 8
     sources: int = 28
-    digest_sources: int = 22
     call_sites: int = 6
     shown_sites: int = 3
     source_signals: int = 20
@@ -117,7 +117,7 @@ class Caps:
     header_rows: int = 8
     sample_rows: int = 30
     label_values: int = 8
-    attempts: int = 3
+    attempts: int | None = None  # replies that count per item; none: all
 
 
 @dataclass(frozen=True)

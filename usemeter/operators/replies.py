@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from usemeter.functions.replies import PROSE_KEYS, last_object
 
 
-def first_prose(replies: DataFrame, key: str, attempts: int, *usage_keys: str) -> DataFrame:
+def first_prose(replies: DataFrame, key: str, attempts: int | None, *usage_keys: str) -> DataFrame:
     """``key, description, usage, justification`` of the first attempt with a usable object.
 
-    ``replies(key, attempt, reply)``; attempts count from 1.  ``usage_keys`` are further names
-    under which a reply may carry the usage text.  The reply is reduced to the three texts
+    ``replies(key, attempt, reply)``; attempts count from 1, and all count unless ``attempts`` says how
+    many.  ``usage_keys`` are further names under which a reply may carry the usage text.  The reply is reduced to the three texts
     before the shuffle.
     """
     usage_names = ("usage", *usage_keys)
     wanted = (PROSE_KEYS[0], *usage_names, PROSE_KEYS[2])
     fields = ", ".join(f"{k} string" for k in wanted)
+    counting = replies if attempts is None else replies.where(F.col("attempt") <= attempts)
     found = (
-        replies.where(F.col("attempt") <= attempts)
+        counting
         .select(key, "attempt", last_object(F.col("reply"), wanted).alias("_object"))
         .where(F.col("_object").isNotNull())
         .withColumn("_o", F.from_json("_object", fields, {"allowSingleQuotes": "false"}))

@@ -268,6 +268,26 @@ def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_corpus(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """Pages as files of small repos, seven running numbers of a host each; none has a manifest."""
+    files = table(spark, sf_dir, "pages").select(
+        F.concat(
+            F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("/"),
+            F.expr("page_id div 7").cast("string"),
+        ).alias("repo_key"),
+        F.col("page_id").alias("tree_ord"),
+        F.regexp_extract("url", "^https?://[^/]+/(.*)$", 1).alias("path"),
+        F.col("html").alias("text"),
+    )
+    repos = files.select(
+        "repo_key", F.lit(200).alias("status"), F.lit(200).alias("tree_status"),
+        F.lit("main").alias("default_branch"), F.lit(False).alias("tree_truncated"),
+    ).distinct()
+    return Snapshot(
+        repos, files.select("repo_key", "tree_ord", "path"), files.select("repo_key", "path", "text")
+    )
+
+
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("ord"),

@@ -381,6 +381,15 @@ FROM repos LEFT JOIN dep USING (repo_key) LEFT JOIN sig USING (repo_key)
 LEFT JOIN plat USING (repo_key) LEFT JOIN pf USING (repo_key)
 WHERE status = 200 AND tree_status = 200"""
 
+ORACLE["scaffold_repos"] = r"""
+WITH p AS (
+  SELECT regexp_extract(url, '^https?://([^/]+)', 1) || '/' || (page_id // 7) AS repo_key,
+         regexp_extract(url, '^https?://[^/]+/(.*)$', 1) AS path FROM pages)
+SELECT repo_key, count(*) AS file_count, count(*) FILTER (WHERE path LIKE '%#top') AS definitions,
+       bool_or(path LIKE '%/') AND NOT bool_or(path LIKE '%#top') AS scaffold_only,
+       CASE WHEN bool_or(path LIKE '%/') AND NOT bool_or(path LIKE '%#top') THEN 'Less' ELSE 'None' END AS tag
+FROM p GROUP BY 1"""
+
 # --- scalar functions ----------------------------------------------------------------------
 
 PAGE_REPO = r"(?i)example\.(?:com|net|org)[/:]+([^/\s]+)/([^/\s#?]+)"
@@ -497,7 +506,7 @@ replies AS (
 prose AS (
   SELECT ord, min_by(description, attempt) AS description, min_by(usage, attempt) AS usage,
          '' AS justification
-  FROM replies WHERE attempt <= 3 AND turn % 4 <> 0 GROUP BY 1)"""
+  FROM replies WHERE turn % 4 <> 0 GROUP BY 1)"""
 
 ORACLE["reply_objects"] = f"""WITH {REPLIES}
 SELECT ord, attempt, CASE WHEN turn % 4 <> 0 THEN good END AS last_object,

@@ -252,6 +252,16 @@ def digest(spark, sf_dir):
     )
 
 
+@query
+def scaffold_repos(spark, sf_dir):
+    """Repos with a scaffold rule but neither definitions nor a dependency, and others."""
+    spec = PAGES_SPEC.with_(scaffold_suffix="/", product="no page says this")
+    found = gather(*inputs.page_corpus(spark, sf_dir), spec)
+    return evaluate(
+        found.withColumn("definitions", F.size("pipes").cast("bigint")), spec
+    ).select("repo_key", *big("file_count"), "definitions", "scaffold_only", "tag")
+
+
 # --- scalar functions --------------------------------------------------------------------
 
 
