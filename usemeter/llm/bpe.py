@@ -19,6 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _SYNC = re.compile(r"(?<=\S) (?=\S)")
 #: White space of any script but the space and the line feed.
 _RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_RARE_ASCII = [c for c in _RARE if c.isascii()]
 
 
 def vocabulary_path(name: str) -> str:
@@ -30,7 +31,7 @@ def vocabulary_path(name: str) -> str:
 def pieces(text: str) -> list[str]:
     """``text`` cut at the single spaces between words, these spaces left out."""
     even = not ("  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ")
-    if even and not any(c in text for c in _RARE):
+    if even and not any(c in text for c in (_RARE_ASCII if text.isascii() else _RARE)):
         return text.split(" ")
     return _SYNC.split(text)
 
@@ -93,7 +94,7 @@ class Encoder:
     Beyond ``limit`` pieces the half that was met most often is remembered.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 1_100_000):
         self.vocabulary, self.limit = Vocabulary(path), limit
         self.places = _Places()
         self.ids = np.zeros(0, np.uint16 if self.vocabulary.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)

@@ -50,17 +50,19 @@ def _widths(values: np.ndarray) -> np.ndarray:
 def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, ...]:
     """``(minimum, width, first_word, first_exception, words, places, highs)`` of ``ids``."""
     n_blocks = -(-len(ids) // BLOCK)
-    padded = np.empty(n_blocks * BLOCK, np.uint32)
+    kind = np.uint16 if len(ids) and ids.max() < 1 << 16 else np.uint32  # half the bytes to go through
+    padded = np.empty(n_blocks * BLOCK, kind)
     padded[: len(ids)] = ids
     padded[len(ids) :] = ids[(n_blocks - 1) * BLOCK :].min() if len(ids) else 0
     rows = padded.reshape(n_blocks, BLOCK)
-    low = rows.min(axis=1, initial=np.uint32(0xFFFFFFFF))
+    low = rows.min(axis=1, initial=np.iinfo(kind).max)
     rows = rows - low[:, None]
     at_percentile = -(-BLOCK * PERCENTILE // 100) - 1
     width = _widths(np.partition(rows, at_percentile, axis=1)[:, at_percentile])
-    patched = (rows >> np.minimum(width, 31)[:, None]).astype(bool) & (width < 32)[:, None]
+    bits = np.iinfo(kind).bits
+    patched = rows > np.where(width < bits, (1 << np.minimum(width, bits - 1).astype(np.int64)) - 1, np.iinfo(kind).max).astype(kind)[:, None]
     block, place = np.nonzero(patched)
-    highs = rows[block, place] >> width[block]
+    highs = rows[block, place].astype(np.uint32) >> width[block]
     first_exception = np.r_[0, np.cumsum(patched.sum(axis=1))].astype(np.uint64)
     first_word = np.r_[0, np.cumsum(2 * width.astype(np.int64))].astype(np.uint64)
     words = np.zeros(int(first_word[-1]), np.uint64)
@@ -68,7 +70,7 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, ...]:
         if not w:
             continue
         at = np.flatnonzero(width == w)
-        value = np.ascontiguousarray((rows[at] & np.uint32((1 << int(w)) - 1)).T).astype(np.uint64)
+        value = np.ascontiguousarray((rows[at] & kind((1 << int(w)) - 1)).T).astype(np.uint64)
         packed = np.zeros((2 * int(w), len(at)), np.uint64)
         for i in range(BLOCK):
             word, shift = divmod(i * int(w), 64)
@@ -76,7 +78,7 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, ...]:
             if shift + int(w) > 64:
                 packed[word + 1] |= value[i] >> np.uint64(64 - shift)
         words[(first_word[at].astype(np.int64)[:, None] + np.arange(2 * int(w)))] = packed.T
-    return low, width, first_word, first_exception, words, place.astype(np.uint8), highs.astype(np.uint32)
+    return low.astype(np.uint32), width, first_word, first_exception, words, place.astype(np.uint8), highs.astype(np.uint32)
 
 
 def unpack_blocks(count: int, low, width, first_word, first_exception, words, places, highs) -> np.ndarray:
