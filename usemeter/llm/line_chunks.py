@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usemeter.llm.common import small_batches
+from usemeter.llm.common import keep, small_batches
 
 _CHUNK = pa.schema([("no_id", pa.bool_()), ("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("digest", pa.binary())])
 _DOC = ["no_id", "id", "tie"]
@@ -63,8 +63,7 @@ def _lines(text: Column | str) -> Column:
 def repeated_chunks(rows: DataFrame, window: int, divisor: int, long_words: int) -> DataFrame:
     """The lines to drop: ``(no_id, id, tie, drop array<int>)`` for ``rows (no_id, id, tie, text)``."""
     found = rows.mapInArrow(_find(window, divisor, long_words), "no_id boolean, id long, tie long, start int, stop int, digest binary")
-    # Rows that repeat entirely are treated as one document.  Both uses below read one shuffle of these rows.
-    chunks = found.distinct()
+    chunks = keep(found.distinct(), "chunks")  # rows that repeat entirely are treated as one document
     place = F.struct("no_id", "id", "tie", "start")
     first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1")
     repeats = chunks.join(first.drop("m"), "digest").withColumn("is_first", place == F.col("first"))
@@ -78,7 +77,7 @@ def repeated_chunks(rows: DataFrame, window: int, divisor: int, long_words: int)
             ),
         )
     )
-    texts = rows.dropDuplicates(_DOC).join(per_doc, _DOC).select(*_DOC, F.explode(cut).alias("c")).select(*_DOC, "c.*")
+    texts = keep(rows.dropDuplicates(_DOC).join(per_doc, _DOC).select(*_DOC, F.explode(cut).alias("c")).select(*_DOC, "c.*"), "chunk-texts")
     kept = texts.where("is_first").select("digest", F.col("chunk").alias("kept"))
     same = texts.where("not is_first").join(kept, "digest").where("chunk = kept")
     return same.groupBy(*_DOC).agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(start, stop - 1)")))).alias("drop"))
