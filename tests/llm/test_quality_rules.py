@@ -39,6 +39,13 @@ def test_binomial_tail_is_exact(spark):
         assert math.isclose(got, want, rel_tol=1e-6, abs_tol=1e-300)
 
 
+def test_strata_of_one_kind_of_label_do_no_harm(spark, words):
+    rows = [(i, " ".join(words[i : i + 60]), "en" if i % 2 else "de", "a") for i in range(40)] + [(90, "\n\n", "en", "a")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = quality_verdicts(documents(spark, rows), labels).collect()
+    assert {r.kept for r in got if r.doc_id < 90} == {True} and len(got) == 41
+
+
 def test_cutoffs_are_certified_per_stratum(spark, words):
     rnd = random.Random(7)
     rows, marks = [], []

@@ -23,10 +23,10 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 #: Signal: its value, and the cutoffs that are tried; a document is rejected above the cutoff.
 SIGNALS: dict[str, tuple[str, list[float]]] = {
-    "symbols per word": ("n_symbols / n_words", [0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5]),
-    "characters per word": ("word_chars / n_words", [5.5, 6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0]),
-    "repeated words": ("n_repeat_words / n_words", [0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4]),
-    "repeated lines": ("n_dup_lines / n_lines", [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5]),
+    "symbols per word": ("n_symbols / nullif(n_words, 0)", [0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5]),
+    "characters per word": ("word_chars / nullif(n_words, 0)", [5.5, 6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0]),
+    "repeated words": ("n_repeat_words / nullif(n_words, 0)", [0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4]),
+    "repeated lines": ("n_dup_lines / nullif(n_lines, 0)", [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5]),
 }
 
 
@@ -103,7 +103,7 @@ def certified_cutoffs(counted: DataFrame, risk: float, error: float, gain: float
         .agg(*(F.sum(c).alias(f"n_{c}") for c in ("good", "bad")), *(F.sum(F.when(F.col("above") > F.col("at"), F.col(c)).otherwise(0)).alias(f"cut_{c}") for c in ("good", "bad")))
     )
     n_tests = counted.select("stratum").distinct().count() * sum(len(grid) for _, grid in SIGNALS.values())
-    parted = F.coalesce(F.col("cut_bad") / F.col("n_bad"), F.lit(0.0)) - F.col("cut_good") / F.col("n_good")
+    parted = F.coalesce(F.try_divide("cut_bad", "n_bad"), F.lit(0.0)) - F.try_divide("cut_good", "n_good")
     safe = tests.where("n_good > 0").withColumn("gain", F.round(parted, 6)).where(
         (F.col("gain") >= gain) & (binomial_tail(F.col("cut_good"), F.col("n_good"), risk) <= error / max(n_tests, 1))
     )

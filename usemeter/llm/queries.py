@@ -14,6 +14,7 @@ from usemeter.llm.line_chunks import drop_repeated_chunks
 from usemeter.llm.mixing import mix_sources
 from usemeter.llm.multiprobe import nearest
 from usemeter.llm.ngram_join import jaccard_components
+from usemeter.llm.oracle import ORACLE  # noqa: F401  the entry module takes both from here
 from usemeter.llm.quality_rules import quality_verdicts
 from usemeter.llm.token_counts import token_counts
 from usemeter.llm.token_files import token_files
@@ -46,7 +47,8 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts of all documents."""
-    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    verdicts = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return verdicts.withColumn("rejected_by", F.array_join("rejected_by", ", "))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_token_counts, op7_nearest_neighbours, op8_toxicity, op9_source_mixing, op10_tree_bpe,
     )
 }
-
-#: SQL for DuckDB where it can say the same.
-ORACLE: dict[str, str] = {}
