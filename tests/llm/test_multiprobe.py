@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from usemeter.llm.multiprobe import _bucket, best_of_block, nearest, probe_order
+from usemeter.llm.multiprobe import _bucket, best_of_block, default_hashes, default_probes, nearest, probe_order
 from usemeter.llm import multiprobe
 
 DDL = "vec_id long, embedding array<float>, label int"
@@ -22,14 +22,14 @@ def found(rows):
     return out
 
 
-@pytest.mark.parametrize("unit", [True, False])
-def test_recall(spark, unit):
+@pytest.mark.parametrize("unit, hashes", [(True, None), (False, None), (True, 6)])
+def test_recall(spark, unit, hashes):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 32)).astype(np.float32)
     x *= rng.uniform(0.5, 2, (3000, 1)) if not unit else 1 / np.linalg.norm(x, axis=1, keepdims=True)
     x = x.astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], DDL)
-    got = found(nearest(df).collect())
+    got = found(nearest(df, hashes=hashes).collect())
     x = x.astype(np.float64)
     hits = 0
     for q in range(0, 3000, 20):
@@ -41,6 +41,11 @@ def test_recall(spark, unit):
     assert hits >= 0.9 * 20 * 150
 
 
+def test_parameters_follow_the_number_of_rows():
+    assert [default_hashes(n) for n in (0, 500, 200_000, 200_001, 600_001, 10**10)] == [4, 4, 4, 5, 6, 14]
+    assert [default_probes(h) for h in (2, 4, 5, 6)] == [64, 64, 160, 400]
+
+
 def test_few_rows_and_ties_are_exact(spark, monkeypatch):
     monkeypatch.setattr(multiprobe, "BLOCK", 8)
     rng = np.random.default_rng(1)

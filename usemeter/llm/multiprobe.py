@@ -47,8 +47,13 @@ class Hashing:
 
 
 def default_hashes(rows: int) -> int:
-    """One more hash for each tripling of the rows beyond 50,000, so buckets keep about their size."""
-    return 4 + max(0, ceil(log(max(rows, 1) / 50_000, 3)))
+    """One more hash for each tripling of the rows beyond 200,000, so buckets keep about their size."""
+    return 4 + max(0, ceil(log(max(rows, 1) / 200_000, 3)))
+
+
+def default_probes(hashes: int) -> int:
+    """Two and a half times the probes for each hash: of three times as many buckets, a somewhat smaller share is visited."""
+    return round(64 * 2.5 ** max(0, hashes - 4))
 
 
 def _bucket(cells: np.ndarray) -> np.ndarray:
@@ -179,7 +184,7 @@ def valid_vectors(rows: DataFrame, vector: str, key: str) -> DataFrame:
     return rows.where(sound)
 
 
-def nearest(rows: DataFrame, k: int = 20, every: int = 20, tables: int = 2, hashes: int | None = None, width: float = 1.5, probes: int = 64, seed: int = 5, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+def nearest(rows: DataFrame, k: int = 20, every: int = 20, tables: int = 2, hashes: int | None = None, width: float = 1.5, probes: int | None = None, seed: int = 5, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each id divisible by ``every`` the ``k`` largest inner products found.
 
     Null, zero and unsound vectors and null ids take no part, nor do vectors of another length than the
@@ -196,7 +201,8 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, tables: int = 2, hash
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     facts = index.agg(F.count("*").alias("n"), F.max(square).alias("square")).first()
     norm = float(np.sqrt(facts["square"])) * (1 + 1e-12)
-    hashing = Hashing(tables, hashes or default_hashes(facts["n"]), width, probes, 1.1, seed)
+    hashes = hashes or default_hashes(facts["n"])
+    hashing = Hashing(tables, hashes, width, probes or default_probes(hashes), 1.1, seed)
     entries = keep(index.mapInArrow(_entries(hashing, dimension, norm, every), _ENTRY_DDL), "entries")
     found = keep(_searched(entries, k), "found")
     enough = min(k, facts["n"] - 1)
