@@ -77,8 +77,9 @@ def main():
             diff = compare(spark, con, name, query, sql[name], sf_dir) if name in sql else "no SQL"
         except Exception as e:  # noqa: BLE001
             diff = f"{type(e).__name__}: {str(e)[:700]}"
-        bad += diff is not None
-        print(f"{'ok  ' if diff is None else 'DIFF'} {name:24s} {time.time() - start:6.2f}s {diff or ''}",
+        bad += diff is not None and diff != "no SQL"
+        mark = "ok  " if diff is None else "--  " if diff == "no SQL" else "DIFF"
+        print(f"{mark} {name:24s} {time.time() - start:6.2f}s {diff or ''}",
               flush=True)
     print(f"{bad} differ")
     sys.exit(bad > 0)
