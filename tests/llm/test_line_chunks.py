@@ -66,6 +66,14 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     assert drop_repeated_chunks(no_docs).count() == 0 and without_repeats(no_docs).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    text = "first line of two here\nsecond line of two here"
+    rows = [(5, text, "en", "a")] * 3 + [(9, "a\n" + text + "\nb " + "x " * 60, "en", "a")] * 2 + [(5, "other\n" + text, "en", "a")]
+    got = drop_repeated_chunks(documents(spark, rows)).collect()
+    assert len(got) == 6 and [r.text for r in got if r.doc_id == 5].count(text) in (0, 3)
+    assert len({r.text for r in got if r.doc_id == 9}) == 1
+
+
 def test_null_ids_stand_last(spark):
     text = "first line of two here\nsecond line of two here"
     rows = [(None, text, "en", "a"), (5, text, "en", "a"), (9, "a\n" + text + "\nb", "en", "a")]

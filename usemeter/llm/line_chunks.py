@@ -67,7 +67,8 @@ def _lines(text: Column | str) -> Column:
 def repeated_chunks(rows: DataFrame, windows: Sequence[int], divisor: int, long_words: int) -> DataFrame:
     """The lines to drop: ``(no_id, id, tie, drop array<int>)`` for ``rows (no_id, id, tie, text)``."""
     found = rows.mapInArrow(_find(windows, divisor, long_words), "no_id boolean, id long, tie long, start int, stop int, digest binary")
-    chunks = keep(found.distinct(), "chunks")  # rows that repeat entirely are treated as one document
+    # Rows that repeat entirely are one document: their chunks have one place, so all of them are first or none.
+    chunks = keep(found, "chunks")
     place = F.struct("no_id", "id", "tie", "start")
     first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1")
     repeats = chunks.join(first.drop("m"), "digest").withColumn("is_first", place == F.col("first"))
@@ -81,8 +82,8 @@ def repeated_chunks(rows: DataFrame, windows: Sequence[int], divisor: int, long_
             ),
         )
     )
-    texts = keep(rows.dropDuplicates(_DOC).join(per_doc, _DOC).select(*_DOC, F.explode(cut).alias("c")).select(*_DOC, "c.*"), "chunk-texts")
-    kept = texts.where("is_first").select("digest", F.col("chunk").alias("kept"))
+    texts = keep(rows.join(per_doc, _DOC).select(*_DOC, F.explode(cut).alias("c")).select(*_DOC, "c.*"), "chunk-texts")
+    kept = texts.where("is_first").groupBy("digest").agg(F.min("chunk").alias("kept"))
     same = texts.where("not is_first").join(kept, "digest").where("chunk = kept")
     return same.groupBy(*_DOC).agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(start, stop - 1)")))).alias("drop"))
 
