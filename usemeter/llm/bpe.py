@@ -173,11 +173,15 @@ class Encoder:
         return self.vocabulary.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker process's encoder of this file: what one task has learnt serves the next."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, limit: int = 1_100_000) -> Encoder:
+    """The worker process's encoder of this file: what one task has learnt serves the next.
+
+    A remembered piece takes about 250 bytes; fewer remembered ones cost more calls of the library.
+    """
+    if (path, limit) not in _encoders:
+        _encoders.clear()
+        _encoders[path, limit] = Encoder(path, limit)
+    return _encoders[path, limit]

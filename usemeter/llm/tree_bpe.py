@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from usemeter.llm.bpe import Encoder, encoder
 from usemeter.llm.common import narrow, partitions, record_batch
 
+#: Pieces that a task remembers; what it has learnt goes with it, later stages have the memory.
+REMEMBERED = 250_000
 _SYNC = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = re.compile(r"[A-Za-z]+\Z")
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded_sha256", pa.string())])
@@ -117,10 +119,10 @@ def tree_encode(docs: DataFrame, vocabulary: str, leaf_chars: int = 32_768, text
     rows = narrow(docs, text, key)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = Encoder(vocabulary, REMEMBERED)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 plain = iter(enc.encode(t for t in texts if "<" not in t))
                 yield _result(enc, part.column("id").to_pylist(), [encode_text(enc, t, leaf_chars) if "<" in t else next(plain) for t in texts])
@@ -134,13 +136,13 @@ def tree_encode(docs: DataFrame, vocabulary: str, leaf_chars: int = 32_768, text
                 yield record_batch(_LEAF, [i] * m, [digest] * m, [copy] * m, range(m), [t[a:b] for a, b in zip([0, *ends[:-1]], ends)])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = Encoder(vocabulary, REMEMBERED)
         for batch in batches:
             ids = enc.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in ids], pa.binary())], schema=_ENCODED)
 
     def join(leaves: pa.Table) -> pa.Table:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, 1000)
         rows = leaves.sort_by("leaf")
         parts = rows.column("text").to_pylist()
         whole = "".join(parts)
