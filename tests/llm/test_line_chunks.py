@@ -79,3 +79,19 @@ def test_null_ids_stand_last(spark):
     rows = [(None, text, "en", "a"), (5, text, "en", "a"), (9, "a\n" + text + "\nb", "en", "a")]
     got = {r.doc_id: r.text for r in drop_repeated_chunks(documents(spark, rows)).collect()}
     assert got[5] == text
+
+
+def test_short_lined_passages_of_fifty_words_go_in_full(spark, words):
+    rnd = random.Random(8)
+    line = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    passages = []
+    for i in range(60):
+        n = 2 + i % 4
+        passages.append([line(-(-50 // n) + rnd.randint(0, 3)) for _ in range(n)])
+    passages += [[line(45), line(70), "", line(6)], [line(3), line(49), line(2)]]
+    rows = [(k * 100 + i, "\n".join([line(9) for _ in range(rnd.randint(1, 4))] + p + [line(9) for _ in range(3)]), "en", "a") for k in range(2) for i, p in enumerate(passages)]
+    got = {r.doc_id: r for r in drop_repeated_chunks(documents(spark, rows)).collect()}
+    for i, p in enumerate(passages):
+        kept, left = got[i].text.split("\n"), got[100 + i].text.split("\n")
+        assert got[i].n_removed == 0 and all(x in kept for x in p) and not [x for x in p if x and x in left]
+        assert got[100 + i].n_lines - got[100 + i].n_removed == len(rows[len(passages) + i][1].split("\n")) - len(p)

@@ -3,7 +3,9 @@
 A rolling hash over the hashes of the last few lines ends a chunk where its remainder says so; lines of
 ``long_words`` words or more are chunks of their own.  Inserted or deleted lines move no later boundary.  Each
 length of the rolling window and each of ``divisor`` remainders gives one chunking, so a boundary that one
-misses another has.  A chunk counts if it
+misses another has.  Besides, from each line and to
+each line the shortest run of lines that reaches ``long_words`` words is a chunk, so a repeated passage of that many
+words goes in full, wherever boundaries fall.  A chunk counts if it
 has two lines with words, or is one long line.  Of chunks with the same 128-bit hash the first in order of
 (id, text hash, line) stays; the others go once their bytes have been compared with it.
 """
@@ -25,6 +27,30 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 
 
+def _runs(lines: list[str], words: list[int], long_words: int) -> Iterator[tuple[int, int]]:
+    """From each line with words the shortest run that reaches ``long_words`` words, and to each the shortest such run.
+
+    Together they cover every line with words of any passage of so many words, wherever it starts and ends.
+    """
+    at = [i for i, w in enumerate(words) if w]
+    total = [0]
+    for i in at:
+        total.append(total[-1] + (words[i] if words[i] > 1 else len(lines[i].encode().split())))
+    stop = 0
+    for start in range(len(at)):
+        while stop < len(at) and total[stop] - total[start] < long_words:
+            stop += 1
+        if total[stop] - total[start] < long_words:
+            break
+        yield at[start], at[stop - 1] + 1
+    start = 0
+    for stop in range(1, len(at) + 1):
+        while total[stop] - total[start + 1] >= long_words:
+            start += 1
+        if total[stop] - total[start] >= long_words:
+            yield at[start], at[stop - 1] + 1
+
+
 def chunk_spans(lines: list[str], windows: Sequence[int] = (1, 2, 3), divisor: int = 2, long_words: int = 50) -> list[tuple[int, int]]:
     """``(start, stop)`` of the chunks of all chunkings that count."""
     hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
@@ -44,6 +70,7 @@ def chunk_spans(lines: list[str], windows: Sequence[int] = (1, 2, 3), divisor: i
             else:
                 ends[(((rolling ^ (rolling >> 31)) * 0xC2B2AE3D27D4EB4F & _MASK) >> 40) % divisor].append(i + 1)
         spans.update(span for e in ends for span in zip([0, *e], e))
+    spans.update(_runs(lines, words, long_words))
     return sorted(s for s in spans if sum(map(bool, words[s[0] : s[1]])) > 1 or (s[1] - s[0] == 1 and is_long[s[0]]))
 
 
