@@ -49,6 +49,13 @@ def keep(df: DataFrame, purpose: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder in the shared folder, gone when the session ends."""
+    path = scratch_dir(spark, purpose)
+    _scratch.append((spark, path))
+    return path
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _scratch:

@@ -87,9 +87,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS rejected_by
 FROM based LEFT JOIN rejected USING (doc_id)"""
 
+ARCHIVE = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p),
+r AS (SELECT *, CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM f)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r"""
+
 
 ORACLE: dict[str, str] = {
     "op2_html_extraction": MAIN_TEXT,
     "op4_ngram_join": JACCARD,
     "op5_quality_rules": quality(),
+    "op13_warc_archive": ARCHIVE,
 }

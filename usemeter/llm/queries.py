@@ -20,6 +20,7 @@ from usemeter.llm.token_counts import token_counts
 from usemeter.llm.token_files import token_files
 from usemeter.llm.toxicity import toxicity_scores
 from usemeter.llm.tree_bpe import tree_encode
+from usemeter.llm.warc_archive import archived
 
 VOCABULARY = "byte_bpe_50k.json"
 END_OF_TEXT = 2
@@ -78,10 +79,18 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, archived by content and put together again."""
+    return archived(table(spark, sf_dir, "pages")).select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_html_extraction, op3_token_files, op4_ngram_join, op5_quality_rules,
         op6_token_counts, op7_nearest_neighbours, op8_toxicity, op9_source_mixing, op10_tree_bpe,
+        op13_warc_archive,
     )
 }
