@@ -56,12 +56,18 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch files that nothing reads any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _scratch:
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            discard(spark, path)
         except Exception:  # the session may have ended before: nothing is left to ask
             return
 

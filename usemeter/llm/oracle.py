@@ -87,6 +87,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS rejected_by
 FROM based LEFT JOIN rejected USING (doc_id)"""
 
+
+def clustering(k: int = 8, rounds: int = 10, seed: str = "3") -> str:
+    """Lloyd's rounds in plain SQL: every distance of every round."""
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = 64)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, x) - 1 AS cluster, x AS c FROM v QUALIFY cluster < {k})""",
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT r, vec_id, x, cluster, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance
+  FROM v, c{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""m{n} AS MATERIALIZED (
+  SELECT cluster, list(floor(s / n)::BIGINT ORDER BY i) AS c
+  FROM (SELECT cluster, i, sum(e)::DOUBLE AS s, count(*) AS n
+        FROM (SELECT cluster, unnest(x) AS e, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY 1, 2) GROUP BY 1),
+c{n + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, o.c) AS c FROM c{n} o LEFT JOIN m{n} m USING (cluster))"""
+            )
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all({_ASCII}, '{_TERMS}')) AS term FROM documents),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM docs GROUP BY 1, 2, 3),
+lens AS (SELECT r, count(*) AS n FROM docs GROUP BY 1),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lens),
+norms AS (SELECT r, 10 + (90 * n * n_docs) // n_terms AS m FROM lens, total),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, total),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_ASCII}, '{_TERMS}')) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM items JOIN tf USING (term) JOIN weights USING (term) JOIN norms USING (r) GROUP BY 1, 2, 3)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10"""
+
 ARCHIVE = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p),
@@ -99,5 +147,7 @@ ORACLE: dict[str, str] = {
     "op2_html_extraction": MAIN_TEXT,
     "op4_ngram_join": JACCARD,
     "op5_quality_rules": quality(),
+    "op11_centroid_clustering": clustering(),
+    "op12_ranked_search": RANKED,
     "op13_warc_archive": ARCHIVE,
 }

@@ -16,6 +16,8 @@ from usemeter.llm.multiprobe import nearest
 from usemeter.llm.ngram_join import jaccard_components
 from usemeter.llm.oracle import ORACLE  # noqa: F401  the entry module takes both from here
 from usemeter.llm.quality_rules import quality_verdicts
+from usemeter.llm.shallot import cluster_vectors
+from usemeter.llm.term_pipeline import ranked_search
 from usemeter.llm.token_counts import token_counts
 from usemeter.llm.token_files import token_files
 from usemeter.llm.toxicity import toxicity_scores
@@ -79,6 +81,16 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of all vectors after ten rounds with eight centroids."""
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed="3")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all pages, archived by content and put together again."""
     return archived(table(spark, sf_dir, "pages")).select(
@@ -91,6 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_line_dedup, op2_html_extraction, op3_token_files, op4_ngram_join, op5_quality_rules,
         op6_token_counts, op7_nearest_neighbours, op8_toxicity, op9_source_mixing, op10_tree_bpe,
-        op13_warc_archive,
+        op11_centroid_clustering, op12_ranked_search, op13_warc_archive,
     )
 }
