@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from usemeter.operators.digest import digest
 from usemeter.operators.evidence import call_sites, called_definitions, find, gather
-from usemeter.operators.files import file_signals, longest_base
+from usemeter.operators.files import definition_names, file_signals
 
 
 def flow(*providers, **more):
@@ -127,11 +127,38 @@ def test_a_repo_of_many_definitions_and_callers(spark, spec):
 def test_a_long_line_sends_little(spark, spec):
     line = "x" * 2_000_000 + " client.use('main.pipe') " + "y" * 2_000_000
     repos, tree, files = tables(spark, {"c/min": [("main.pipe", flow("webhook")), ("src/min.js", line)]})
-    told = file_signals(files, spec, longest_base(tree, spec)).where("path = 'src/min.js'")
+    told = file_signals(files, spec, definition_names(tree, spec)).where("path = 'src/min.js'")
     assert told.select(F.length(F.to_json("signals"))).first()[0] < 1000
     assert gather(repos, tree, files, spec).first().pipes[0].called
 
 
+def test_what_leaves_the_scan_names_something(spark, spec):
+    """200 name lengths and 100,000 places of the suffix in one file, few of them names of the repo."""
+    names = ["n" * i + ".pipe" for i in range(1, 201)]
+    places = " ".join(f"x{i % 50_000}.pipe" for i in range(100_000))
+    text = f"client.use(1)\n{places}\n" + "\n".join(f"load z{'n' * i}.pipe" for i in range(1, 201, 7))
+    files = [(f"d/{n}", flow("webhook")) for n in names] + [("src/a.py", text)]
+    repos, tree, texts = tables(spark, {"c/many": files, "c/other": [("q.pipe", "{}"), ("src/b.py", text)]})
+    told = file_signals(texts, spec, definition_names(tree, spec)).where("path like 'src/%'")
+    lines = told.select("path", F.explode("signals.call_lines").alias("l")).select("path", "l.line", "l.names").collect()
+    assert {r.line for r in lines if r.path == "src/b.py"} == {1}
+    by_line = {r.line: r.names for r in lines if r.path == "src/a.py"}
+    assert len(by_line.pop(2, [])) < 50  # false hits of the sketch at most
+    assert {n: set(v) for n, v in by_line.items()} == {1: set()} | {
+        3 + k: {"n" * j + ".pipe" for j in range(1, i + 1)} for k, i in enumerate(range(1, 201, 7))}
+    r = {r.repo_key: r for r in gather(repos, tree, texts, spec).collect()}
+    assert [len(p.path) - 7 for p in r["c/many"].pipes if p.called] == list(range(1, 198))
+    assert not r["c/other"].pipes[0].called
+
+
+def test_names_that_hold_the_suffix_themselves(spark, spec):
+    files = [(n, "{}") for n in ("a.pipe", "a.pipe.pipe", "b.pipe-a.pipe", "c.pipe")]
+    files += [("src/x.py", "client.use('q-a.pipe.pipe b.pipe-a.pipe')")]
+    r = gather(*tables(spark, {"c/s": files}), spec).first()
+    assert {p.path: p.called for p in r.pipes} == {
+        "a.pipe": True, "a.pipe.pipe": True, "b.pipe-a.pipe": True, "c.pipe": False}
+
+
 def test_sites_are_counted_and_the_first_shown(spark, spec):
     text = "\n".join(["open main.pipe"] * 3 + ["client.use(1)"] * 9 + ["load('main.pipe')"])
     r = gather(*tables(spark, {"c/s": [("main.pipe", flow("webhook")), ("src/a.py", text)]}), spec).first()

@@ -1,6 +1,7 @@
 """Streams against the same operators on the whole input at once."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,13 +129,14 @@ def test_parts_are_merged_and_never_counted_twice(spark, tmp_path):
     merge = lambda p: runs.merge_counts(p, "k")
     for i in range(3):
         frame(1).write.parquet(ranges.part(out, i, i))
-    ranges.merge_parts(spark, out, merge, 2)
+    assert ranges.merge_levels(spark, out, merge, 2, fanout=2) is None
+    ranges.merge_levels(spark, out, merge, 2, fanout=3)
     assert [f[:2] for f in ranges.current(spark, out)] == [(0, 2)]
     frame(1).write.mode("overwrite").parquet(ranges.part(out, 2, 2))  # a repeated batch
     frame(1).write.parquet(ranges.part(out, 3, 3))
     (tmp_path / "parts" / "part=4-4").mkdir()  # not finished
     assert merge(runs.read_partials(spark, out)).first().n == 4
-    ranges.merge_parts(spark, out, merge, 3)
+    ranges.merge_levels(spark, out, merge, 3, fanout=2)
     assert merge(runs.read_partials(spark, out)).first().n == 4
     assert [f[:2] for f in ranges.finished(spark, out)] == [(0, 2), (0, 3), (3, 3)]
     assert [f[:2] for f in ranges.current(spark, out, before=3)] == [(0, 2)]
@@ -143,10 +145,36 @@ def test_parts_are_merged_and_never_counted_twice(spark, tmp_path):
 def test_a_merged_stream_takes_a_repeated_batch(spark, tmp_path, source):
     out, log = str(tmp_path / "out"), str(tmp_path / "log")
     merge = lambda p: runs.merge_counts(p, "tag")
-    start = lambda: runs.write_partials(source.where("is_result"), runs.count_batch("tag"), out, log, merge, every=2)
+    start = lambda: runs.write_partials(source.where("is_result"), runs.count_batch("tag"), out, log, merge, fanout=2)
     start().awaitTermination()
     ranges.forget_commit(spark, log, 1)
     start().awaitTermination()
     assert {tuple(r) for r in merge(runs.read_partials(spark, out)).collect()} == {
         ("Less", 2), ("Moderate", 1), ("None", 2)}
     assert len(ranges.current(spark, out)) == 1
+
+
+def test_levels_rewrite_each_batch_once_a_level():
+    """Bytes written again over 256 batches: n log n, where one folder for all history took n * n / every."""
+    for n, fanout in ((256, 4), (256, 2), (250, 3), (64, 8)):
+        rewritten, open_ = 0, []
+        for b in range(n):
+            open_.append((b, b))
+            span = ranges.span_of(b, fanout)
+            inside = [f for f in open_ if f[0] > b - span]
+            if span > 1:
+                rewritten += sum(last - first + 1 for first, last in inside)
+                open_ = [f for f in open_ if f not in inside] + [(b + 1 - span, b)]
+            assert open_[0][0] == 0 and all(x[1] + 1 == y[0] for x, y in zip(open_, open_[1:]))
+            assert len(open_) <= (fanout - 1) * (math.ceil(math.log(n, fanout)) + 1)
+        assert rewritten <= n * math.log(n, fanout) + 1e-6
+
+
+def test_merged_levels_tell_the_same(spark, tmp_path):
+    out = str(tmp_path / "parts")
+    merge = lambda p: runs.merge_counts(p, "k")
+    for i in range(9):
+        spark.createDataFrame([("a", 1 << i)], "k string, n bigint").write.parquet(ranges.part(out, i, i))
+        ranges.merge_levels(spark, out, merge, i, fanout=3)
+        assert merge(runs.read_partials(spark, out)).first().n == (2 << i) - 1
+    assert [f[:2] for f in ranges.current(spark, out)] == [(0, 8)]

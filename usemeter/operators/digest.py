@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usemeter.config import UsageSpec
-from usemeter.functions.text import lines, strip, words_in
+from usemeter.functions.dictionary import words_of
+from usemeter.functions.text import lines, strip
 from usemeter.operators.evidence import open_repos
 from usemeter.operators.files import ordered_files, path_kind, tree_facts
 
@@ -24,7 +25,7 @@ def dependency_lines(files: DataFrame, spec: UsageSpec, *keep: str) -> DataFrame
 
 def source_patterns(files: DataFrame, spec: UsageSpec, *keep: str) -> DataFrame:
     """Every (file, pattern) found: ``*keep, pattern_no, pattern``."""
-    found = words_in(F.col("low"), spec.source_patterns)
+    found = words_of(F.col("low"), spec.source_patterns)
     listed = F.array(*[F.lit(p) for p in spec.source_patterns])
     return (
         files.withColumn("low", F.lower("text"))
@@ -43,7 +44,7 @@ def first_patterns(hits: DataFrame, spec: UsageSpec, key: str, order: str) -> Da
 
 def platforms_per_repo(files: DataFrame, spec: UsageSpec) -> DataFrame:
     """``repo_key, platforms``: the sorted distinct dictionary words of a repo's texts."""
-    found = files.select("repo_key", F.explode(words_in(F.lower("text"), spec.platforms)).alias("p"))
+    found = files.select("repo_key", F.explode(words_of(F.lower("text"), spec.platforms)).alias("p"))
     return found.groupBy("repo_key").agg(F.array_sort(F.collect_set("p")).alias("platforms"))
 
 
@@ -63,7 +64,7 @@ def digest(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec)
         lambda l: F.concat(F.col("path"), F.lit(": "), strip(l)),
     )
     found_patterns = F.transform(
-        words_in(low, spec.source_patterns), lambda p: F.concat(F.col("path"), F.lit(": "), p)
+        words_of(low, spec.source_patterns), lambda p: F.concat(F.col("path"), F.lit(": "), p)
     )
     speaking = (
         files.select("repo_key", "path", "text", path_kind(F.col("path"), spec).alias("kind"))
@@ -73,7 +74,7 @@ def digest(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec)
             "repo_key", "path",
             F.when(manifest & F.contains(low, F.lit(spec.product)), found_lines)
             .when(source, found_patterns).otherwise(none).alias("said"),
-            words_in(low, spec.platforms).alias("platforms"),
+            words_of(low, spec.platforms).alias("platforms"),
         )
         .where((F.size("said") > 0) | (F.size("platforms") > 0))
     )

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usemeter.config import UsageSpec
+from usemeter.operators.clustering import may_hold, sketch, sketch_bits
 from usemeter.operators.files import (
-    base_name, file_signals, longest_base, ordered_files, tree_facts,
+    base_name, definition_names, file_signals, ordered_files, tree_facts,
 )
+from usemeter.session import stored
 
 
 def open_repos(repos: DataFrame) -> DataFrame:
@@ -24,52 +26,38 @@ class Found(NamedTuple):
     files: DataFrame  # repo_key, path, kind, place, signals (null: the text says nothing)
     named: DataFrame  # repo_key, base, path, place, line, snippet, has_call: a line names a base
     calls: DataFrame  # repo_key, path, line, snippet: a line of a caller calls the client
+    tree: DataFrame  # the paths of open repos
 
 
 def find(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec) -> Found:
     """Every file of every open repo, and the lines that name a definition or call the client.
 
-    A name counts wherever it ends in a line.  As all names end with the definition suffix, each
-    place of the suffix gives one key per name length of the repo, and keys meet names in an
-    equi-join on (repo, name).
+    Texts are read once: only those of open repos, which a sketch of their keys tells at the scan, are
+    looked at, and what they say is stored.  A name counts wherever it ends in a line; lines leave the
+    scan with the names that a sketch of all names lets through, and an equi-join on (repo, name) keeps
+    the true ones.
     """
-    reachable = open_repos(repos)
-    signals = file_signals(files, spec, longest_base(tree, spec))
-    found = (
-        ordered_files(tree, spec).join(reachable, "repo_key", "left_semi")
-        .join(signals, ["repo_key", "path"], "left")
-    )
-    bases = found.where("kind = 'definition'").select(
-        "repo_key", base_name(F.col("path")).alias("base")
-    ).distinct()
-    lengths = bases.groupBy("repo_key").agg(
-        F.collect_set(F.char_length("base")).alias("lengths")  # at most the longest name's length
+    reachable = stored(open_repos(repos), "open")
+    bits = sketch_bits(reachable.count())
+    may_be_open = may_hold(sketch(reachable, "repo_key", bits=bits), "repo_key", bits=bits)
+    listed = tree.where(may_be_open)
+    names = stored(definition_names(listed, spec), "names")
+    signals = file_signals(files.where(may_be_open), spec, names)
+    found = stored(
+        ordered_files(listed, spec).join(reachable, "repo_key", "left_semi")
+        .join(signals, ["repo_key", "path"], "left"), "found"
     )
     told = (
         found.where("kind = 'source'")
         .select("repo_key", "path", "place", F.explode("signals.call_lines").alias("l"))
         .select("repo_key", "path", "place", "l.*")
     )
-    keys = F.explode(
-        F.array_distinct(
-            F.flatten(
-                F.transform(
-                    "ends",
-                    lambda e: F.transform(
-                        F.filter("lengths", lambda n: n <= F.char_length(e)),
-                        lambda n: F.right(e, n),
-                    ),
-                )
-            )
-        )
-    )
     named = (
-        told.where(F.size("ends") > 0).join(lengths, "repo_key")
-        .select("repo_key", "path", "place", "line", "snippet", "has_call", keys.alias("base"))
-        .join(bases, ["repo_key", "base"])
+        told.select("repo_key", "path", "place", "line", "snippet", "has_call", F.explode("names").alias("base"))
+        .join(names, ["repo_key", "base"])
     )
     calls = told.where("has_call").select("repo_key", "path", "line", "snippet")
-    return Found(found, named, calls)
+    return Found(found, named, calls, listed.join(reachable, "repo_key", "left_semi"))
 
 
 def called_definitions(found: Found) -> DataFrame:
@@ -179,7 +167,7 @@ def gather(repos: DataFrame, tree: DataFrame, files: DataFrame, spec: UsageSpec)
     )
     is_open = (F.col("status") == 200) & (F.col("tree_status") == 200)
     none = F.array()
-    listed = tree_facts(tree, spec).join(open_repos(repos), "repo_key", "left_semi")
+    listed = tree_facts(found.tree, spec)
     joined = (
         repos.join(listed, "repo_key", "left").join(repo_facts(found), "repo_key", "left")
         .join(pipes, "repo_key", "left")

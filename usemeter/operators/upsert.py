@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usemeter.config import UsageSpec
@@ -13,36 +13,47 @@ from usemeter.operators.skew import lookup_join
 from usemeter.session import stored
 
 
-def match_rows(sheet: DataFrame, new: DataFrame, spec: UsageSpec) -> DataFrame:
-    """``ord, target``: the sheet row each new row replaces, or null for a row to append.
+def name_of_row(spec: UsageSpec) -> Column:
+    """A sheet row's name key; null for unnamed rows, which no name finds."""
+    named = F.col("project_name").isNotNull() & (F.col("project_name") != "")
+    return F.when(named, name_key(F.col("project_name")))
 
-    A row is matched by name, otherwise by repo.  The later of two sheet rows owns a key.
-    Unnamed sheet rows have no name key.  Both lookups take the largest row number per key,
-    a partial aggregate, and tolerate hot keys.
+
+def repo_of_row(spec: UsageSpec) -> Column:
+    return F.when(~repo_missing(F.col("repo_link"), spec), repo_key(F.col("repo_link"), spec))
+
+
+def match_keys(keyed: DataFrame, by_name: DataFrame, by_repo: DataFrame) -> DataFrame:
+    """``keyed`` (``ord, _name, _repo``) with the columns of its owner: by name, otherwise by repo.
+
+    ``by_name`` has ``_name, _by_name`` and more, ``by_repo`` ``_repo, _by_repo`` and more, a row a key.
+    Both lookups tolerate hot keys.
     """
-    by_name = (
-        sheet.where(F.col("project_name").isNotNull() & (F.col("project_name") != ""))
-        .groupBy(name_key(F.col("project_name")).alias("_name"))
-        .agg(F.max("row_no").alias("_by_name"))
-    )
-    by_repo = (
-        sheet.where(~repo_missing(F.col("repo_link"), spec))
-        .groupBy(repo_key(F.col("repo_link"), spec).alias("_repo"))
-        .agg(F.max("row_no").alias("_by_repo"))
-    )
-    repo = F.when(
-        ~repo_missing(F.col("repo_link"), spec), repo_key(F.col("repo_link"), spec)
-    )
-    keyed = new.select(
-        "ord", name_key(F.col("project_name")).alias("_name"), repo.alias("_repo")
-    )
     named = lookup_join(keyed, by_name, "_name", spread_by="ord")
     # a row matched by name needs no second lookup and is spread like a row without a key
     open_rows = named.withColumn("_repo", F.when(F.col("_by_name").isNull(), F.col("_repo")))
     counts = (
         keyed.where(F.col("_repo").isNotNull()).groupBy("_repo").agg(F.count("*").alias("n"))
     )
-    both = lookup_join(open_rows, by_repo, "_repo", spread_by="ord", counts=counts)
+    return lookup_join(open_rows, by_repo, "_repo", spread_by="ord", counts=counts)
+
+
+def match_rows(sheet: DataFrame, new: DataFrame, spec: UsageSpec) -> DataFrame:
+    """``ord, target``: the sheet row each new row replaces, or null for a row to append.
+
+    A row is matched by name, otherwise by repo.  The later of two sheet rows owns a key.
+    Unnamed sheet rows have no name key.  Both lookups take the largest row number per key, a
+    partial aggregate.
+    """
+    keys = sheet.select("row_no", name_of_row(spec).alias("_name"), repo_of_row(spec).alias("_repo"))
+    by_name, by_repo = (
+        keys.where(F.col(k).isNotNull()).groupBy(k).agg(F.max("row_no").alias(f"_by{k}"))
+        for k in ("_name", "_repo")
+    )
+    keyed = new.select(
+        "ord", name_key(F.col("project_name")).alias("_name"), repo_of_row(spec).alias("_repo")
+    )
+    both = match_keys(keyed, by_name, by_repo)
     return both.select("ord", F.coalesce("_by_name", "_by_repo").alias("target"))
 
 

@@ -376,27 +376,6 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as new results in whose order no row changes what a later one matches: hits by name,
-    several per row, and rows of their own."""
-    status = F.col("o_orderstatus")
-    named = table(spark, sf_dir, "customer").where("c_nationkey <> 3").select(
-        F.expr("c_custkey div 2").alias("pair")
-    ).distinct()
-    orders = table(spark, sf_dir, "orders").withColumn("_pair", F.expr("o_custkey div 2"))
-    orders = orders.join(named, F.col("_pair") == F.col("pair"), "left")
-    name = (
-        F.when((status == "F") & F.col("pair").isNotNull(), F.concat(F.lit("cust "), F.col("pair").cast("string")))
-        .when(status != "P", F.concat(F.lit("new "), F.col("o_orderkey").cast("string")))
-        .otherwise("")
-    )
-    given = {
-        "project_name": name, "repo_link": F.lit("-"), "notes": F.col("o_orderpriority"),
-        "score": F.col("o_totalprice"),
-    }
-    return orders.select(F.col("o_orderkey").alias("ord"), *sheet_columns(SPEC, given))
-
-
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as lines of a run's progress stream; sign-ups are cut off in the middle."""
     kind, key = F.col("event_type"), F.col("event_id")

@@ -76,6 +76,13 @@ VERDICTS = f"WITH {CUSTOMER_DEFINITIONS}, {facts()}"
 
 ORACLE["evaluate_score"] = f"{VERDICTS} SELECT * FROM verdicts"
 
+ORACLE["given_layers"] = f"""{VERDICTS}
+SELECT repo_key, CASE WHEN repo_key % 3 > 0 AND repo_key % 2 = 0 THEN 'acme' ELSE 'none' END AS ingest, 'none' AS retrieval,
+       CASE WHEN backbone IN ('Yes', 'Partial') THEN 'acme' ELSE 'none' END AS orchestration,
+       CASE WHEN repo_key % 3 > 0 AND repo_key % 5 = 0 THEN 'other' WHEN backbone = 'Yes' THEN 'acme'
+            WHEN backbone = 'Partial' THEN 'other' ELSE 'none' END AS reasoning, 'none' AS output
+FROM verdicts"""
+
 ORACLE["score_breakdown"] = f"""{VERDICTS}
 SELECT repo_key, 0::BIGINT AS part, '' AS name, 'dependency in manifest' AS signal, 1.0::DOUBLE AS points
 FROM facts WHERE dependency
@@ -637,13 +644,32 @@ SELECT (SELECT max(row_no) FROM sheet) + row_number() OVER (ORDER BY ord), proje
 FROM matched WHERE target IS NULL"""
 
 ORACLE["upsert_merge"] = UPSERT
-_CHANGES = UPSERT[UPSERT.index("chg AS (") : UPSERT.index("by_name AS (")]
-ORACLE["stream_upsert"] = UPSERT.replace(_CHANGES, """chg AS (
-  SELECT o_orderkey AS ord, CASE WHEN o_orderstatus = 'F' AND o_custkey // 2 IN
-             (SELECT c_custkey // 2 FROM customer WHERE c_nationkey <> 3) THEN 'cust ' || (o_custkey // 2)
-           WHEN o_orderstatus <> 'P' THEN 'new ' || o_orderkey ELSE '' END AS project_name,
-         '-' AS repo_link, o_orderpriority AS notes, o_totalprice AS score FROM orders),
-""")
+
+
+def _upsert_batches(batches: int) -> str:
+    """The upsert batch by batch: each meets the sheet as the ones before left it."""
+    name = r"regexp_replace(lower(trim(project_name)), '\s+', ' ', 'g')"
+    repo = r"regexp_replace(lower(regexp_extract(repo_link, 'github\.com/(.*)', 1)), '\.git$', '')"
+    parts = [UPSERT[UPSERT.index("sheet AS (") : UPSERT.index("by_name AS (")].rstrip().rstrip(",").replace("sheet AS (", "s0 AS MATERIALIZED (", 1)]
+    for b in range(batches):
+        parts.append(
+            f"""n{b} AS (SELECT {name} AS k, max(row_no) AS row_no FROM s{b} WHERE project_name <> '' GROUP BY 1),
+r{b} AS (SELECT {repo} AS k, max(row_no) AS row_no FROM s{b} WHERE contains(repo_link, 'github.com') GROUP BY 1),
+m{b} AS MATERIALIZED (
+  SELECT c.*, coalesce(n.row_no, r.row_no) AS target
+  FROM (SELECT *, {name} AS nk, CASE WHEN contains(repo_link, 'github.com') THEN {repo} END AS rk FROM chg WHERE ord % {batches} = {b}) c
+  LEFT JOIN n{b} n ON n.k = nk LEFT JOIN r{b} r ON r.k = rk),
+l{b} AS MATERIALIZED (SELECT * FROM m{b} WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target ORDER BY ord DESC) = 1),
+s{b + 1} AS MATERIALIZED (
+  SELECT * FROM s{b} WHERE row_no NOT IN (SELECT target FROM l{b})
+  UNION ALL SELECT target, project_name, repo_link, notes, score FROM l{b}
+  UNION ALL SELECT (SELECT max(row_no) FROM s{b}) + row_number() OVER (ORDER BY ord), project_name, repo_link, notes, score
+  FROM m{b} WHERE target IS NULL)"""
+        )
+    return f"WITH {', '.join(parts)} SELECT * FROM s{batches}"
+
+
+ORACLE["stream_upsert"] = _upsert_batches(4)
 
 # --- sheets --------------------------------------------------------------------------------
 
@@ -680,19 +706,21 @@ SELECT sheet_id, col_no, count(*) AS rows, count(*) FILTER (WHERE v <> '') AS fi
 FROM cells GROUP BY 1, 2"""
 
 ORACLE["csv_scan"] = f"""
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS row_no, 'Doc ' || doc_id AS project,
+SELECT lang, row_number() OVER (PARTITION BY lang, doc_id // 2000 ORDER BY doc_id) AS row_no, 'Doc ' || doc_id AS project,
        source AS names, lang || '@x.example' AS emails,
        'https://github.com/' || source || '/d' || doc_id AS github, '' AS demo, '' AS deployed,
        md5(trim(text, {STRIP_CHARS})) AS feedback_md5
 FROM documents"""
 
+ORACLE["csv_ranges"] = ORACLE["csv_scan"]
+
 ORACLE["attached_replies"] = """
 SELECT 'order ' || o_orderkey AS project, 'https://github.com/o/r' || o_custkey AS github,
        o_orderpriority AS feedback, CASE WHEN o_orderpriority < '3' THEN 'order ' || o_orderkey END AS description
 FROM orders"""
 
 ORACLE["sheet_inventory"] = """
-SELECT 'good' AS kind, count(*) AS rows, 'loaded' AS reason FROM customer WHERE c_nationkey < 10
+SELECT 'good' AS kind, count(*) AS rows, 'loaded' AS reason FROM customer WHERE c_nationkey NOT IN (10, 11, 12)
 UNION ALL SELECT 'unmappable', 0, 'no repo column and label column found'
 UNION ALL SELECT 'wide', 0, 'more than 8 columns'
 UNION ALL SELECT 'foreign', 0, 'not a CSV file'"""
@@ -714,6 +742,13 @@ FROM repos JOIN (
     || '],"project_id":"' || source || '"}}' || CASE WHEN n_chars % 17 = 0 THEN '{{' ELSE '' END END))::BIGINT AS characters
   FROM paths_of_docs GROUP BY 1) USING (repo_key)""".replace("paths_of_docs", "docs")
 
+ORACLE["clustered_scan"] = f"""WITH scan AS ({ORACLE["snapshot_scan"]}), ranges AS (SELECT max(doc_id // 2000) + 1 AS n FROM documents),
+sent AS (SELECT DISTINCT 'src' || (c_custkey % 20) || '/r' || ((c_custkey // 20) % n) AS repo_key
+         FROM customer, ranges WHERE c_nationkey NOT IN (7, 8, 9))
+SELECT scan.* FROM scan SEMI JOIN sent USING (repo_key)"""
+
+ORACLE["clustered_verification"] = ORACLE["sheet_projection"]
+
 ORACLE["written_sheet"] = f"""WITH {RESULTS}
 SELECT row_number() OVER (ORDER BY ord) AS row_no, project AS project_name, github AS repo_link,
        f_tag AS usage_tag, f_backbone AS backbone, f_score AS score
@@ -762,6 +797,30 @@ SELECT CASE WHEN failed OR event_id % 3 <> 0 THEN 'None' ELSE 'Moderate' END AS
 FROM (SELECT *, event_type IN ('error', 'signup') AS failed FROM events WHERE event_type <> 'view')
 GROUP BY 1, 2"""
 
+ORACLE["stream_latest_counts"] = """
+WITH e AS (
+  SELECT *, user_id AS run, event_id % 10 AS idx FROM events WHERE event_type <> 'view'),
+named AS (
+  SELECT event_id, event_type FROM e WHERE event_type <> 'signup'
+  QUALIFY row_number() OVER (PARTITION BY run, idx ORDER BY event_id DESC) = 1),
+r AS (
+  SELECT CASE WHEN failed OR event_id % 3 <> 0 THEN 'None' ELSE 'Moderate' END AS tag,
+         CASE WHEN failed THEN 'No' WHEN event_id % 5 = 0 THEN 'Yes' ELSE '?' END AS backbone,
+         failed, event_id % 11 <> 0 AND event_id % 7 <> 0 AS through
+  FROM (SELECT event_id, event_type = 'error' AS failed FROM named
+        UNION ALL SELECT event_id, true FROM e WHERE event_type = 'signup'))
+SELECT 'tag' AS facet, tag AS value, count(*) AS n FROM r GROUP BY 1, 2
+UNION ALL SELECT 'backbone', backbone, count(*) FROM r GROUP BY 1, 2
+UNION ALL SELECT 'review_group', CASE WHEN failed OR NOT through THEN 'review' ELSE backbone END, count(*)
+FROM r GROUP BY 1, 2"""
+
+ORACLE["stream_exact_progress"] = """
+SELECT user_id AS run_id, max(regexp_extract(props, '"k": (\\d+)', 1)::BIGINT) AS total,
+       count(DISTINCT event_id % 10) FILTER (WHERE event_type IN ('purchase', 'error')) AS results,
+       count(DISTINCT event_id % 10) FILTER (WHERE event_type IN ('purchase', 'error'))
+         >= max(regexp_extract(props, '"k": (\\d+)', 1)::BIGINT) AS done
+FROM events GROUP BY 1"""
+
 ORACLE["stream_latest"] = """
 SELECT user_id AS run_id, event_id % 10 AS idx, max(event_id) AS seq,
        arg_max(event_type, event_id) AS event, arg_max(value, event_id) AS value

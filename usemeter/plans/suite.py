@@ -7,8 +7,9 @@ joined text.  The logic is in the operators, the stand-in inputs in ``inputs``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usemeter.config import FIELDS
@@ -21,6 +22,7 @@ from usemeter.operators import duplicates, reports, results
 from usemeter.operators import evidence
 from usemeter.operators.evidence import gather
 from usemeter.operators.files import sdk_rollup, select_files
+from usemeter.operators.numbering import number_rows
 from usemeter.operators.replies import first_prose
 from usemeter.operators.upsert import upsert
 from usemeter.operators.verdicts import breakdown_rows, evaluate, score_repos
@@ -29,7 +31,7 @@ from usemeter.plans.inputs import CORPUS_SPEC, MONITOR_SPEC, PAGES_SPEC, SPEC, t
 from usemeter.plans.verification import verify
 from usemeter.session import scratch_dir, stored
 from usemeter.sources import sheets, sinks
-from usemeter.sources.snapshots import read_cases, read_replies, read_snapshot
+from usemeter.sources.snapshots import Snapshot, of_repos, read_cases, read_replies, read_snapshot, write_snapshot
 from usemeter.streaming import monitor, ranges, runs, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -423,6 +425,24 @@ def public_fields(spark, sf_dir):
     )
 
 
+@query
+def given_layers(spark, sf_dir):
+    """Layer maps where some rows bring values of their own: valid ones stay, others are derived."""
+    given = F.when(
+        F.col("repo_key") % 3 > 0,
+        F.create_map(
+            F.lit("ingest"), F.when(F.col("repo_key") % 2 == 0, " ACME ").otherwise("vendor"),
+            F.lit("reasoning"), F.when(F.col("repo_key") % 5 == 0, "Other"),
+            F.lit("output"), F.when(F.col("repo_key") % 7 < 3, "none").otherwise(""),
+        ),
+    )
+    layers = present.layer_map(F.col("backbone"), SPEC, given)
+    names = ("ingest", "retrieval", "orchestration", "reasoning", "output")
+    return customer_verdicts(spark, sf_dir).select(
+        "repo_key", *[F.element_at(layers, n).alias(n) for n in names]
+    )
+
+
 @query
 def result_lines(spark, sf_dir):
     """Public fields written as JSON lines and read back."""
@@ -539,29 +559,45 @@ def column_profile(spark, sf_dir):
     )
 
 
-@query
-def csv_scan(spark, sf_dir):
-    """Documents written as a submission sheet per language and read back, with each row's place.
-
-    Texts run over many lines.
-    """
+def document_sheets(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as submission sheets, one for each language and 2,000 running numbers."""
     out = scratch_dir(spark, "sheets")
-    doc = F.col("doc_id").cast("string")
-    table(spark, sf_dir, "documents").repartition("lang").sortWithinPartitions("lang", "doc_id").select(
+    doc, part = F.col("doc_id").cast("string"), F.expr("doc_id div 2000")
+    docs = table(spark, sf_dir, "documents").withColumn("part", part)
+    docs.repartition("lang", "part").sortWithinPartitions("lang", "part", "doc_id").select(
         F.concat(F.lit("Doc "), doc).alias("Project title"),
         F.col("source").alias("Team Members Names"),
         F.concat("lang", F.lit("@x.example")).alias("Team Members Emails"),
         F.concat(F.lit("https://github.com/"), "source", F.lit("/d"), doc).alias("Github Repo"),
         F.col("text").alias("Feedback"),
-        "lang",
-    ).write.partitionBy("lang").csv(out, header=True, quote='"', escape='"')
-    rows = sheets.load_submissions(spark, out, SPEC, columns=16)
+        "lang", "part",
+    ).write.partitionBy("lang", "part").csv(out, header=True, quote='"', escape='"')
+    return out
+
+
+def loaded_documents(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.regexp_extract("sheet_id", "lang=([a-z]+)", 1).alias("lang"), "row_no",
         *[f for f in FIELDS if f != "feedback"], F.md5("feedback").alias("feedback_md5")
     )
 
 
+@query
+def csv_scan(spark, sf_dir):
+    """Documents written as submission sheets and read back, with each row's place.
+
+    Texts run over many lines.
+    """
+    return loaded_documents(sheets.load_submissions(spark, document_sheets(spark, sf_dir), SPEC, columns=16))
+
+
+@query
+def csv_ranges(spark, sf_dir):
+    """The same sheets, each read by byte ranges: records are found from the quotes before them."""
+    out = document_sheets(spark, sf_dir)
+    return loaded_documents(sheets.load_submissions(spark, out, SPEC, columns=16, range_bytes=0))
+
+
 @query
 def attached_replies(spark, sf_dir):
     """Replies stored under the row keys of one load and joined to the rows of a second load."""
@@ -598,7 +634,7 @@ def sheet_inventory(spark, sf_dir):
         "c_nationkey",
     )
     good = customers.withColumn("kind", F.lit("good"))
-    good.where("c_nationkey < 10").write.csv(f"{out}/good", header=True)
+    good.where("c_nationkey NOT IN (10, 11, 12)").write.csv(f"{out}/good", header=True)
     customers.where("c_nationkey = 10").select(F.col("Project title").alias("City")).write.csv(
         f"{out}/unmappable", header=True)
     customers.where("c_nationkey = 11").select(
@@ -663,6 +699,38 @@ def snapshot_scan(spark, sf_dir):
     )
 
 
+def clustered_corpus(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """The corpus written as a clustered snapshot and read back."""
+    out = scratch_dir(spark, "clustered")
+    write_snapshot(inputs.corpus(spark, sf_dir), out)
+    return read_snapshot(spark, out)
+
+
+@query
+def clustered_scan(spark, sf_dir):
+    """What a clustered snapshot has of the submitted repos, by pruned reads."""
+    url = F.col("github")
+    submitted = inputs.corpus_submissions(spark, sf_dir).where(~repo_missing(url, CORPUS_SPEC))
+    keys = submitted.select(repo_key(url, CORPUS_SPEC).alias("repo_key")).distinct()
+    repos, tree, files = of_repos(clustered_corpus(spark, sf_dir), keys)
+    listed = tree.groupBy("repo_key").agg(F.count("*").alias("paths"), F.max("tree_ord").alias("last"))
+    texts = files.groupBy("repo_key").agg(F.sum(F.char_length("text")).alias("characters"))
+    return (
+        repos.join(listed, "repo_key").join(texts, "repo_key")
+        .select("repo_key", *big("status", "tree_status"), "tree_truncated", "paths", "last", "characters")
+    )
+
+
+@query
+def clustered_verification(spark, sf_dir):
+    """All submissions verified against a clustered snapshot: only their repos' texts are read."""
+    replies = inputs.corpus_replies(spark, sf_dir).select("ord", "attempt", "reply")
+    verified = verify(
+        inputs.corpus_submissions(spark, sf_dir), clustered_corpus(spark, sf_dir), replies, CORPUS_SPEC
+    )
+    return results.sheet_rows(verified, CORPUS_SPEC)
+
+
 @query
 def written_sheet(spark, sf_dir):
     """The verdict sheet written as Parquet and read back, rows numbered in the order of submission."""
@@ -696,7 +764,7 @@ def ordered_cases(spark, sf_dir):
         F.col("s_name").alias("name"), evidence_.alias("evidence"),
         F.struct(F.lit("None").alias("tag"), F.lit(0.0).alias("score")).alias("expect"),
     ).write.option("maxRecordsPerFile", 1).json(out)
-    cases = read_cases(spark, out).withColumn("place", F.row_number().over(Window.orderBy("file_name")))
+    cases = number_rows(read_cases(spark, out), "file_name", "place")
     return evaluate(cases.drop("expect"), SPEC).select(*big("place"), "name", "tag", "backbone", "score")
 
 
@@ -705,52 +773,63 @@ def ordered_cases(spark, sf_dir):
 BATCHES = 4
 
 
-def written_in_order(rows: DataFrame, order: str, form: str = "parquet") -> str:
-    """``rows`` in a few files by ranges of ``order``, the first range's file written first."""
+class Feed(NamedTuple):
+    """Rows that arrive in batches: ``send(i)`` writes the files of one, which the stream then finds."""
+
+    path: str
+    send: Callable[[int], None]
+
+
+def feed(rows: DataFrame, order: str, form: str = "parquet", batch: Column | None = None) -> Feed:
+    """``rows`` in batches by ranges of ``order``, or by ``batch`` (0, 1, ...)."""
     folder = scratch_dir(rows.sparkSession, "arriving")
-    ranged = stored(
-        rows.repartitionByRange(BATCHES, order).withColumn("_range", F.spark_partition_id()), "ranged"
+    dealt = (
+        rows.repartitionByRange(BATCHES, order).withColumn("_batch_no", F.spark_partition_id())
+        if batch is None else rows.withColumn("_batch_no", batch)
     )
-    for i in range(BATCHES):
-        one = ranged.where(F.col("_range") == i).drop("_range", *([order] if form == "text" else []))
-        one.coalesce(1).write.format(form).save(f"{folder}/{i}")
-    return f"{folder}/*"
+    kept = stored(dealt, "batches")
+
+    def send(i: int) -> None:
+        one = kept.where(F.col("_batch_no") == i).drop("_batch_no", *([order] if form == "text" else []))
+        one.write.format(form).save(f"{folder}/{i}")
+
+    return Feed(f"{folder}/*", send)
 
 
-def arriving(spark: SparkSession, rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` as they would arrive: one file per batch, in order."""
-    files = written_in_order(rows, order)
-    schema = spark.read.parquet(files).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(files)
+def arriving(spark: SparkSession, rows: DataFrame, order: str, batch: Column | None = None) -> tuple[DataFrame, Feed]:
+    """``rows`` as they would arrive: a stream and what feeds it."""
+    given = feed(rows, order, batch=batch)
+    return spark.readStream.schema(rows.schema).parquet(given.path), given
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Feed]:
     return arriving(spark, table(spark, sf_dir, "events"), "event_id")
 
 
-def run_twice(start, spark: SparkSession, checkpoint: str) -> None:
-    """Runs a stream to its end, takes back its last commit, and lets it repeat that batch."""
-    query_ = start()
-    query_.awaitTermination()
+def run_batches(start, given: Feed, spark: SparkSession, checkpoint: str) -> None:
+    """Runs a stream over each batch as it arrives, takes back its last commit, and lets it repeat that batch."""
+    for i in range(BATCHES):
+        given.send(i)
+        query_ = start()
+        query_.awaitTermination()
     ranges.forget_commit(spark, checkpoint, query_.lastProgress["batchId"])
     start().awaitTermination()
 
 
-def run_partials(spark, stream, reduce_batch, purpose, merge=None) -> DataFrame:
-    """Partials of all batches, the last one repeated; merged after every three if ``merge`` is given."""
+def run_partials(spark, stream, given, reduce_batch, purpose, merge=None) -> DataFrame:
+    """Partials of all batches, the last one repeated; merged in levels of two if ``merge`` is given."""
     out, checkpoint = scratch_dir(spark, purpose), scratch_dir(spark, f"{purpose}-log")
-    run_twice(
-        lambda: runs.write_partials(stream, reduce_batch, out, checkpoint, merge, every=3),
-        spark, checkpoint,
+    run_batches(
+        lambda: runs.write_partials(stream, reduce_batch, out, checkpoint, merge, fanout=2),
+        given, spark, checkpoint,
     )
     return runs.read_partials(spark, out)
 
 
-def routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def routed_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Feed]:
     """Verification events as lines, some cut off: failed items end as error results."""
-    files = written_in_order(inputs.event_lines(spark, sf_dir), "event_id", "text")
-    events = runs.read_events(spark, files, files_per_batch=1)
-    return runs.route_errors(events, SPEC.WORKER_ERROR)
+    given = feed(inputs.event_lines(spark, sf_dir), "event_id", "text")
+    return runs.route_errors(runs.read_events(spark, given.path), SPEC.WORKER_ERROR), given
 
 
 @query
@@ -758,82 +837,118 @@ def stream_counts(spark, sf_dir):
     """Events and verdict-carrying events per type, merged from per-batch partial counts."""
     verdict = monitor.has_verdict(F.col("props"), MONITOR_SPEC)
     merge = lambda p: runs.merge_counts(p, "event_type")
-    partials = run_partials(
-        spark, event_stream(spark, sf_dir), runs.count_batch("event_type", verdicts=verdict),
-        "counts", merge,
+    return merge(
+        run_partials(
+            spark, *event_stream(spark, sf_dir), runs.count_batch("event_type", verdicts=verdict),
+            "counts", merge,
+        )
     )
-    return merge(partials)
 
 
 @query
 def stream_running_counts(spark, sf_dir):
     """Stateful running counts of real verdicts by tag, backbone and review group."""
     out, log = scratch_dir(spark, "running"), scratch_dir(spark, "running-log")
-    verdicts = runs.facets(routed_events(spark, sf_dir))
-    run_twice(lambda: runs.running_counts(verdicts, ("facet", "value"), out, log), spark, log)
+    events, given = routed_events(spark, sf_dir)
+    verdicts = runs.facets(events)
+    run_batches(lambda: runs.running_counts(verdicts, ("facet", "value"), out, log), given, spark, log)
     return runs.last_counts(spark, out).select("facet", "value", "n")
 
 
 @query
 def stream_results(spark, sf_dir):
     """Results by tag and backbone, with the failed ones among them."""
-    ended = routed_events(spark, sf_dir).where("is_result")
+    events, given = routed_events(spark, sf_dir)
     merge = lambda p: runs.merge_counts(p, "tag", "backbone")
-    partials = run_partials(
-        spark, ended, runs.count_batch("tag", "backbone", failed=F.col("failed")), "results", merge
+    return merge(
+        run_partials(
+            spark, events.where("is_result"), given,
+            runs.count_batch("tag", "backbone", failed=F.col("failed")), "results", merge,
+        )
     )
-    return merge(partials)
+
+
+@query
+def stream_latest_counts(spark, sf_dir):
+    """Items by tag, backbone and review group of their last result: re-verified items count once."""
+    out, log = scratch_dir(spark, "latest-counts"), scratch_dir(spark, "latest-counts-log")
+    events, given = routed_events(spark, sf_dir)
+    state = "tag string, backbone string, repo_accessible boolean, classify_failed boolean"
+    run_batches(
+        lambda: runs.latest_counts(
+            spark, events.where("is_result"), ("run_id", "idx"), "seq", state, runs.facets, out, log, fanout=2
+        ),
+        given, spark, log,
+    )
+    return runs.read_latest_counts(spark, out).select("facet", "value", "n")
 
 
 @query
 def stream_latest(spark, sf_dir):
-    events = event_stream(spark, sf_dir).select(
+    stream, given = event_stream(spark, sf_dir)
+    events = stream.select(
         F.col("user_id").alias("run_id"), (F.col("event_id") % 10).alias("idx"),
         F.col("event_id").alias("seq"), F.col("event_type").alias("event"), "value",
     )
     keys = ("run_id", "idx")
     reduce_batch = runs.latest_batch(keys, "seq", "event", "value")
-    partials = run_partials(spark, events, reduce_batch, "latest", reduce_batch)
+    partials = run_partials(spark, events, given, reduce_batch, "latest", reduce_batch)
     return runs.latest(partials, keys, "seq", "event", "value")
 
 
 @query
 def stream_progress(spark, sf_dir):
-    events = event_stream(spark, sf_dir).select(
-        F.col("user_id").alias("run_id"),
+    events, given = progress_events(spark, sf_dir)
+    merge = lambda p: runs.merge_progress(p).drop("done")
+    partials = run_partials(spark, events, given, runs.progress_batch(), "progress", merge)
+    return runs.merge_progress(partials).select("run_id", *big("total"), "results", "done")
+
+
+def progress_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Feed]:
+    stream, given = event_stream(spark, sf_dir)
+    events = stream.select(
+        F.col("user_id").alias("run_id"), (F.col("event_id") % 10).cast("int").alias("idx"),
         F.get_json_object("props", "$.k").cast("int").alias("total"),
         F.col("event_type").isin("purchase", "error").alias("is_result"),
     )
-    merge = lambda p: runs.merge_progress(p).drop("done")
-    partials = run_partials(spark, events, runs.progress_batch(), "progress", merge)
-    return runs.merge_progress(partials).select("run_id", *big("total"), "results", "done")
+    return events, given
+
+
+@query
+def stream_exact_progress(spark, sf_dir):
+    """Distinct ended items of each run, although items end several times and a batch is repeated."""
+    events, given = progress_events(spark, sf_dir)
+    partials = run_partials(spark, events, given, runs.ended_items(), "ended", runs.merge_ended)
+    return runs.exact_progress(partials).select("run_id", *big("total"), "results", "done")
 
 
 @query
 def stream_monitor(spark, sf_dir):
     """Tally per listening window and event type."""
+    stream, given = event_stream(spark, sf_dir)
     events = monitor.windowed(
-        event_stream(spark, sf_dir).select(
-            "ts", F.col("event_type").alias("event"), F.col("props").alias("body")
-        )
+        stream.select("ts", F.col("event_type").alias("event"), F.col("props").alias("body"))
     )
     keys = ("window_start", "event")
     merge = lambda p: runs.merge_counts(p, *keys)
-    partials = run_partials(
-        spark, events, lambda b: monitor.tally(b, MONITOR_SPEC, *keys), "monitor", merge
+    return merge(
+        run_partials(
+            spark, events, given, lambda b: monitor.tally(b, MONITOR_SPEC, *keys), "monitor", merge
+        )
     )
-    return merge(partials)
 
 
 @query
 def stream_upsert(spark, sf_dir):
-    """Re-verified rows arrive in several batches and go into the standing sheet."""
+    """Re-verified rows arrive in four batches, each matched with the sheet as the ones before left it."""
     base = scratch_dir(spark, "sheet")
     inputs.standing_sheet(spark, sf_dir).write.parquet(base)
-    changes = arriving(spark, inputs.stream_changes(spark, sf_dir), "ord")
+    changes, given = arriving(
+        spark, inputs.order_changes(spark, sf_dir), "ord", batch=(F.col("ord") % BATCHES).cast("int")
+    )
     out, log = scratch_dir(spark, "changes"), scratch_dir(spark, "changes-log")
-    run_twice(
-        lambda: upserts.upsert_stream(spark, base, changes, out, log, SPEC, every=3), spark, log
+    run_batches(
+        lambda: upserts.upsert_stream(spark, base, changes, out, log, SPEC, fanout=2), given, spark, log
     )
     return upserts.current_sheet(spark, base, out).select(
         "row_no", "project_name", "repo_link", "notes", "score"

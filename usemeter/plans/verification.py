@@ -12,7 +12,7 @@ from usemeter.operators.evidence import gather
 from usemeter.operators.replies import first_prose
 from usemeter.operators.results import result_rows
 from usemeter.operators.verdicts import evaluate
-from usemeter.sources.snapshots import Snapshot
+from usemeter.sources.snapshots import Snapshot, of_repos
 
 
 def repo_outcomes(snapshot: Snapshot, spec: UsageSpec) -> DataFrame:
@@ -24,8 +24,8 @@ def repo_outcomes(snapshot: Snapshot, spec: UsageSpec) -> DataFrame:
 def submitted_only(snapshot: Snapshot, submissions: DataFrame, spec: UsageSpec) -> Snapshot:
     """The part of a snapshot that the submissions name, whatever their number.
 
-    Only the repo table is reduced here: files of other repos end at the evidence's join with the open
-    repos, as a few signals a file.  Nothing is counted or run while the plan is built.
+    Clustered tables are read in the row groups of these repos only; what else there is of trees and texts
+    ends at the evidence's sketch of the open repos, before any text is looked at.
     """
     url = F.col("github")
     keys = (
@@ -33,7 +33,7 @@ def submitted_only(snapshot: Snapshot, submissions: DataFrame, spec: UsageSpec)
         .select(repo_key(url, spec).alias("repo_key"))
         .distinct()
     )
-    return snapshot._replace(repos=snapshot.repos.join(keys, "repo_key", "left_semi"))
+    return of_repos(snapshot, keys)
 
 
 def verify(

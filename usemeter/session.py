@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _local_root: str | None = None
+_scratch: list[tuple[SparkSession, str, int]] = []  # with the thread that stored it
 
 
 def build_session(app: str = "usemeter", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,8 +52,37 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written once to the shared folder, for results that several branches need.
 
-    It survives lost executors, cuts the lineage and gives later joins a known size.
+    It survives lost executors, cuts the lineage and gives later joins a known size.  It goes when
+    the program ends.
     """
     path = scratch_dir(df.sparkSession, purpose)
+    _scratch.append((df.sparkSession, path, threading.get_ident()))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """What this thread stores inside goes at the end: for steps that are repeated for as long as a stream runs."""
+    own = threading.get_ident()
+    before = {path for _, path, _ in _scratch}
+    try:
+        yield
+    finally:
+        for entry in [e for e in _scratch if e[2] == own and e[1] not in before]:
+            _delete(*entry[:2])
+            _scratch.remove(entry)
+
+
+@atexit.register
+def _delete_stored() -> None:
+    for spark, path, _ in _scratch:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended before: nothing is left to ask
+            return

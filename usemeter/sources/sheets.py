@@ -12,9 +12,9 @@ from usemeter.config import FIELDS, HEADER_ALIASES, LABEL_HINTS, UsageSpec
 from usemeter.functions.binding import let
 from usemeter.functions.repo import is_repo_link
 from usemeter.functions.text import BLANK_CLASS, any_of, blank_if_null, first_line, header_key, strip
-from usemeter.operators.numbering import number_rows
 from usemeter.operators.skew import lookup_join
 from usemeter.session import stored
+from usemeter.sources.csv_ranges import read_ranges
 
 COLUMNS = 256
 _SENTINELS = 8  # cells beyond the columns read that tell a wider sheet
@@ -30,8 +30,26 @@ _C1_TO = bytes(_C1).decode("cp1252")
 _FILES = {"pathGlobFilter": "*.[cC][sS][vV]"}
 
 
-def _scan(spark: SparkSession, path: str, encoding: str, columns: int) -> DataFrame:
-    """``sheet_id, row_no, cells`` of all rows, cut behind their last filled cell.
+def _csv_options(encoding: str, columns: int) -> dict[str, str]:
+    return {
+        "header": "false", "multiLine": "true", "quote": '"', "escape": '"', "encoding": encoding,
+        "maxColumns": str(max(20_480, columns + _SENTINELS)), "maxCharsPerColumn": "-1",
+    }
+
+
+def _cells_of(cells: Column) -> Column:
+    """Cells cut behind the last filled one."""
+    return F.slice(cells, F.lit(1), _filled_width(cells))
+
+
+def default_range_bytes(spark: SparkSession) -> int:
+    """Spark's own limit for a task's part of a file: larger files are read by ranges of it."""
+    return int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")))
+
+
+def _scan(spark: SparkSession, path: str, encoding: str, columns: int, upto: int) -> DataFrame:
+    """``sheet_id, row_no, cells`` of all rows of files of up to ``upto`` bytes, cut behind their last filled cell.
 
     A multi-line file is read in order by one task, so the running id grows by one a row within a
     sheet; less the sheet's first one it is the place in the sheet, whatever else the task reads.
@@ -39,15 +57,28 @@ def _scan(spark: SparkSession, path: str, encoding: str, columns: int) -> DataFr
     """
     width = columns + _SENTINELS
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    raw = spark.read.options(**_FILES).csv(
-        path, schema=schema, header=False, multiLine=True, quote='"', escape='"',
-        encoding=encoding, maxColumns=max(20_480, width), maxCharsPerColumn=-1,
-    )
+    raw = spark.read.options(**_FILES, **_csv_options(encoding, columns)).schema(schema).csv(path)
     cells = F.array(*[blank_if_null(F.col(f"c{i}")) for i in range(width)])
-    return raw.select(
+    return raw.where(F.col("_metadata.file_size") <= upto).select(
         F.col("_metadata.file_path").alias("sheet_id"),
         F.monotonically_increasing_id().alias("_id"), cells.alias("cells"),
-    ).select("sheet_id", "_id", F.slice("cells", F.lit(1), _filled_width(F.col("cells"))).alias("cells"))
+    ).select("sheet_id", "_id", _cells_of(F.col("cells")).alias("cells"))
+
+
+def _large_sheets(spark: SparkSession, path: str, columns: int, above: int) -> DataFrame:
+    """``sheet_id, row_no, cells`` of all rows of larger files, each read by many tasks."""
+    width = columns + _SENTINELS
+    ddl = ", ".join(f"c{i} string" for i in range(width))
+    decode = F.translate(F.decode(F.col("text").cast("binary"), "ISO-8859-1"), _C1_FROM, _C1_TO)
+    rows = read_ranges(spark, path, above, ddl, _csv_options("UTF-8", columns), decode, _FILES)
+    cells = F.array(*[blank_if_null(F.col("record")[f"c{i}"]) for i in range(width)])
+    cut = rows.select("sheet_id", "row_no", cells.alias("cells")).select("sheet_id", "row_no", _cells_of(F.col("cells")).alias("cells"))
+    return cut.where(F.size("cells") > 0)
+
+
+def _has_large_files(spark: SparkSession, path: str, above: int) -> bool:
+    listed = spark.read.format("binaryFile").options(**_FILES).load(path).select("length")
+    return not listed.where(F.col("length") > above).isEmpty()
 
 
 def _in_sheets(rows: DataFrame) -> DataFrame:
@@ -70,20 +101,35 @@ def other_files(spark: SparkSession, path: str) -> DataFrame:
     return listed.select(F.col("path").alias("sheet_id")).where(~F.rlike("path", F.lit(r"(?i)\.csv$")))
 
 
-def read_sheets(spark: SparkSession, path: str, columns: int = COLUMNS) -> DataFrame:
+def read_sheets(
+    spark: SparkSession, path: str, columns: int = COLUMNS, range_bytes: int | None = None
+) -> DataFrame:
     """``sheet_id, row_no, cells`` of all CSV files below ``path``, blank rows left out.
 
     ``(sheet_id, row_no)`` is the file and the place in it: the same in every run, however files are
     packed into tasks and whatever other files there are.  Files are UTF-8 (with or without a byte
-    order mark) or, if that fails anywhere in the file, Windows-1252.  Multi-line CSV cannot be
-    split, so it is parsed once, one file per task, and stored.  A replacement character marks a
-    sheet as suspect; only then are the bytes checked, line by line, and the broken sheets parsed
-    again.  Cells beyond ``columns`` are kept for the first few, see ``unusable_sheets``.
+    order mark) or, if that fails anywhere in the file, Windows-1252.  Files of up to ``range_bytes`` (by
+    default ``spark.sql.files.maxPartitionBytes``, the size of a task's part of a file) are parsed whole,
+    one task a file; larger ones by such parts (``csv_ranges``), which finds the same rows.  Cells beyond
+    ``columns`` are kept for the first few, see ``unusable_sheets``.
     """
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix not in ("", ".csv"):
         raise ValueError(f"unsupported sheet type: {suffix} (use .csv)")
-    rows = stored(_scan(spark, path, "UTF-8", columns), "sheets")
+    limit = default_range_bytes(spark) if range_bytes is None else range_bytes
+    rows = _small_sheets(spark, path, columns, limit)
+    if not _has_large_files(spark, path, limit):
+        return rows
+    return rows.unionByName(stored(_large_sheets(spark, path, columns, limit), "large-sheets"))
+
+
+def _small_sheets(spark: SparkSession, path: str, columns: int, upto: int) -> DataFrame:
+    """Sheets parsed whole, once, and stored.
+
+    A replacement character marks a sheet as suspect; only then are the bytes checked, line by line, and
+    the broken sheets parsed again.
+    """
+    rows = stored(_scan(spark, path, "UTF-8", columns, upto), "sheets")
     replaced = F.exists("cells", lambda c: F.contains(c, F.lit("\ufffd")))
     suspects = rows.where(replaced).select("sheet_id").distinct()
     if suspects.isEmpty():
@@ -97,7 +143,7 @@ def read_sheets(spark: SparkSession, path: str, columns: int = COLUMNS) -> DataF
         .join(suspects, "sheet_id", "left_semi"), "broken",
     )
     decoded = F.transform("cells", lambda c: F.translate(c, _C1_FROM, _C1_TO))
-    ansi = _scan(spark, path, "ISO-8859-1", columns).join(broken, "sheet_id", "left_semi")
+    ansi = _scan(spark, path, "ISO-8859-1", columns, upto).join(broken, "sheet_id", "left_semi")
     return _in_sheets(rows.join(broken, "sheet_id", "left_anti")).unionByName(
         _in_sheets(stored(ansi.withColumn("cells", decoded), "sheets"))
     )
@@ -293,7 +339,7 @@ def row_key(sheet_id: Column, row_no: Column) -> Column:
 
 def load_submissions(
     spark: SparkSession, path: str, spec: UsageSpec, limit: int = 0, columns: int = COLUMNS,
-    skip_unusable: bool = False,
+    skip_unusable: bool = False, range_bytes: int | None = None,
 ) -> DataFrame:
     """Sheets below ``path`` as submissions, optionally only the first ``limit`` rows.
 
@@ -301,7 +347,7 @@ def load_submissions(
     later runs.  Anything below ``path`` that cannot be used is an error, unless ``skip_unusable``;
     ``unusable_sheets`` lists it.
     """
-    cells = read_sheets(spark, path, columns)
+    cells = read_sheets(spark, path, columns, range_bytes)
     if cells.isEmpty():
         raise ValueError(f"no rows found in {path}")
     mapping = stored(resolve_columns(cells, spec), "columns")
@@ -313,9 +359,24 @@ def load_submissions(
     usable = mapping.join(unusable.select("sheet_id"), "sheet_id", "left_anti")
     rows = canonical_rows(cells, usable).withColumn("ord", row_key(F.col("sheet_id"), F.col("row_no")))
     rows = rows.select("ord", "sheet_id", "row_no", *FIELDS)
-    if not limit:
-        return rows
-    return number_rows(rows, "ord", "_n").where(F.col("_n") <= limit).drop("_n")
+    return first_rows(rows, limit) if limit else rows
+
+
+def first_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows in the order of ``ord``: rows are counted by sheet, and only sheets that are
+    needed are ranked, each up to what is still wanted of it.
+
+    Every counted sheet has a row, so the first ``limit`` sheets suffice.
+    """
+    key = F.concat("sheet_id", F.lit("#"))
+    counts = rows.groupBy("sheet_id").agg(F.count("*").alias("n")).orderBy(key).limit(limit)
+    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = counts.select(
+        "sheet_id", (F.lit(limit) - F.coalesce(F.sum("n").over(before), F.lit(0))).alias("_wanted")
+    ).where("_wanted > 0")
+    at = F.row_number().over(Window.partitionBy("sheet_id").orderBy("row_no"))
+    needed = rows.join(wanted, "sheet_id").withColumn("_at", at).where(F.col("_at") <= limit)
+    return needed.where("_at <= _wanted").drop("_at", "_wanted")
 
 
 def unusable_sheets(

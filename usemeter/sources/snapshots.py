@@ -6,6 +6,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from usemeter.operators.clustering import GROUP_BYTES, SLOT, in_slots, wanted_slots, write_clustered
+
 REPOS_DDL = (
     "repo_key string, status int, tree_status int, default_branch string, tree_truncated boolean"
 )
@@ -35,17 +37,43 @@ class Snapshot(NamedTuple):
     files: DataFrame
 
 
+def write_snapshot(
+    snapshot: Snapshot, path: str, files: int | None = None, group_bytes: int = GROUP_BYTES
+) -> None:
+    """The three tables below ``path``, clustered by repo: a few repos are read from a few row groups.
+
+    The texts of a repo lie side by side; a repo that holds much of the corpus is dealt over files by path.
+    """
+    for name, spread_by in (("repos", ()), ("repo_tree", ("tree_ord", "path")), ("repo_files", ("path",))):
+        table = snapshot[("repos", "repo_tree", "repo_files").index(name)]
+        write_clustered(table, f"{path}/{name}", ("repo_key",), spread_by, files, group_bytes)
+
+
 def read_snapshot(spark: SparkSession, path: str) -> Snapshot:
-    """The three snapshot tables below ``path`` (Parquet folders, any partitioning)."""
+    """The three snapshot tables below ``path``: Parquet folders, any partitioning, clustered or not."""
 
     def table(name: str, ddl: str) -> DataFrame:
-        return spark.read.schema(ddl).parquet(f"{path}/{name}")
+        clustered = SLOT in spark.read.parquet(f"{path}/{name}").columns
+        return spark.read.schema(f"{ddl}, {SLOT} int" if clustered else ddl).parquet(f"{path}/{name}")
 
     return Snapshot(
         table("repos", REPOS_DDL), table("repo_tree", TREE_DDL), table("repo_files", FILES_DDL)
     )
 
 
+def of_repos(snapshot: Snapshot, keys: DataFrame) -> Snapshot:
+    """What a snapshot has of the repos in ``keys`` (distinct ``repo_key``).
+
+    Of clustered tables only the row groups with a slot of ``keys`` are read, which takes one small job
+    here for the slots.  The repo table is exact; trees and texts still hold repos that share a slot.
+    """
+    repos = snapshot.repos.join(keys, "repo_key", "left_semi")
+    if not any(SLOT in df.columns for df in snapshot):
+        return snapshot._replace(repos=repos)
+    slots = wanted_slots(keys, "repo_key")
+    return Snapshot(in_slots(repos, slots), in_slots(snapshot.tree, slots), in_slots(snapshot.files, slots))
+
+
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPLIES_DDL).parquet(path)
 

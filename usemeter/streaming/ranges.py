@@ -2,7 +2,8 @@
 
 A folder counts once its writer has finished it (``_SUCCESS``).  A merged folder covers a range of
 batches and supersedes the folders inside that range, so readers never count a batch twice, and a
-batch that is repeated after it was merged changes nothing.
+batch that is repeated after it was merged changes nothing.  Merges go by levels: runs of ``fanout``
+batches become one folder, ``fanout`` of these the next.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def is_finished(spark: SparkSession, path: str) -> bool:
+    fs, target = _fs(spark, f"{path}/_SUCCESS")
+    return fs.exists(target)
+
+
 def finished(spark: SparkSession, out: str) -> list[tuple[int, int, str]]:
     """Finished folders as (first batch, last batch, path); their number is that of open batches."""
     fs, root = _fs(spark, out)
@@ -29,7 +35,7 @@ def finished(spark: SparkSession, out: str) -> list[tuple[int, int, str]]:
     for status in fs.listStatus(root):
         path = status.getPath().toString()
         named = _PART.search(path)
-        if named and fs.exists(_fs(spark, f"{path}/_SUCCESS")[1]):
+        if named and is_finished(spark, path):
             found.append((int(named[1]), int(named[2]), path))
     return sorted(found)
 
@@ -45,22 +51,50 @@ def part(out: str, first: int, last: int) -> str:
     return f"{out}/part={first}-{last}"
 
 
-def merge_parts(
-    spark: SparkSession, out: str, merge: Callable[[DataFrame], DataFrame], upto: int
-) -> None:
-    """Writes one folder for all batches up to ``upto`` and deletes what an earlier merge superseded.
+def span_of(batch_id: int, fanout: int) -> int:
+    """Batches of the widest full run that ``batch_id`` completes: the largest power of ``fanout``."""
+    span = 1
+    while (batch_id + 1) % (span * fanout) == 0:
+        span *= fanout
+    return span
+
+
+def _overwrite(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").parquet(path)
 
-    Folders that this merge supersedes stay until the next one, for readers that are under way.
+
+def merge_levels(
+    spark: SparkSession, out: str, merge: Callable[[DataFrame], DataFrame], batch_id: int, fanout: int,
+    write: Callable[[DataFrame, str], None] = _overwrite,
+) -> tuple[int, int] | None:
+    """One folder for the run of batches that ``batch_id`` completes, if any; its first and last batch.
+
+    A run has ``fanout ** k`` batches, so a batch's rows are written again once for each power: n log n in
+    all over n batches, and fewer than ``fanout`` folders of each length are open.  Folders that this merge
+    supersedes stay until the next one, for readers that are under way.
     """
-    now = [f for f in current(spark, out) if f[1] <= upto]
-    if len(now) < 2:
-        return
-    old = [f for f in finished(spark, out) if f[1] <= upto and f not in now]
-    merged = merge(spark.read.parquet(*[f[2] for f in now]))
-    merged.write.mode("overwrite").parquet(part(out, now[0][0], now[-1][1]))
-    for _, _, path in old:
-        fs, target = _fs(spark, path)
-        fs.delete(target, True)
+    span = span_of(batch_id, fanout)
+    everything = finished(spark, out)
+    valid = current(spark, out)
+    now = [f for f in valid if batch_id - span < f[0] and f[1] <= batch_id]
+    if span == 1 or len(now) < 2:
+        return None
+    first = now[0][0]
+    write(merge(spark.read.parquet(*[f[2] for f in now])), part(out, first, batch_id))
+    for superseded in everything:
+        if superseded not in valid and superseded[1] <= batch_id:
+            fs, target = _fs(spark, superseded[2])
+            fs.delete(target, True)
+    return first, batch_id
+
+
+def forget_others(spark: SparkSession, side: str, out: str, upto: int) -> None:
+    """Deletes folders below ``side`` of batches up to ``upto`` that have no folder below ``out`` any more."""
+    kept = {f[:2] for f in finished(spark, out)}
+    for first, last, path in finished(spark, side):
+        if (first, last) not in kept and last <= upto:
+            fs, target = _fs(spark, path)
+            fs.delete(target, True)
 
 
 def newest(spark: SparkSession, out: str) -> str | None:
