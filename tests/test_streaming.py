@@ -178,3 +178,45 @@ def test_merged_levels_tell_the_same(spark, tmp_path):
         ranges.merge_levels(spark, out, merge, i, fanout=3)
         assert merge(runs.read_partials(spark, out)).first().n == (2 << i) - 1
     assert [f[:2] for f in ranges.current(spark, out)] == [(0, 8)]
+
+
+def test_latest_counts_take_back_what_they_counted(spark, tmp_path):
+    """Re-verified, late and repeated results: the counts are those of the latest states."""
+    out, log, folder = str(tmp_path / "out"), str(tmp_path / "log"), tmp_path / "in"
+    batches = [
+        [("r1", 1, 5, "Less"), ("r1", 2, 6, "None"), ("r2", 1, 1, "Less"), (None, None, None, "None")],
+        [("r1", 1, 9, "Moderate"), ("r1", 1, 7, "Less"), ("r2", 1, 1, "Less")],  # a later one, and one again
+        [("r1", 1, 8, "None"), ("r3", 1, 2, "Less"), ("r1", 2, 10, "None"), (None, 4, 1, "None")],  # a late one
+        [("r1", 2, 11, "Moderate"), ("r2", 1, 3, "Moderate")],
+    ]
+    ddl = "run_id string, idx int, seq bigint, tag string"
+    rows = [r for b in batches for r in b]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, ddl).coalesce(1).write.parquet(str(folder / str(i)))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    facets = lambda s: s.select(F.lit("tag").alias("facet"), F.col("tag").alias("value"))
+    start = lambda: runs.latest_counts(spark, stream, ("run_id", "idx"), "seq", "tag string", facets, out, log, fanout=2)
+    start().awaitTermination()
+    last = {}
+    for run, idx, seq, tag in rows:
+        if run is not None and seq > last.get((run, idx), (-1, ""))[0]:
+            last[run, idx] = (seq, tag)
+    want = {}
+    for tag in [t for _, t in last.values()] + [r[3] for r in rows if r[0] is None]:
+        want[tag] = want.get(tag, 0) + 1
+    got = lambda: {r.value: r.n for r in runs.read_latest_counts(spark, out).collect()}
+    assert got() == want
+    ranges.forget_commit(spark, log, len(batches) - 1)
+    start().awaitTermination()
+    assert got() == want
+
+
+def test_an_event_delivered_twice_ends_its_item_once(spark):
+    ddl = "run_id string, idx int, total int, is_result boolean"
+    first = [("r1", 1, 3, True), ("r1", 1, 3, True), ("r1", 40_000, 3, True), ("r2", None, 2, False), ("r1", 2, 3, False)]
+    again = [("r1", 1, 3, True), ("r1", 2, 3, True), ("r2", 0, 2, True), (None, None, None, True)]
+    reduce_batch = runs.ended_items()
+    parts = [reduce_batch(spark.createDataFrame(b, ddl)) for b in (first, again, again[:3])]
+    merged = runs.merge_ended(parts[0].unionByName(parts[1])).unionByName(parts[2])
+    assert {tuple(r) for r in runs.exact_progress(merged).select("run_id", "total", "results", "done").collect()} == {
+        ("r1", 3, 3, True), ("r2", 2, 1, False), (None, None, 1, False)}

@@ -11,14 +11,12 @@ tested by built-in functions, so it reaches any scan without a join; its false h
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLOT = "slot"
 SLOTS = 1 << 16
-_RANGES = 256  # of slots in one pushed filter, where the session takes no longer list
+_RANGES = 128  # of slots in one pushed filter, where the session takes no longer list
 SKETCH_BITS = 1 << 23
 _PART_BITS = 1 << 15  # of Spark's bitmaps
 GROUP_BYTES = 16 << 20
@@ -54,20 +52,19 @@ def in_slots(df: DataFrame, slots: list[int]) -> DataFrame:
     """The rows of a clustered table in ``slots`` and none of the others; a table without slots as it is.
 
     Parquet gets the list itself where the session pushes lists of that length
-    (``spark.sql.parquet.pushdown.inFilterThreshold``), else the ranges between its widest gaps.
+    (``spark.sql.parquet.pushdown.inFilterThreshold``), else, of a few hundred slots, the ranges between
+    the widest gaps.
     """
     if SLOT not in df.columns or len(slots) > SLOTS // 2:  # half of all slots: nothing to be skipped
         return df
     if not slots:
         return df.where(F.lit(False))
-    exact = F.expr(f"{SLOT} IN ({', '.join(map(str, slots))})")
+    wanted = f"{SLOT} IN ({', '.join(map(str, slots))})"  # as text: quicker than thousands of columns
     pushed = int(df.sparkSession.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
-    if len(slots) <= pushed:
-        return df.where(exact)
-    spans = [F.col(SLOT).between(a, b) for a, b in slot_ranges(slots, _RANGES)]
-    while len(spans) > 1:  # a balanced tree: no deep nesting
-        spans = [reduce(lambda x, y: x | y, spans[i : i + 2]) for i in range(0, len(spans), 2)]
-    return df.where(spans[0]).where(exact)
+    if pushed < len(slots) <= 4 * _RANGES:  # of more slots a few ranges would leave out little
+        spans = " OR ".join(f"{SLOT} BETWEEN {a} AND {b}" for a, b in slot_ranges(slots, _RANGES))
+        wanted = f"{wanted} AND ({spans})"
+    return df.where(F.expr(wanted))
 
 
 def slot_ranges(slots: list[int], most: int) -> list[tuple[int, int]]:
