@@ -57,10 +57,50 @@ def test_cutoffs_are_certified_per_stratum(spark, words):
     marks += [(0, 1, 0), (5, None, 0)]
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     got = quality_verdicts(documents(spark, rows), labels, risk=0.02, error=0.05).collect()
-    tests = 2 * sum(len(grid) for _, grid in SIGNALS.values())
-    enough = {g for g in ("en", "de") if (1 - 0.02) ** sum(1 for r in rows if r[2] == g and r[0] % 5) <= 0.05 / tests}
+    rule_sets = 2 * math.prod(len(grid) + 1 for _, grid in SIGNALS.values())
+    enough = {g for g in ("en", "de") if (1 - 0.02) ** sum(1 for r in rows if r[2] == g and r[0] % 5) <= 0.05 / rule_sets}
     assert enough == {"en"}  # the other stratum has too few labelled documents
     for r in got:
         bad = r.doc_id % 5 == 0
         assert r.kept == (not bad or r.doc_id % 4 == 0)
         assert ("symbols per word" in r.rejected_by) != r.kept
+
+
+def test_all_rules_of_a_stratum_together_keep_the_promise(spark, words):
+    """Four signals, each high in another 1.2 % of the good documents: one of them may be used, not all four."""
+    rnd, rows, marks = random.Random(9), [], []
+
+    def text(i, kind):
+        w = [f"{rnd.choice(words)}{i}x{j}" for j in range(60)]
+        w = [x[:5] for x in w] if kind != 1 else [x + "long" * 5 for x in w]
+        w = [f"{chr(97 + j // 26)}{chr(97 + j % 26)}{i}"[:5] for j in range(60)] if kind != 1 else w
+        if kind == 0:
+            w = [x + "###" for x in w]
+        if kind == 2:
+            w[20:50] = w[:5] * 6
+        lines = [" ".join(w[j : j + 6]) for j in range(0, 60, 6)]
+        return "\n".join(lines + (["same"] * 12 if kind == 3 else []))
+
+    for i in range(5000):
+        good = i < 4000
+        kind = i // 48 if good and i < 192 else (i % 4 if not good else None)
+        rows.append((i, text(i, kind), None if i % 2 else "", "a"))
+        marks.append((i, int(good), 0))
+    rows = [(i, t, "en", s) for i, t, _, s in rows]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = quality_verdicts(documents(spark, rows), labels, gain=0.05).collect()
+    lost = sum(1 for r in got if r.doc_id < 4000 and not r.kept)
+    caught = sum(1 for r in got if r.doc_id >= 4000 and not r.kept)
+    assert 0 < lost <= 0.02 * 4000 and caught >= 200
+
+
+def test_a_null_stratum_is_one_of_its_own(spark, words):
+    rnd, rows, marks = random.Random(4), [], []
+    for i in range(2400):
+        bad = i % 3 == 0 and i % 2 == 0  # only the null stratum has bad ones
+        rows.append((i, " ".join(rnd.choice(words) + ("##" if bad and j % 2 else "") for j in range(60)) + f" {i}", "" if i % 2 else None, "a"))
+        marks.append((i, 0 if bad else 1, 0))
+    rows.append((9000, "## ".join(words[:60]), "", "a"))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality_verdicts(documents(spark, rows), labels).collect()}
+    assert got[9000] and all(kept == (i % 6 > 0) for i, kept in got.items() if i < 9000)

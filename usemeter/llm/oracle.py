@@ -5,6 +5,8 @@ The other operators hash, learn, encode or search approximately; their tests com
 
 from __future__ import annotations
 
+import math
+
 from usemeter.llm.quality_rules import SIGNALS
 
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -45,10 +47,15 @@ def quality(risk: float = 0.02, error: float = 0.05, gain: float = 0.1) -> str:
         f"SELECT doc_id, stratum, good, '{s}' AS signal, coalesce({value}, 0)::DOUBLE AS value FROM judged"
         for s, (value, _) in SIGNALS.items()
     )
-    n_tests = sum(len(grid) for _, grid in SIGNALS.values())
+    rule_sets = math.prod(len(grid) + 1 for _, grid in SIGNALS.values())
+
+    def tail(k: str) -> str:
+        return f"""CASE WHEN {k} > n_good * {risk} THEN 1.0 ELSE list_sum(list_transform(range(0, {k}::BIGINT + 1), lambda i: exp(
+           lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({risk}) + (n_good - i) * ln(1 - {risk})))) END"""
+
     order = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SIGNALS))
     return f"""
-WITH words AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+WITH words AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t,
                       regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1),
           lambda i: [w[i], w[i + 1], w[i + 2]])) AS g FROM words WHERE len(w) > 3),
@@ -72,17 +79,22 @@ tests AS (
   SELECT stratum, h.signal, cutoff, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE NOT good) AS n_bad,
          count(*) FILTER (WHERE good AND value > cutoff) AS k, count(*) FILTER (WHERE NOT good AND value > cutoff) AS k_bad
   FROM holdout h JOIN (VALUES {tests}) v(signal, nth, cutoff) ON h.signal = v.signal GROUP BY 1, 2, 3),
-tail AS (
-  SELECT *, round(coalesce(k_bad / nullif(n_bad, 0), 0) - k / n_good, 6) AS gain,
-         CASE WHEN k > n_good * {risk} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(
-           lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({risk}) + (n_good - i) * ln(1 - {risk})))) END AS p
-  FROM tests WHERE n_good > 0),
-chosen AS (
-  SELECT stratum, signal, max_by(cutoff, [gain, cutoff]) AS cutoff FROM tail
-  WHERE gain >= {gain} AND p <= {error} / ({n_tests} * (SELECT count(DISTINCT stratum) FROM holdout)) GROUP BY 1, 2),
+level AS (SELECT {error} / ({rule_sets} * count(*)) AS level FROM (SELECT DISTINCT stratum FROM holdout)),
+safe AS (
+  SELECT * FROM (SELECT *, round(coalesce(k_bad / nullif(n_bad, 0), 0) - k / n_good, 6) AS gain, {tail("k")} AS p
+                 FROM tests WHERE n_good > 0), level WHERE gain >= {gain} AND p <= level),
+best AS (SELECT stratum, signal, n_good, max_by(cutoff, [gain, cutoff]) AS cutoff, max(gain) AS gain FROM safe GROUP BY 1, 2, 3),
+proposed AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, CASE signal {order} END) AS nth FROM best),
+lost AS (
+  SELECT h.stratum, doc_id, min(nth) AS nth FROM holdout h
+  JOIN proposed p ON h.stratum IS NOT DISTINCT FROM p.stratum AND h.signal = p.signal WHERE good AND value > cutoff GROUP BY 1, 2),
+joint AS (
+  SELECT p.*, (SELECT count(*) FROM lost l WHERE l.stratum IS NOT DISTINCT FROM p.stratum AND l.nth <= p.nth) AS k_all FROM proposed p),
+chosen AS (SELECT stratum, signal, cutoff FROM (SELECT *, {tail("k_all")} AS p FROM joint), level WHERE p <= level),
 rejected AS (
-  SELECT doc_id, string_agg(signal, ', ' ORDER BY CASE signal {order} END) AS rules
-  FROM measured JOIN chosen USING (stratum, signal) JOIN based USING (doc_id) WHERE value > cutoff AND NOT base_failed GROUP BY 1)
+  SELECT doc_id, string_agg(m.signal, ', ' ORDER BY CASE m.signal {order} END) AS rules
+  FROM measured m JOIN chosen c ON m.stratum IS NOT DISTINCT FROM c.stratum AND m.signal = c.signal JOIN based USING (doc_id)
+  WHERE value > cutoff AND NOT base_failed GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS rejected_by
 FROM based LEFT JOIN rejected USING (doc_id)"""

@@ -1,17 +1,21 @@
 """Quality rules whose cutoffs are certified on labelled holdouts.
 
-Each signal has a grid of cutoffs fixed beforehand.  In a stratum a cutoff is safe if the good labelled
-documents that it rejects are so few that the exact binomial tail P(X <= rejected; n, ``risk``) is at most
-``error`` divided by the number of all tests (Bonferroni over strata, signals and cutoffs): with
-probability ``1 - error`` no chosen cutoff rejects more than ``risk`` of its stratum's good documents.  Of
-the safe cutoffs the one that best parts bad from good is taken (the mildest of equals), if it parts them by
-``gain`` at least.  A stratum with too few labels gets no cutoff and keeps all that passes the base rules.
+Each signal has a grid of cutoffs fixed beforehand; a rule set takes one cutoff, or none, of each.  In a
+stratum a rule set is safe if the good labelled documents that it rejects, by whichever rule, are so few that
+the exact binomial tail P(X <= rejected; n, ``risk``) is at most ``error`` divided by the number of all rule
+sets of all strata (Bonferroni): with probability ``1 - error`` no rule set that passes, however it was
+found, rejects more than ``risk`` of its stratum's good documents.  Of each signal's safe cutoffs the one that
+best parts bad from good is proposed (the mildest of equals), if it parts them by ``gain`` at least; proposals
+join the rule set from the best on, as long as it stays safe.  A stratum with too few labels gets no cutoff and
+keeps all that passes the base rules.
 
 Everything is DataFrame expressions: arrays are bound once by a one-element ``transform``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,13 +106,32 @@ def certified_cutoffs(counted: DataFrame, risk: float, error: float, gain: float
         .groupBy("stratum", "signal", "at", "cutoff")
         .agg(*(F.sum(c).alias(f"n_{c}") for c in ("good", "bad")), *(F.sum(F.when(F.col("above") > F.col("at"), F.col(c)).otherwise(0)).alias(f"cut_{c}") for c in ("good", "bad")))
     )
-    n_tests = counted.select("stratum").distinct().count() * sum(len(grid) for _, grid in SIGNALS.values())
+    rule_sets = counted.select("stratum").distinct().count() * math.prod(len(grid) + 1 for _, grid in SIGNALS.values())
+    level = error / max(rule_sets, 1)
     parted = F.coalesce(F.try_divide("cut_bad", "n_bad"), F.lit(0.0)) - F.try_divide("cut_good", "n_good")
     safe = tests.where("n_good > 0").withColumn("gain", F.round(parted, 6)).where(
-        (F.col("gain") >= gain) & (binomial_tail(F.col("cut_good"), F.col("n_good"), risk) <= error / max(n_tests, 1))
+        (F.col("gain") >= gain) & (binomial_tail(F.col("cut_good"), F.col("n_good"), risk) <= level)
+    )
+    number = F.array_position(F.array(*map(F.lit, SIGNALS)), F.col("signal"))
+    best = safe.groupBy("stratum", "signal").agg(F.max(F.struct("gain", "cutoff")).alias("b"), F.max("n_good").alias("n_good"))
+    proposals = best.groupBy("stratum", "n_good").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("b.gain")).alias("order"), number.alias("number"), "signal", "b.cutoff"))).alias("rules")
+    )
+    # The first proposal that rejects a good document says from which rule set on it is lost.
+    value_of = F.create_map(*[x for s, (value, _) in SIGNALS.items() for x in (F.lit(s), F.expr(f"coalesce({value}, 0D)"))])
+    lost = (
+        counted.where("good").withColumn("v", value_of)
+        .join(proposals.select(F.col("stratum").alias("of"), "rules"), F.col("stratum").eqNullSafe(F.col("of")))
+        .select("stratum", F.array_position(F.transform("rules", lambda r: F.element_at("v", r["signal"]) > r["cutoff"]), True).alias("first"))
+        .where("first > 0").groupBy("stratum", "first").agg(F.count("*").alias("n"))
+    )
+    sets = proposals.select("stratum", "n_good", F.posexplode("rules").alias("at", "rule"))
+    joint = (
+        sets.alias("s").join(lost.alias("l"), F.expr("s.stratum <=> l.stratum AND l.first <= s.at + 1"), "left")
+        .groupBy("s.stratum", "s.n_good", "s.at", "s.rule").agg(F.coalesce(F.sum("l.n"), F.lit(0)).alias("lost"))
+        .where(binomial_tail(F.col("lost"), F.col("n_good"), risk) <= level)
     )
-    chosen = safe.groupBy("stratum", "signal").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
-    return chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("signal", "cutoff"))).alias("cutoffs"))
+    return joint.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule.signal", "rule.cutoff"))).alias("cutoffs"))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05, gain: float = 0.1, stratum: str = "lang", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -120,7 +143,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.02, err
     rows give a row each; empty tables give no rows, or no cutoffs; other columns are not looked at.
     """
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    c = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), text_counts(value).alias("c"))
+    c = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), text_counts(value).alias("c"))
     counted = c.select("doc_id", "stratum", "c.w.n_words", "c.w.word_chars", "c.n_symbols", "c.l.n_dup_lines", "c.w.n_repeat_words", "c.l.n_lines")
     counted = counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     counted = keep(counted, "quality-counts")
@@ -128,5 +151,6 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.02, err
     holdout = counted.where("not base_failed").join(marks.groupBy("doc_id").agg((F.min("q") >= 1).alias("good")), "doc_id")
     cutoffs = certified_cutoffs(holdout, risk, error, gain)
     checks = F.array(*(F.when(F.expr(f"coalesce({v}, 0D)") > F.col("cutoffs")[s], F.lit(s)) for s, (v, _) in SIGNALS.items()))
-    judged = counted.join(cutoffs, "stratum", "left").withColumn("rejected_by", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(F.array_compact(checks)))
+    cutoffs = cutoffs.withColumnRenamed("stratum", "of")
+    judged = counted.join(cutoffs, F.col("stratum").eqNullSafe(F.col("of")), "left").withColumn("rejected_by", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(F.array_compact(checks)))
     return judged.select("doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
