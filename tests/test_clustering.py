@@ -107,7 +107,7 @@ def test_verifying_few_repos_reads_their_row_groups(spark, spec, corpus, tmp_pat
     assert order(verify(submissions, clustered, replies, spec)) == want
     part = submitted_only(clustered, submissions, spec)
     assert rows_scanned(clustered.files) == 1500 * 6
-    assert rows_scanned(part.files) < 1500 * 6 / 4 and rows_scanned(part.tree) < 1500 * 6 / 4
+    assert rows_scanned(part.files) < 1500 * 6 / 4  # the row groups of twelve repos
     assert "slot" in part.files._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1][:40]
 
 
