@@ -58,10 +58,10 @@ def test_slots_skip_row_groups(spark, tmp_path):
     df = spark.range(200_000).selectExpr("concat('k', id % 20000) AS key", "repeat(md5(string(id)), 8) AS text")
     write_clustered(df, path, ("key",), ("text",), files=4, group_bytes=1 << 18)
     back = spark.read.parquet(path)
-    for n in (0, 1, 40, 600):
+    for n, scans in ((0, 1), (1, 1), (40, 1), (600, 1), (600, 4)):
         keys = spark.range(n).selectExpr("concat('k', id * 7) AS key")
         slots = wanted_slots(keys, "key")
-        read = in_slots(back, slots)
+        read = in_slots(back, slots, scans)
         assert read.join(keys, "key", "left_semi").count() == 10 * n
         if n in (1, 40):
             assert 10 * n <= rows_scanned(read) <= 1200 * n  # of 200,000: a row group a key

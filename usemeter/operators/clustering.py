@@ -11,12 +11,14 @@ tested by built-in functions, so it reaches any scan without a join; its false h
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLOT = "slot"
 SLOTS = 1 << 16
-_RANGES = 128  # of slots in one pushed filter, where the session takes no longer list
+_LISTED, _RANGES = 10, 128  # slots, and ranges of slots, in one pushed filter
 SKETCH_BITS = 1 << 23
 _PART_BITS = 1 << 15  # of Spark's bitmaps
 GROUP_BYTES = 16 << 20
@@ -48,23 +50,29 @@ def wanted_slots(keys: DataFrame, *key: str | Column) -> list[int]:
     return sorted(r[0] for r in keys.select(slot_of(*key).alias(SLOT)).distinct().collect())
 
 
-def in_slots(df: DataFrame, slots: list[int]) -> DataFrame:
+def in_slots(df: DataFrame, slots: list[int], scans: int = 1) -> DataFrame:
     """The rows of a clustered table in ``slots`` and none of the others; a table without slots as it is.
 
-    Parquet gets the list itself where the session pushes lists of that length
-    (``spark.sql.parquet.pushdown.inFilterThreshold``), else, of a few hundred slots, the ranges between
-    the widest gaps.
+    Parquet gets a few slots as they are and a few hundred as the ranges between their widest gaps.  Longer
+    lists take a scan for each few hundred, up to ``scans``; beyond that they are filtered behind one scan,
+    as Spark would hand the list itself to Parquet as one nested condition a slot.
     """
     if SLOT not in df.columns or len(slots) > SLOTS // 2:  # half of all slots: nothing to be skipped
         return df
     if not slots:
         return df.where(F.lit(False))
-    wanted = f"{SLOT} IN ({', '.join(map(str, slots))})"  # as text: quicker than thousands of columns
-    pushed = int(df.sparkSession.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
-    if pushed < len(slots) <= 4 * _RANGES:  # of more slots a few ranges would leave out little
-        spans = " OR ".join(f"{SLOT} BETWEEN {a} AND {b}" for a, b in slot_ranges(slots, _RANGES))
-        wanted = f"{wanted} AND ({spans})"
-    return df.where(F.expr(wanted))
+    size = 4 * _RANGES
+    if size < len(slots) <= size * scans:
+        parts = [in_slots(df, slots[i : i + size]) for i in range(0, len(slots), size)]
+        return reduce(DataFrame.unionByName, parts)
+    listed = f"({', '.join(map(str, slots))})"  # as text: quicker than thousands of columns
+    if len(slots) <= _LISTED:
+        return df.where(F.expr(f"{SLOT} IN {listed}"))
+    exact = F.expr(f"{SLOT} + 0 IN {listed}")  # not a plain column, so not pushed
+    if len(slots) > size:
+        return df.where(exact)
+    spans = " OR ".join(f"{SLOT} BETWEEN {a} AND {b}" for a, b in slot_ranges(slots, _RANGES))
+    return df.where(F.expr(spans)).where(exact)
 
 
 def slot_ranges(slots: list[int], most: int) -> list[tuple[int, int]]:

@@ -24,7 +24,6 @@ def build_session(app: str = "usemeter", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
-        "spark.sql.parquet.pushdown.inFilterThreshold": "4096",  # slots of clustered tables
         **conf,
     }
     builder = SparkSession.builder.appName(app)

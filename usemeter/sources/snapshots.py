@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from usemeter.operators.clustering import GROUP_BYTES, SLOT, in_slots, wanted_slots, write_clustered
 
+SCANS = 32  # of one snapshot table, each over the row groups of 512 slots
+
 REPOS_DDL = (
     "repo_key string, status int, tree_status int, default_branch string, tree_truncated boolean"
 )
@@ -71,7 +73,8 @@ def of_repos(snapshot: Snapshot, keys: DataFrame) -> Snapshot:
     if not any(SLOT in df.columns for df in snapshot):
         return snapshot._replace(repos=repos)
     slots = wanted_slots(keys, "repo_key")
-    return Snapshot(in_slots(repos, slots), in_slots(snapshot.tree, slots), in_slots(snapshot.files, slots))
+    tree, files = (in_slots(df, slots, SCANS) for df in (snapshot.tree, snapshot.files))
+    return Snapshot(in_slots(repos, slots), tree, files)
 
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
