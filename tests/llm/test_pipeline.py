@@ -74,9 +74,13 @@ def test_stages_equal_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_answer_for_every_row(spark, name):
     got = QUERIES[name](spark, SF_DIR)
-    table = {"op2_html_extraction": "pages", "op7_nearest_neighbours": "embeddings"}.get(name, "documents")
+    table = {
+        "op2_html_extraction": "pages", "op7_nearest_neighbours": "embeddings", "op11_centroid_clustering": "embeddings",
+        "op12_ranked_search": "benchmark", "op13_warc_archive": "pages",
+    }.get(name, "documents")
     n = spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
-    assert got.count() == (20 * len(range(0, n, 20)) if table == "embeddings" else n)
+    rows = {"op7_nearest_neighbours": 20 * len(range(0, n, 20)), "op12_ranked_search": 10 * n}.get(name, n)
+    assert got.count() == rows
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
