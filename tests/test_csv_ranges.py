@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from usemeter.sources.csv_ranges import inside_after
-from usemeter.sources.sheets import read_sheets
+from usemeter.operators.replies import first_prose
+from usemeter.sources.sheets import _large_sheets, read_sheets
 
 
 def rows_of(spark, path, **how):
@@ -99,3 +100,22 @@ def test_lines_as_functions_of_one_bit(spark):
 
     for r in got:
         assert (r.o, r.n) == (after(lines[r.i], False), after(lines[r.i], True)), lines[r.i]
+
+
+def test_records_and_replies_are_parsed_once(spark, tmp_path):
+    """A filter on what is parsed would parse each record again for every cell, and each reply twice."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    written(tmp_path / "in", "a.csv", records(3, 20))
+    assert plan(_large_sheets(spark, str(tmp_path / "in"), 8, 0)).count("from_csv") == 1
+    replies = spark.createDataFrame([("a", 1, '{"usage": "u"}'), ("a", 2, "x"), ("b", 1, None)], "ord string, attempt int, reply string")
+    assert plan(first_prose(replies, "ord", 3)).count("split(reply") < 2
+    assert [tuple(r) for r in first_prose(replies, "ord", 3).collect()] == [("a", "", "u", "")]
+
+
+def test_ranges_with_and_without_quotes(spark, tmp_path):
+    """Ranges without quotes lie inside cells, or hold a record a line; both beside ranges with quotes."""
+    rows = [[f"r{i}", "x"] for i in range(40)]
+    written(tmp_path / "in", "a.csv", [*rows, ["q", "plain\n" * 60], *rows, ["last", 'say "so"']])
+    want = rows_of(spark, tmp_path / "in")
+    for split in (50, 300):
+        assert ranged(spark, tmp_path / "in", split) == want

@@ -21,8 +21,8 @@ def first_prose(replies: DataFrame, key: str, attempts: int | None, *usage_keys:
     counting = replies if attempts is None else replies.where(F.col("attempt") <= attempts)
     found = (
         counting
-        .select(key, "attempt", last_object(F.col("reply"), wanted).alias("_object"))
-        .where(F.col("_object").isNotNull())
+        # Exploded, not filtered: a filter would look for the object a second time.
+        .select(key, "attempt", F.explode(F.array_compact(F.array(last_object(F.col("reply"), wanted)))).alias("_object"))
         .withColumn("_o", F.from_json("_object", fields, {"allowSingleQuotes": "false"}))
     )
 

@@ -62,8 +62,9 @@ def _lines(spark: SparkSession, path: str, larger_than: int, options: dict[str,
 def _ranges(lines: DataFrame) -> DataFrame:
     """Per range the bit with which it begins: ``sheet_id, block, inside``, and what its file is like.
 
-    Of a range only the lines that change something are gathered, as two bits each.  ``ansi``: some line
-    of the file is no UTF-8; ``crlf``: its first line ends so, which then all do.
+    Of a range only the lines that change something are gathered, as two bits each.  ``plain``: there are
+    none and it begins outside, so each line is a record.  ``ansi``: some line of the file is no UTF-8;
+    ``crlf``: its first line ends so, which then all do.
     """
     changes = ~F.col("from_in") | F.col("from_out")
     functions = F.array_sort(F.collect_list(F.when(changes, F.struct("id", "from_out", "from_in"))))
@@ -74,7 +75,7 @@ def _ranges(lines: DataFrame) -> DataFrame:
 
     identity = F.struct(F.lit(False).alias("from_out"), F.lit(True).alias("from_in"))
     composed = lines.groupBy("sheet_id", "block").agg(
-        F.aggregate(functions, identity, compose).alias("f"),
+        F.aggregate(functions, identity, compose).alias("f"), F.bool_or(changes).alias("turns"),
         F.bool_and(F.is_valid_utf8("line")).alias("utf8"), F.min_by("line", "id").alias("first"),
     )
     # One row for each range: a file's ranges fit into one task.
@@ -85,29 +86,33 @@ def _ranges(lines: DataFrame) -> DataFrame:
     first = F.regexp_replace(F.first("first").over(before), "\r$", "")
     lone = F.raise_error(F.concat(F.lit("lines that end with a lone carriage return: "), "sheet_id"))
     return composed.select(
-        "sheet_id", "block", bit.alias("inside"), (~F.bool_and("utf8").over(whole)).alias("ansi"),
+        "sheet_id", "block", bit.alias("inside"), (~bit & ~F.col("turns")).alias("plain"),
+        (~F.bool_and("utf8").over(whole)).alias("ansi"),
         F.when(F.contains(first, F.lit("\r")), lone.cast("boolean"))
         .otherwise(F.endswith(F.first("first").over(before), F.lit("\r"))).alias("crlf"),
     )
 
 
 def _pieces(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The lines of each record within a range, put together: ``sheet_id, block, start, text, last, ...``.
+    """The lines of each record within a range, put together: ``sheet_id, block, start, text, ansi, crlf``.
 
     ``start`` is the id of the record's first line, null for the lines with which a range goes on with a
-    record of an earlier one.
+    record of an earlier one.  Lines of plain ranges are taken as they are, only the others are put in order.
+    There is a row for each range, and the driver has listed the files: few enough to broadcast.
     """
+    known = lines.join(F.broadcast(ranges), ["sheet_id", "block"])
+    single = known.where("plain").select("sheet_id", "block", F.col("id").alias("start"), F.col("line").alias("text"), "ansi", "crlf")
     own = Window.partitionBy("sheet_id", "block").orderBy("id")
     upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
     swaps = (F.col("from_out") & ~F.col("from_in")).cast("int")
     resets = F.col("from_out") == F.col("from_in")
     # The bit at a line: the last reset before it, or the range's bit, turned by the swaps since.
-    counted = lines.join(ranges, ["sheet_id", "block"]).withColumn("swaps", F.sum(swaps).over(upto))
+    counted = known.where("not plain").withColumn("swaps", F.sum(swaps).over(upto))
     reset = F.last(F.when(resets, F.struct(F.col("from_out").alias("bit"), F.col("swaps").alias("at"))), True)
     since = (F.col("swaps") - swaps - F.coalesce("reset.at", F.lit(0))) % 2 == 1
     inside = F.coalesce("reset.bit", F.col("inside")) != since
     started = F.max(F.when(~F.col("in_record"), F.col("id"))).over(upto)
-    return (
+    return single.unionByName(
         counted.withColumn("reset", reset.over(before)).withColumn("in_record", inside)
         .withColumn("start", started)
         .groupBy("sheet_id", "block", "start")

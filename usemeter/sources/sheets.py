@@ -12,7 +12,6 @@ from usemeter.config import FIELDS, HEADER_ALIASES, LABEL_HINTS, UsageSpec
 from usemeter.functions.binding import let
 from usemeter.functions.repo import is_repo_link
 from usemeter.functions.text import BLANK_CLASS, any_of, blank_if_null, first_line, header_key, strip
-from usemeter.operators.skew import lookup_join
 from usemeter.session import stored
 from usemeter.sources.csv_ranges import read_ranges
 
@@ -66,14 +65,14 @@ def _scan(spark: SparkSession, path: str, encoding: str, columns: int, upto: int
 
 
 def _large_sheets(spark: SparkSession, path: str, columns: int, above: int) -> DataFrame:
-    """``sheet_id, row_no, cells`` of all rows of larger files, each read by many tasks."""
+    """``sheet_id, row_no, cells`` of all rows of larger files, each read by many tasks; blank rows have no cells."""
     width = columns + _SENTINELS
     ddl = ", ".join(f"c{i} string" for i in range(width))
     decode = F.translate(F.decode(F.col("text").cast("binary"), "ISO-8859-1"), _C1_FROM, _C1_TO)
     rows = read_ranges(spark, path, above, ddl, _csv_options("UTF-8", columns), decode, _FILES)
-    cells = F.array(*[blank_if_null(F.col("record")[f"c{i}"]) for i in range(width)])
-    cut = rows.select("sheet_id", "row_no", cells.alias("cells")).select("sheet_id", "row_no", _cells_of(F.col("cells")).alias("cells"))
-    return cut.where(F.size("cells") > 0)
+    cells = lambda r: F.array(*[blank_if_null(r[f"c{i}"]) for i in range(width)])
+    # Bound names: a plain column is put in wherever it is used, and the record parsed there again.
+    return rows.select("sheet_id", "row_no", let(let(F.col("record"), cells), _cells_of).alias("cells"))
 
 
 def _has_large_files(spark: SparkSession, path: str, above: int) -> bool:
@@ -83,8 +82,9 @@ def _has_large_files(spark: SparkSession, path: str, above: int) -> bool:
 
 def _in_sheets(rows: DataFrame) -> DataFrame:
     """Stored rows with their place in the sheet in place of the running id, blank rows left out."""
-    first = rows.groupBy("sheet_id").agg(F.min("_id").alias("_first"))
-    placed = lookup_join(rows.where(F.size("cells") > 0), first, "sheet_id", spread_by="_id")
+    # A row a sheet, and the driver has listed the sheets' files: few enough to broadcast.
+    first = F.broadcast(rows.groupBy("sheet_id").agg(F.min("_id").alias("_first")))
+    placed = rows.where(F.size("cells") > 0).join(first, "sheet_id")
     return placed.select("sheet_id", (F.col("_id") - F.col("_first")).alias("row_no"), "cells")
 
 
@@ -120,7 +120,8 @@ def read_sheets(
     rows = _small_sheets(spark, path, columns, limit)
     if not _has_large_files(spark, path, limit):
         return rows
-    return rows.unionByName(stored(_large_sheets(spark, path, columns, limit), "large-sheets"))
+    large = stored(_large_sheets(spark, path, columns, limit), "large-sheets")
+    return rows.unionByName(large.where(F.size("cells") > 0))  # on stored rows: a filter before parses them twice
 
 
 def _small_sheets(spark: SparkSession, path: str, columns: int, upto: int) -> DataFrame:
@@ -320,8 +321,11 @@ def _is_plain(values: Column, spec: UsageSpec) -> Column:
 
 
 def canonical_rows(cells: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Data rows as the canonical text fields, in sheet order by ``row_no``."""
-    joined = lookup_join(cells, mapping, "sheet_id", spread_by="row_no", how="inner")
+    """Data rows as the canonical text fields, in sheet order by ``row_no``.
+
+    The mapping has a row a sheet and goes to the rows, which stay where they are.
+    """
+    joined = cells.join(F.broadcast(mapping), "sheet_id")
 
     def cell(field: str) -> Column:
         return strip(blank_if_null(F.get("cells", F.col(field))))
