@@ -147,6 +147,17 @@ def test_sinks_round_trip(spark, spec, results, tmp_path):
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 9
 
 
+def test_packed_lines_hold_the_same_in_less(spark, spec, results, tmp_path):
+    many = results.withColumn("seconds", F.explode(F.expr("transform(sequence(1, 200), x -> double(x))"))).coalesce(1)
+    size = {}
+    for form in ("none", "gzip"):
+        sinks.write_ndjson(many, str(tmp_path / form), spec, compression=form)
+        size[form] = sum(p.stat().st_size for p in (tmp_path / form).glob("part-*"))
+    lines = [sorted(r.value for r in spark.read.text(str(tmp_path / f)).collect()) for f in size]
+    assert lines[0] == lines[1] and len(lines[0]) == 9 * 200
+    assert size["gzip"] < size["none"] / 10
+
+
 def test_default_project(spark, spec):
     df = spark.createDataFrame([(" ", "github.com/o/Rep.git"), ("", "n/a"), ("x", "github.com/o/r")],
                                "project string, github string")

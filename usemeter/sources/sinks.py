@@ -36,11 +36,15 @@ def write_needs_review(results: DataFrame, path: str) -> None:
     )
 
 
-def write_ndjson(results: DataFrame, path: str, spec: UsageSpec) -> None:
-    """Public fields, one JSON object per line, nulls kept, in no particular order."""
+def write_ndjson(results: DataFrame, path: str, spec: UsageSpec, compression: str = "none") -> None:
+    """Public fields, one JSON object per line, nulls kept, in no particular order.
+
+    Submissions of one repo repeat its definitions and evidence: with ``compression="gzip"`` files of many
+    submissions are a small part of the plain text.
+    """
     public_rows(results, spec).drop("ord").write.option(
         "ignoreNullFields", "false"
-    ).json(path)
+    ).json(path, compression=compression)
 
 
 def write_replies(replies: DataFrame, path: str) -> None:
