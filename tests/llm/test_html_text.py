@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from usemeter.llm import html_text, large_hosts
 from usemeter.llm.html_text import extract_main_text, main_texts, parse, repeated_tokens
 
 PAGE = """<!DOCTYPE html><html><head><title>Not this</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
@@ -106,3 +107,48 @@ def test_repeats_go_inside_articles_and_teasers_are_no_main_part():
     assert all(t.startswith(b) for t, b in zip(main_texts([parse(h) for h in teaser]), bodies))
     beside = [f"<article><p>{b}</p></article><div>{text(20)}</div><div>{advert * 9}</div>" for b in bodies]
     assert main_texts([parse(h) for h in beside]) == bodies
+
+
+def random_words(seed):
+    rnd = np.random.default_rng(seed)
+    return lambda n, most=10**9: " ".join(f"w{i}" for i in rnd.integers(0, most, n))
+
+
+def test_a_notice_goes_whatever_the_size_of_its_host(spark):
+    """On four pages of a host of 6, and on four of one of 3,000."""
+    text = random_words(7)
+    notice, rows = text(12), []
+    for host, pages in (("small", 6), ("large", 3000)):
+        rows += [(len(rows) + i, f"http://{host}.example/{i}", f"<p>{notice * (i in {pages * k // 4 for k in range(4)})}</p><p>{text(20)}</p>") for i in range(pages)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sum(notice in h for _, _, h in rows) == 8
+    assert all(got[i] == h.split("<p>")[2].removesuffix("</p>") for i, _, h in rows)
+
+
+def test_a_host_in_shards_has_the_texts_of_a_host_in_one_task(spark, monkeypatch):
+    text = random_words(8)
+    rnd = np.random.default_rng(8)
+    lines, bodies = [text(int(n)) for n in rnd.integers(1, 14, 12)], [text(int(n)) for n in rnd.integers(0, 120, 40)]
+    rows = [(1, None, None), (2, "http://a.example", None), (None, "http://a.example", ""), (3, "http://a.example", "<p>x")]
+    long = [text(300) for _ in range(3)]  # of near copies, with a line of their own and one or none of three pages more
+    for i in range(400):
+        blocks = [*rnd.choice(lines, int(rnd.integers(0, 4))), bodies[int(rnd.integers(40))], text(int(rnd.integers(0, 9)), 40)]
+        if i % 10 == 1:
+            blocks = [lines[i // 10 % 4], long[i // 10 % 3], f"day {i}"]
+        html = "".join(f"<p>{b}</p>" for b in blocks)
+        rows += [(i, f"http://{'ab'[i % 5 == 0]}.example/{i}", f"<article>{html}</article><p>{lines[0]}" if i % 3 else html)] * int(rnd.integers(1, 3))
+    hosts = {}
+    for page_id, url, html in rows:
+        hosts.setdefault(url and url[7:16], []).append((page_id, url, parse(html or "")))
+    want = Counter((p[0], p[1], t) for h, own in hosts.items() for p, t in zip(own, main_texts([p[2] for p in own], host=h or "")))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    texts = lambda: Counter((r.page_id, r.url, r.text) for r in extract_main_text(df).collect())
+    assert texts() == want
+    monkeypatch.setattr(html_text, "HOST_TOKENS", 100)
+    for tokens, pages in ((1000, 10_000), (7000, 30), (10**6, 10)):
+        monkeypatch.setattr(large_hosts, "SHARD_TOKENS", tokens)
+        monkeypatch.setattr(large_hosts, "JUDGED_PAGES", pages)
+        assert texts() == want, tokens
+    near = [p[2] for p in hosts["a.example"]]
+    back = main_texts(near[::-1], host="a.example")[::-1]
+    assert back == main_texts(near, host="a.example")  # in any order

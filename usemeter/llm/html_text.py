@@ -7,12 +7,16 @@ host's pages are concatenated, a suffix array (sorted by prefix doubling up to `
 tells all longer repeats) finds substrings that stand on ``MIN_PAGES`` pages of different content; blocks
 that such substrings cover whole are boilerplate and go, all others stay.  Inside a marked part the substrings must
 stand on half of the host's pages: a line that a few articles share is theirs.
+
+Substrings are always counted over the whole host.  One task takes a host of up to ``HOST_TOKENS`` tokens; a larger
+one is dealt into shards, whose counts ``large_hosts`` adds up: the same texts, by whichever way.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usemeter.llm.common import bounds, keep, small_batches
+from usemeter.llm.common import keep, small_batches
 
 MIN_TOKENS = 8
 MIN_PAGES = 3
@@ -30,12 +34,10 @@ MIN_PAGES = 3
 HOST_SHARE = 0.5
 #: Pages of one host whose substrings are equal to this share are one content.
 NEAR = 0.9
-#: Tokens of one suffix array: a host's pages are taken in order of their ids in runs of about so many.
-RUN_TOKENS = 1_000_000
-#: Hosts with more than this share of all pages are dealt over several tasks; there are fewer than 1 / share of them.
-HOT_SHARE = 1e-3
-#: Pages of such a host in one shard.
-SHARD_PAGES = 1000
+#: Tokens, by a rough estimate, of a host that one task takes whole; larger hosts are dealt over several tasks.
+HOST_TOKENS = 2_000_000
+#: Characters of a page for each token of that estimate.
+_TOKEN_CHARS = 6
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -48,7 +50,10 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 _PART = re.compile(r"[a-z]+")
 
 _SLOTS, _BAND = 64, 8
-_FACTORS = np.random.default_rng(7).integers(0, 2**63, _SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM = np.random.default_rng(7)
+_FACTORS = _RANDOM.integers(0, 2**31, _SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_WEIGHTS = _RANDOM.integers(0, 2**63, MIN_TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIXER = np.uint64(0xC4CEB9FE1A85EC53)
 
 #: Elements that hold no main text.
 _DROPPED = frozenset("nav header footer aside form button menu dialog head".split())
@@ -223,7 +228,7 @@ def _page(blocks: list[tuple[list[tuple[int | None, str]], bool]], hinted: list[
 # --- suffix array of a host ----------------------------------------------------------------------------
 
 
-def _ranks(pages: list[np.ndarray], min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+def ranks(pages: list[np.ndarray], min_tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """The rank of each suffix of the concatenated streams by its first ``min_tokens`` tokens, and the pages' stops.
 
     Suffixes are ranked by their first 1, 2, 4, ... tokens; equal ranks are equal substrings.  A stop behind each
@@ -244,118 +249,192 @@ def _ranks(pages: list[np.ndarray], min_tokens: int) -> tuple[np.ndarray, np.nda
     return rank, stops
 
 
-def _counts(rank: np.ndarray, owners: np.ndarray, min_tokens: int) -> np.ndarray:
-    """For each token the most ``owners`` that share one of the substrings of ``min_tokens`` over it."""
+def owned(rank: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """The first suffix of each pair of a rank and an owner, in the order of ranks."""
     suffixes = np.lexsort((owners, rank))
     r, p = rank[suffixes], owners[suffixes]
-    runs = bounds(r)
-    first = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])]
-    distinct = np.add.reduceat(first, runs[:-1]) if len(r) else np.zeros(0, np.int64)
-    starts = np.zeros(len(rank), np.int64)
-    starts[suffixes] = np.repeat(distinct, np.diff(runs))
+    return suffixes[np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])]] if len(r) else suffixes
+
+
+def covering(starts: np.ndarray, min_tokens: int = MIN_TOKENS) -> np.ndarray:
+    """For each token the highest of the counts of the substrings of ``min_tokens`` over it."""
     most = starts.copy()
     for back in range(1, min(min_tokens, len(starts))):
         np.maximum(most[back:], starts[:-back], out=most[back:])
     return most
 
 
-def near_copies(grams: list[np.ndarray]) -> np.ndarray:
-    """For each set of substrings the first set that is equal to nine tenths, by ``_SLOTS`` minimum hashes.
+def _counts(rank: np.ndarray, owners: np.ndarray, min_tokens: int) -> np.ndarray:
+    """For each token the most ``owners`` that share one of the substrings of ``min_tokens`` over it."""
+    return covering(np.bincount(rank[owned(rank, owners)])[rank] if len(rank) else rank, min_tokens)
+
+
+# --- contents and near copies --------------------------------------------------------------------------
+
+
+def _signed(digest: int) -> int:
+    return digest - (digest >> 63 << 64)
+
 
-    Sets are compared with the first one that agrees in a band of hashes, so the work is linear in them.
+def content_of(host: str, page: Page) -> int:
+    """The 64-bit name of a host's page by its tokens: equal pages of one host are one content."""
+    return _signed(xxhash.xxh3_64_intdigest(" ".join(page.blocks), xxhash.xxh3_64_intdigest(host)))
+
+
+def gram_hashes(tokens: np.ndarray, content: int) -> np.ndarray:
+    """A hash of 56 bits of the ``MIN_TOKENS`` tokens from each token on; those that reach past the end are the content's own."""
+    n, own = len(tokens), np.uint64(content & 0xFFFFFFFFFFFFFFFF)
+    stream = np.r_[tokens, (own ^ np.arange(1, MIN_TOKENS, dtype=np.uint64)) * _MIXER | np.uint64(1)]
+    h = np.zeros(n, np.uint64)
+    for at, weight in enumerate(_WEIGHTS):
+        h += stream[at : at + n] * weight
+    h = (h ^ (h >> np.uint64(33))) * _MIXER
+    return (h ^ (h >> np.uint64(29))) >> np.uint64(8)
+
+
+def signature(grams: np.ndarray) -> np.ndarray:
+    """``_SLOTS`` minimum hashes of a set of substrings, 16 bits of each."""
+    least = np.full(_SLOTS, np.iinfo(np.uint32).max, np.uint32)
+    short = (grams >> np.uint64(24)).astype(np.uint32)
+    for at in range(0, len(short), 10_000):
+        mixed = _FACTORS[:, None] * short[at : at + 10_000]
+        mixed ^= mixed >> np.uint32(15)
+        least = np.minimum(least, mixed.min(axis=1))
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
+
+
+def bands_of(slots: np.ndarray) -> list[int]:
+    """Near copies share one of these numbers, each of ``_BAND`` slots."""
+    return [_signed(xxhash.xxh3_64_intdigest(slots[k : k + _BAND].tobytes())) for k in range(0, _SLOTS, _BAND)]
+
+
+def near_roots(contents: np.ndarray, signatures: list[np.ndarray]) -> np.ndarray:
+    """For each content the least content of its class, whatever the order.
+
+    In each band contents are compared with the least one that shares it and linked if ``NEAR`` of their slots are
+    equal; links make the classes.  The work is linear in the contents.
     """
-    owner, signatures, seen = np.arange(len(grams)), [], {}
-    for i, g in enumerate(grams):
-        least = np.full(_SLOTS, np.iinfo(np.uint64).max)
-        for at in range(0, len(g), 10_000):
-            mixed = (g[at : at + 10_000].astype(np.uint64) + np.uint64(1))[:, None] * _FACTORS
-            least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
-        signatures.append(least)
-        bands = [(k, signatures[i][k : k + _BAND].tobytes()) for k in range(0, _SLOTS, _BAND)]
-        for other in dict.fromkeys(seen[band] for band in bands if band in seen):
-            if (signatures[i] == signatures[other]).mean() >= NEAR:
-                owner[i] = owner[other]
-                break
-        for band in bands:
-            seen.setdefault(band, i)
-    return owner
-
-
-def repeat_counts(pages: list[np.ndarray], min_tokens: int = MIN_TOKENS) -> tuple[list[np.ndarray], int]:
-    """For each page's token hashes, how many contents share a substring of ``min_tokens`` over it; and all contents.
-
-    Equal pages are one content, and so are pages whose substrings are equal to nine tenths.
+    ordered = np.argsort(contents, kind="stable")
+    parent, seen = np.arange(len(contents)), [{} for _ in range(0, _SLOTS, _BAND)]
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in ordered.tolist():
+        for hub in {first.setdefault(band, i) for first, band in zip(seen, bands_of(signatures[i]))}:
+            if hub != i and (signatures[i] == signatures[hub]).mean() >= NEAR:
+                a, b = root(i), root(hub)
+                low, high = (a, b) if contents[a] < contents[b] else (b, a)
+                parent[high] = low
+    return contents[[root(i) for i in range(len(contents))]] if len(contents) else contents
+
+
+def repeat_counts(named: list[int], pages: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """For each page's token hashes, how many contents share a substring of ``MIN_TOKENS`` over it; and all contents.
+
+    Equal pages, which have one name, are one content, and so are pages whose substrings are equal to nine tenths.
     """
-    place: dict[bytes, int] = {}
-    of = [place.setdefault(p.tobytes(), len(place)) for p in pages]
-    distinct = [np.frombuffer(p, np.uint64) for p in place]
-    rank, stops = _ranks(distinct, min_tokens)
-    lengths = np.array([len(p) for p in distinct], np.int64)
-    spans = [slice(e - n, e) for e, n in zip(stops, lengths)]
-    owners = np.arange(len(distinct))
-    most = _counts(rank, np.repeat(owners, lengths + 1), min_tokens)
-    # Only pages that stand nearly whole on other pages can be near copies.
-    alike = [i for i, s in enumerate(spans) if lengths[i] and (most[s] > 1).mean() >= NEAR]
-    if len(alike) > 1:
-        first = near_copies([np.unique(rank[s]) for s in (spans[i] for i in alike)])
-        owners[alike] = np.array(alike)[first]
-        most = _counts(rank, np.repeat(owners, lengths + 1), min_tokens)
-    return [most[spans[i]] for i in of], len(np.unique(owners))
+    distinct = dict(zip(named, pages))
+    place = {c: i for i, c in enumerate(distinct)}
+    contents, streams = np.array(list(distinct), np.int64), list(distinct.values())
+    rank, stops = ranks(streams, MIN_TOKENS)
+    lengths = np.array([len(p) for p in streams], np.int64)
+    owners = contents.copy()
+    long = np.flatnonzero(lengths)
+    owners[long] = near_roots(contents[long], [signature(gram_hashes(streams[i], int(contents[i]))) for i in long])
+    most = _counts(rank, np.repeat(owners, lengths + 1), MIN_TOKENS)
+    return [most[stops[i] - lengths[i] : stops[i]] for i in (place[c] for c in named)], len(np.unique(owners))
 
 
 def repeated_tokens(pages: list[np.ndarray], min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
     """For each page's token hashes, which lie in a substring of ``min_tokens`` or more found on ``min_pages`` pages."""
-    rank, stops = _ranks(pages, min_tokens)
+    rank, stops = ranks(pages, min_tokens)
     lengths = np.array([len(p) for p in pages], np.int64)
     most = _counts(rank, np.repeat(np.arange(len(pages)), lengths + 1), min_tokens)
     return [most[e - n : e] >= min_pages for e, n in zip(stops, lengths)]
 
 
-class _Hashes(dict):
+class Hashes(dict):
+    """Token hashes, remembered."""
+
     def __missing__(self, token: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
         self[token] = h = xxhash.xxh3_64_intdigest(token) | 1
         return h
 
+    def of(self, page: Page) -> np.ndarray:
+        tokens = " ".join(page.blocks).split(" ") if page.blocks else []
+        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def main_text(page: Page, count: np.ndarray, contents: int) -> str:
+    """The blocks of a page that stay: they go whole, if all their tokens lie in repeats."""
+    sizes = np.array([b.count(" ") + 1 for b in page.blocks], np.int64)
+    least = np.minimum.reduceat(count, np.cumsum(sizes) - sizes) if len(sizes) else sizes
+    main, unique = np.array(page.main, bool), least < MIN_PAGES
+    # A teaser card is an article as well: the main part is what holds most of the page's own text.
+    if page.settled and 2 * sizes[main & unique].sum() >= sizes[unique].sum():
+        unique = main & (least < max(MIN_PAGES, contents * HOST_SHARE))
+    return " ".join(b for b, u in zip(page.blocks, unique) if u)
+
+
+def main_texts(pages: list[Page], hashes: Hashes | None = None, host: str = "") -> list[str]:
+    """The main texts of one host's pages."""
+    hashes = Hashes() if hashes is None else hashes
+    counts, contents = repeat_counts([content_of(host, p) for p in pages], [hashes.of(p) for p in pages])
+    return [main_text(page, count, contents) for page, count in zip(pages, counts)]
+
+
+# --- tables --------------------------------------------------------------------------------------------
+
+TEXT_DDL = "page_id long, url string, text string, n_chars long"
 
-def main_texts(pages: list[Page], hashes: dict | None = None) -> list[str]:
-    """The main texts of one host's pages: blocks go whole, if all their tokens lie in repeats."""
-    hashes = _Hashes() if hashes is None else hashes
-    tokens = [[t for b in p.blocks for t in b.split(" ")] for p in pages]
-    counts, contents = repeat_counts([np.fromiter(map(hashes.__getitem__, t), np.uint64, len(t)) for t in tokens])
-    template = max(MIN_PAGES, contents * HOST_SHARE)
-    out = []
-    for page, count in zip(pages, counts):
-        sizes = np.array([b.count(" ") + 1 for b in page.blocks], np.int64)
-        least = np.minimum.reduceat(count, np.cumsum(sizes) - sizes) if len(sizes) else sizes
-        main, unique = np.array(page.main, bool), least < MIN_PAGES
-        # A teaser card is an article as well: the main part is what holds most of the page's own text.
-        if page.settled and 2 * sizes[main & unique].sum() >= sizes[unique].sum():
-            unique = main & (least < template)
-        out.append(" ".join(b for b, u in zip(page.blocks, unique) if u))
-    return out
+
+def packed(page: Page) -> bytes:
+    marks = "".join("01"[m] for m in page.main)
+    return zlib.compress("\n".join([marks, *page.blocks]).encode(), 1)
+
+
+def unpacked(data: bytes) -> Page:
+    marks, *blocks = zlib.decompress(data).decode().split("\n")
+    return Page(blocks, [m == "1" for m in marks])
+
+
+def text_rows(rows: list[tuple[int | None, str | None]], texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+        ["page_id", "url", "text", "n_chars"],
+    )
+
+
+def columns_of(batch: pa.RecordBatch, *names: str) -> Iterable[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in names))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages = pa.array([packed(parse(html)) for html in batch.column("html").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pages], ["page_id", "url", "host", "page"])
 
 
 def _extract(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages sorted by host, in runs of one host."""
-    hashes, run, host, size = _Hashes(), [], None, 0
+    hashes, run, host = Hashes(), [], None
 
     def out():
-        texts = main_texts([page for _, _, page in run], hashes)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in run], pa.int64()), pa.array([r[1] for r in run], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-            ["page_id", "url", "text", "n_chars"],
-        )
+        return text_rows(run, main_texts([page for _, _, page in run], hashes, host))
 
     for batch in groups:
-        for page_id, url, html, its_host, shard in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "shard"))):
-            if run and (host != (its_host, shard) or size >= RUN_TOKENS):
+        for page_id, url, its_host, page in columns_of(batch, "page_id", "url", "host", "page"):
+            if run and host != its_host:
                 yield out()
-                run, size = [], 0
-            host = (its_host, shard)
-            run.append((page_id, url, parse(html)))
-            size += len(html) // 6
+                run = []
+            host = its_host
+            run.append((page_id, url, unpacked(page)))
     if run:
         yield out()
 
@@ -365,19 +444,20 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", ke
 
     A null or empty page gives an empty text; null urls and urls without a host share one host; null ids and
     repeated rows give a row each (equal and nearly equal pages of one host count as one); an empty table gives
-    none; other columns are not looked at.  A host's pages are compared in runs of about ``RUN_TOKENS``
-    tokens in the order of ids; hosts above ``HOT_SHARE`` of all pages are dealt by id over several tasks first.
+    none; other columns are not looked at.  A host's pages are compared all with each other: in one task up to about
+    ``HOST_TOKENS`` tokens, else by shards whose counts are added up.  The result does not depend on which.
     """
+    from usemeter.llm.large_hosts import large_host_texts
+
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(
         F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"), host.alias("host")
     )
-    counts = keep(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # Fewer than 1 / HOT_SHARE hosts can be hot: the broadcast has that many rows at most.
-    hot = counts.where(F.col("n") > HOT_SHARE * total).select("host", F.ceil(F.col("n") / F.lit(SHARD_PAGES)).cast("int").alias("shards"))
-    shard = F.when(F.col("shards") > 1, F.expr("cast(pmod(xxhash64(page_id), shards) as int)")).otherwise(0)
-    dealt = rows.join(F.broadcast(hot), "host", "left").withColumn("shard", shard).drop("shards")
-    ordered = dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", F.col("page_id").asc_nulls_first(), F.xxhash64("html"))
-    return ordered.select("page_id", "url", "html", "host", "shard").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    tokens = F.sum(F.length("html") / _TOKEN_CHARS + 1)
+    # As many hosts at most as the table has ``HOST_TOKENS`` tokens: a row each is little to broadcast.
+    large = keep(rows.groupBy("host").agg(tokens.alias("tokens")).where(F.col("tokens") > HOST_TOKENS), "hosts")
+    small = rows.join(F.broadcast(large), "host", "left_anti").select("page_id", "url", "html", "host")
+    parsed = small.mapInArrow(_parsed, "page_id long, url string, host string, page binary")
+    texts = parsed.repartition("host").sortWithinPartitions("host").mapInArrow(_extract, TEXT_DDL)
+    return texts if large.isEmpty() else texts.unionByName(large_host_texts(rows, large))
