@@ -62,6 +62,23 @@ def test_a_lookup_reads_its_keys_only(spark, tmp_path, rows):
     assert rows_scanned(found) < 16_000
 
 
+def test_a_merge_is_worked_out_once(spark, tmp_path):
+    """Its rows serve the sketch, the sample of ranges and the level."""
+    worked_out = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(value):
+        worked_out.add(1)
+        return value
+
+    merge = lambda rows: newest(rows).select("key", seen.asNondeterministic()("value").alias("value"), "_batch")
+    own = Levels(spark, str(tmp_path / "levels"), ("key",), DDL, merge, fanout=2)
+    for batch in range(2):
+        own.add(spark.createDataFrame([(f"k{i}", i, batch) for i in range(batch, 10)], DDL), batch)
+    assert worked_out.value == 10
+    assert {r.key: r.value for r in newest(own.all_rows()).collect()} == {f"k{i}": i for i in range(10)}
+
+
 def sheet_rows(spark, spec, rows, order):
     df = spark.createDataFrame(rows, f"{order} bigint, project_name string, repo_link string, notes string")
     given = ("project_name", "repo_link", "notes")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from usemeter.operators.clustering import (
     SLOT, in_slots, may_hold, sketch_of, sketch_rows, slot_of, write_clustered,
 )
+from usemeter.session import passing, stored
 from usemeter.streaming import ranges
 
 BASE = -1
@@ -44,6 +45,11 @@ class Levels(NamedTuple):
         sketch_rows(rows, *self.keys, bits=SKETCH_BITS).write.mode("overwrite").parquet(f"{self.folder}/sketches/{name}")
         write_clustered(rows, path, self.keys, group_bytes=self.group_bytes)
 
+    def _write_merged(self, rows: DataFrame, path: str) -> None:
+        """A merge is worked out once, not for the sketch, the sample of ranges and the rows each."""
+        with passing():
+            self._write(stored(rows, "merged"), path)
+
     def _path(self, first: int, last: int) -> str:
         return f"{self.folder}/base/level" if first == BASE else ranges.part(f"{self.folder}/rows", first, last)
 
@@ -64,7 +70,7 @@ class Levels(NamedTuple):
         self._write(rows.select(*self._columns()), self._path(batch_id, batch_id))
         ranges.merge_levels(
             self.spark, f"{self.folder}/rows", lambda r: self.merge(r.drop(SLOT)), batch_id, self.fanout,
-            self._write,
+            self._write_merged,
         )
         ranges.forget_others(self.spark, f"{self.folder}/sketches", f"{self.folder}/rows", batch_id)
 
