@@ -71,7 +71,9 @@ def in_slots(df: DataFrame, slots: list[int], scans: int = 1) -> DataFrame:
     exact = F.expr(f"{SLOT} + 0 IN {listed}")  # not a plain column, so not pushed
     if len(slots) > size:
         return df.where(exact)
-    spans = " OR ".join(f"{SLOT} BETWEEN {a} AND {b}" for a, b in slot_ranges(slots, _RANGES))
+    spans = " OR ".join(
+        f"{SLOT} = {a}" if a == b else f"{SLOT} BETWEEN {a} AND {b}" for a, b in slot_ranges(slots, _RANGES)
+    )
     whole = f"{SLOT} BETWEEN {slots[0]} AND {slots[-1]}"  # the cheapest test first
     return df.where(F.expr(whole)).where(F.expr(spans)).where(exact)
 
