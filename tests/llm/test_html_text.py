@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -152,3 +153,20 @@ def test_a_host_in_shards_has_the_texts_of_a_host_in_one_task(spark, monkeypatch
     near = [p[2] for p in hosts["a.example"]]
     back = main_texts(near[::-1], host="a.example")[::-1]
     assert back == main_texts(near, host="a.example")  # in any order
+
+
+def test_pages_that_go_the_same_way_take_less_together(monkeypatch):
+    text = random_words(9)
+    menu = f"<div>{text(40)}</div>"
+    pages = [parse(f"{menu}<p>{text(60, 2000)}</p><article>é <p>x&#30;y\x1e z</article>") for _ in range(400)] + [parse(""), parse("<p>\u2028")]
+    rows = [(i if i % 7 else None, f"u\x1e\n{i}" if i % 5 else None) for i in range(len(pages))]
+    alone = sum(len(zlib.compress("\n".join(p.blocks).encode(), 1)) for p in pages)
+    for held, package in ((10**9, 100_000), (20_000, 10**9), (1, 1)):
+        monkeypatch.setattr(html_text, "HELD_CHARS", held)
+        monkeypatch.setattr(html_text, "PACKAGE_CHARS", package)
+        keeper = html_text.Packages()
+        out = [x for r, p in zip(rows, pages) for x in keeper.add((f"h{r[0] is None}", 1), r, p)] + list(keeper.rest())
+        assert not list(keeper.rest()) and {x[1] for x in out} == {1}
+        back = [(*r, p.blocks, p.main, host) for host, _, data in out for r, p in html_text.unpacked(data)]
+        assert sorted(map(str, back)) == sorted(str((*r, p.blocks, p.main, f"h{r[0] is None}")) for r, p in zip(rows, pages))
+        assert held == 1 or sum(len(x[2]) for x in out) < 0.8 * alone

@@ -14,8 +14,9 @@ one is dealt into shards, whose counts ``large_hosts`` adds up: the same texts,
 
 from __future__ import annotations
 
+import json
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -23,6 +24,7 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ NEAR = 0.9
 HOST_TOKENS = 2_000_000
 #: Characters of a page for each token of that estimate.
 _TOKEN_CHARS = 6
+#: Characters of blocks that a task holds, packed together by where they go, and characters of one package about.
+HELD_CHARS, PACKAGE_CHARS = 16_000_000, 100_000
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -394,14 +398,56 @@ def main_texts(pages: list[Page], hashes: Hashes | None = None, host: str = "")
 TEXT_DDL = "page_id long, url string, text string, n_chars long"
 
 
-def packed(page: Page) -> bytes:
-    marks = "".join("01"[m] for m in page.main)
-    return zlib.compress("\n".join([marks, *page.blocks]).encode(), 1)
+_SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
-def unpacked(data: bytes) -> Page:
-    marks, *blocks = zlib.decompress(data).decode().split("\n")
-    return Page(blocks, [m == "1" for m in marks])
+def packed(rows: list[tuple], pages: list[Page]) -> bytes:
+    """Pages that go the same way, each with a row of its own values; together they take less than apart.
+
+    Blocks hold no white space but single spaces, so none of the separators; JSON escapes them.
+    """
+    texts = ("\n".join(["".join("01"[m] for m in p.main), *p.blocks]) for p in pages)
+    return _SQUEEZE.compress("\x1e".join([json.dumps(rows), *texts]).encode())
+
+
+def unpacked(data: bytes) -> Iterator[tuple[list, Page]]:
+    """Each row of ``packed`` with its page."""
+    rows, *texts = _EXPAND.decompress(data).decode().split("\x1e")
+    for row, text in zip(json.loads(rows), texts, strict=True):
+        marks, *blocks = text.split("\n")
+        yield row, Page(blocks, [m == "1" for m in marks])
+
+
+class Packages:
+    """Pages of a task by where they go: a package is ready when it or all together are long enough."""
+
+    def __init__(self):
+        self.open: dict[tuple, tuple[list[tuple], list[Page]]] = {}
+        self.sizes: Counter[tuple] = Counter()
+        self.held = 0
+
+    def add(self, to: tuple, row: tuple, page: Page) -> Iterator[tuple]:
+        """Takes a page with its row; gives ``(*to, package)`` of what is ready."""
+        rows, pages = self.open.setdefault(to, ([], []))
+        rows.append(row)
+        pages.append(page)
+        size = sum(map(len, page.blocks)) + 100
+        self.sizes[to] += size
+        self.held += size
+        if self.sizes[to] >= PACKAGE_CHARS:
+            self.held -= self.sizes.pop(to)
+            yield *to, packed(*self.open.pop(to))
+        elif self.held >= HELD_CHARS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[tuple]:
+        for to, own in self.open.items():
+            yield *to, packed(*own)
+        self.__init__()
+
+
+def packages(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def text_rows(rows: list[tuple[int | None, str | None]], texts: list[str]) -> pa.RecordBatch:
@@ -415,26 +461,33 @@ def columns_of(batch: pa.RecordBatch, *names: str) -> Iterable[tuple]:
     return zip(*(batch.column(c).to_pylist() for c in names))
 
 
+_PARSED = pa.schema([("host", pa.string()), ("pages", pa.binary())])
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = Packages()
     for batch in batches:
-        pages = pa.array([packed(parse(html)) for html in batch.column("html").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pages], ["page_id", "url", "host", "page"])
+        ready = []
+        for page_id, url, html, host in columns_of(batch, "page_id", "url", "html", "host"):
+            ready += held.add((host,), (page_id, url), parse(html))
+        yield packages(_PARSED, ready)
+    yield packages(_PARSED, list(held.rest()))
 
 
 def _extract(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages sorted by host, in runs of one host."""
+    """Packages of pages sorted by host, in runs of one host."""
     hashes, run, host = Hashes(), [], None
 
     def out():
         return text_rows(run, main_texts([page for _, _, page in run], hashes, host))
 
     for batch in groups:
-        for page_id, url, its_host, page in columns_of(batch, "page_id", "url", "host", "page"):
+        for its_host, pages in columns_of(batch, "host", "pages"):
             if run and host != its_host:
                 yield out()
                 run = []
             host = its_host
-            run.append((page_id, url, unpacked(page)))
+            run += [(page_id, url, page) for (page_id, url), page in unpacked(pages)]
     if run:
         yield out()
 
@@ -458,6 +511,6 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", ke
     # As many hosts at most as the table has ``HOST_TOKENS`` tokens: a row each is little to broadcast.
     large = keep(rows.groupBy("host").agg(tokens.alias("tokens")).where(F.col("tokens") > HOST_TOKENS), "hosts")
     small = rows.join(F.broadcast(large), "host", "left_anti").select("page_id", "url", "html", "host")
-    parsed = small.mapInArrow(_parsed, "page_id long, url string, host string, page binary")
+    parsed = small.mapInArrow(_parsed, "host string, pages binary")
     texts = parsed.repartition("host").sortWithinPartitions("host").mapInArrow(_extract, TEXT_DDL)
     return texts if large.isEmpty() else texts.unionByName(large_host_texts(rows, large))

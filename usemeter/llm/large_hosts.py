@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from usemeter.llm.common import bounds, from_planes, keep, planes
 from usemeter.llm.graph import components
 from usemeter.llm.html_text import (
-    _SLOTS, MIN_PAGES, MIN_TOKENS, NEAR, TEXT_DDL, Hashes, bands_of, columns_of, content_of, covering, gram_hashes,
-    main_text, owned, packed, parse, ranks, signature, text_rows, unpacked,
+    _SLOTS, MIN_PAGES, MIN_TOKENS, NEAR, TEXT_DDL, Hashes, Packages, bands_of, columns_of, content_of, covering, gram_hashes,
+    main_text, owned, packages, parse, ranks, signature, text_rows, unpacked,
 )
 
 #: Tokens of one shard, by the estimate that ``HOST_TOKENS`` goes by.
@@ -27,7 +27,8 @@ SHARD_TOKENS = 1_000_000
 #: Pages of one shard that one task judges; with more copies the shard is judged by several.
 JUDGED_PAGES = 10_000
 
-_READ_DDL = "page_id long, url string, host string, shards int, content long, page binary"
+_READ = pa.schema([("host", pa.string()), ("shards", pa.int32()), ("shard", pa.int32()), ("pages", pa.binary())])
+_READ_DDL = "host string, shards int, shard int, pages binary"
 _COUNTED = pa.schema([("host", pa.string()), ("shard", pa.int32()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("grams", "counts", "shared", "classes", "roots")]])
 _COUNTED_DDL = "host string, shard int, bucket int, grams binary, counts binary, shared binary, classes binary, roots binary"
 
@@ -42,12 +43,12 @@ def _received(data: bytes) -> np.ndarray:
 
 
 def _read(distinct: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Parsed pages with the name of their content; if ``distinct``, a task leaves out contents that it had."""
+    """Parsed pages, packed by shard, with the name of their content; if ``distinct``, a task leaves out contents that it had."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, held = set(), Packages()
         for batch in batches:
-            rows = []
+            ready = []
             for page_id, url, html, host, shards in columns_of(batch, "page_id", "url", "html", "host", "shards"):
                 page = parse(html)
                 content = content_of(host, page)
@@ -57,10 +58,10 @@ def _read(distinct: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     if len(seen) >= 1_000_000:  # contents that come again do no harm
                         seen.clear()
                     seen.add(content)
-                rows.append((page_id, url, host, shards, content, packed(page)))
-            types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary())
-            names = ("page_id", "url", "host", "shards", "content", "page")
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+                row = (content,) if distinct else (content, page_id, url)
+                ready += held.add((host, shards, content % shards), row, page)
+            yield packages(_READ, ready)
+        yield packages(_READ, list(held.rest()))
 
     return read
 
@@ -131,16 +132,18 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_COUNTED)], schema=_COUNTED)
 
     for batch in rows:
-        for host, number, shards, content, root, page in columns_of(batch, "host", "shard", "shards", "content", "root", "page"):
+        for host, number, shards, content, root, pages in columns_of(batch, "host", "shard", "shards", "content", "root", "pages"):
             if shard is not None and shard[:2] != (host, number):
                 if streams:
                     yield out()
                 classes, streams = {}, {}
             shard = (host, number, shards)
-            if page is None:
+            if pages is None:
                 classes[content] = root
-            elif content not in streams:
-                streams[content] = hashes.of(unpacked(page))
+                continue
+            for (content,), page in unpacked(pages):
+                if content not in streams:
+                    streams[content] = hashes.of(page)
     if streams:
         yield out()
 
@@ -184,9 +187,7 @@ def _judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, part, contents, sent, known = Hashes(), None, 0, [], None
     for batch in rows:
         pages, texts = [], []
-        for *its_part, kind, number, grams, totals, page_id, url, content, data in columns_of(
-            batch, "host", "shard", "salt", "kind", "contents", "grams", "totals", "page_id", "url", "content", "page"
-        ):
+        for *its_part, kind, number, grams, totals, data in columns_of(batch, "host", "shard", "salt", "kind", "contents", "grams", "totals", "pages"):
             if part != its_part:
                 part, sent, known = its_part, [], None
             if kind == 0:
@@ -198,15 +199,18 @@ def _judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known = [np.concatenate(x) for x in zip(*sent)] if sent else [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
                     order = np.argsort(known[0])
                     known = [x[order] for x in known]
-                page = unpacked(data)
-                own = gram_hashes(hashes.of(page), content)
-                counts = np.ones(len(own), np.int64)
-                if len(known[0]):
-                    at = np.minimum(np.searchsorted(known[0], own), len(known[0]) - 1)
-                    counts = np.where(known[0][at] == own, known[1][at], 1)
-                counts[max(len(own) - MIN_TOKENS + 1, 0) :] = 1
-                pages.append((page_id, url))
-                texts.append(main_text(page, covering(counts), contents))
+                for (content, page_id, url), page in unpacked(data):
+                    own = gram_hashes(hashes.of(page), content)
+                    counts = np.ones(len(own), np.int64)
+                    if len(known[0]):
+                        at = np.minimum(np.searchsorted(known[0], own), len(known[0]) - 1)
+                        counts = np.where(known[0][at] == own, known[1][at], 1)
+                    counts[max(len(own) - MIN_TOKENS + 1, 0) :] = 1
+                    pages.append((page_id, url))
+                    texts.append(main_text(page, covering(counts), contents))
+                if len(pages) >= 1000:
+                    yield text_rows(pages, texts)
+                    pages, texts = [], []
         yield text_rows(pages, texts)
 
 
@@ -223,9 +227,9 @@ def large_host_texts(rows: DataFrame, large: DataFrame) -> DataFrame:
     classes = _near_classes(contents)
     merged = contents.select("host", "shards", "content", shard).join(classes, F.col("content") == F.col("node")).drop("node")
 
-    texts = dealt.mapInArrow(_read(distinct=True), _READ_DDL).select("host", shard, "shards", "content", F.lit(None).cast("long").alias("root"), "page")
-    told = merged.select("host", "shard", "shards", "content", "root", F.lit(None).cast("binary").alias("page"))
-    in_shards = texts.unionByName(told).withColumn("kind", F.col("page").isNotNull()).repartition("host", "shard")
+    texts = dealt.mapInArrow(_read(distinct=True), _READ_DDL).select("host", "shard", "shards", F.lit(None).cast("long").alias("content"), F.lit(None).cast("long").alias("root"), "pages")
+    told = merged.select("host", "shard", "shards", "content", "root", F.lit(None).cast("binary").alias("pages"))
+    in_shards = texts.unionByName(told).withColumn("kind", F.col("pages").isNotNull()).repartition("host", "shard")
     counted = in_shards.sortWithinPartitions("host", "shard", "kind").drop("kind").mapInArrow(_count, _COUNTED_DDL)
     in_buckets = counted.repartition("host", "bucket").sortWithinPartitions("host", "bucket")
     totals = in_buckets.mapInArrow(_add_up, "host string, shard int, grams binary, totals binary")
@@ -239,9 +243,7 @@ def large_host_texts(rows: DataFrame, large: DataFrame) -> DataFrame:
     heads = parts.select("host", "shard", every_salt, F.lit(0).alias("kind"), "contents")
     answers = totals.join(F.broadcast(parts.drop("contents")), ["host", "shard"]).select("host", "shard", every_salt, F.lit(1).alias("kind"), "grams", "totals")
     salted = F.broadcast(parts.where("salts > 1").select("host", "shard", "salts"))
-    salt = F.expr("cast(pmod(xxhash64(page_id, url), coalesce(salts, 1)) as int)").alias("salt")
-    pages = dealt.mapInArrow(_read(distinct=False), _READ_DDL).withColumn("shard", shard).join(salted, ["host", "shard"], "left").select(
-        "host", "shard", salt, F.lit(2).alias("kind"), "page_id", "url", "content", "page"
-    )
+    salt = F.expr("cast(pmod(xxhash64(pages), coalesce(salts, 1)) as int)").alias("salt")
+    pages = dealt.mapInArrow(_read(distinct=False), _READ_DDL).join(salted, ["host", "shard"], "left").select("host", "shard", salt, F.lit(2).alias("kind"), "pages")
     judged = pages.unionByName(answers, True).unionByName(heads, True).repartition("host", "shard", "salt").sortWithinPartitions("host", "shard", "salt", "kind")
     return judged.mapInArrow(_judge, TEXT_DDL)
