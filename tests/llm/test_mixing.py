@@ -90,3 +90,9 @@ def test_odd_rows(odd_docs, odd_rows, no_docs, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
     with pytest.raises(ValueError):
         mix_sources(odd_docs)
+
+
+def test_what_patterns_give_needs_no_python_workers(spark, odd_docs):
+    """The flow goes back to Spark as a table, not as rows that Python workers of their own pickle again."""
+    plan = mix_sources(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 0

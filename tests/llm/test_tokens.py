@@ -3,11 +3,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from usemeter.llm.bpe import Encoder, vocabulary_path
+from usemeter.llm.common import releasing
 from usemeter.llm.token_counts import TokenCounter, merged_length, token_counts
 from usemeter.llm.token_files import read_file, token_files, write_file
 from usemeter.llm.tree_bpe import encode_text, leaf_ends, tree_encode
@@ -117,3 +119,23 @@ def test_files_of_odd_rows(encoder, odd_docs, odd_rows, no_docs):
         want[i] = (len(ids), zlib.crc32(ids.tobytes()))
     assert all(want[r.doc_id] == (r.n_tokens, r.ids_crc32) for r in got)
     assert token_files(no_docs, PATH, 2).count() == 0
+
+
+def test_a_task_leaves_little_memory_behind():
+    """The worker process lives on: what a task's texts, pieces and arrays took goes back to the system."""
+
+    def held() -> int:
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Private_Dirty:")) >> 10
+
+    stays = []
+
+    def work(batches):
+        arrays = [np.arange(2000) + i for i in range(10_000)]  # 160 MB, each below the size that is mapped apart
+        stays.append(arrays[-1])  # what was taken last and stays keeps all before it from going by itself
+        yield from batches
+
+    batch = pa.RecordBatch.from_pydict({"id": [1]})
+    before = held()
+    assert list(releasing(work)([batch])) == [batch]
+    assert held() < before + 40

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usemeter.llm.common import keep, small_batches
+from usemeter.llm.common import keep, releasing, small_batches
 
 _CHUNK = pa.schema([("no_id", pa.bool_()), ("id", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("digest", pa.binary())])
 _DOC = ["no_id", "id", "tie"]
@@ -93,7 +93,7 @@ def _lines(text: Column | str) -> Column:
 
 def repeated_chunks(rows: DataFrame, windows: Sequence[int], divisor: int, long_words: int) -> DataFrame:
     """The lines to drop: ``(no_id, id, tie, drop array<int>)`` for ``rows (no_id, id, tie, text)``."""
-    found = rows.mapInArrow(_find(windows, divisor, long_words), "no_id boolean, id long, tie long, start int, stop int, digest binary")
+    found = rows.mapInArrow(releasing(_find(windows, divisor, long_words)), "no_id boolean, id long, tie long, start int, stop int, digest binary")
     # Rows that repeat entirely are one document: their chunks have one place, so all of them are first or none.
     chunks = keep(found, "chunks")
     place = F.struct("no_id", "id", "tie", "start")

@@ -11,14 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usemeter.llm.common import WORD, keep
+from usemeter.llm.common import WORD, keep, record_batch
 
 #: Patterns and sources meet on the driver; beyond this many the sources are no categories.
 MAX_PATTERNS = 100_000
 _CELLS = 1024
+_GIVEN = pa.schema([("pattern", pa.list_(pa.string())), ("pattern_size", pa.int64()), ("flow", pa.int64()), ("source_sizes", pa.list_(pa.int64())), ("targets", pa.list_(pa.float64()))])
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, passes: float) -> list[float]:
@@ -118,10 +120,9 @@ def mix(
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))], share * total, passes)
     flow = min_cost_flow([p["size"] for p in patterns], own, [round(t) for t in targets], passes)
     spark = docs.sparkSession
-    given = spark.createDataFrame(
-        [(p["pattern"], p["size"], sum(f), [sizes[i] for i in m], [targets[i] for i in m]) for p, f, m in zip(patterns, flow, own)],
-        "pattern array<string>, pattern_size long, flow long, source_sizes array<long>, targets array<double>",
-    )
+    given = [(p["pattern"], p["size"], int(sum(f)), [sizes[i] for i in m], [float(targets[i]) for i in m]) for p, f, m in zip(patterns, flow, own)]
+    # As an Arrow table: a list of rows would go through Python workers of a kind of their own, which then stay.
+    given = spark.createDataFrame(pa.Table.from_batches([record_batch(_GIVEN, *(zip(*given) if given else [[]] * len(_GIVEN)))]))
     return take(rows, given)
 
 

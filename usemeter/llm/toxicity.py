@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usemeter.llm.common import crc32_of_id, keep, narrow, record_batch, small_batches
+from usemeter.llm.common import crc32_of_id, keep, narrow, record_batch, releasing, small_batches
 
 GRAMS = (4, 5, 6)
 BITS = 20
@@ -128,7 +128,7 @@ def train(rows: DataFrame, penalty: float = 1.0, steps: int = 400) -> Model:
     n1, n0 = n.get(True, 0), n.get(False, 0)
     if not n1 or not n0:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
-    found = rows.mapInArrow(_presence, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q"))
+    found = rows.mapInArrow(releasing(_presence), "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q"))
     p, q = F.col("p"), F.col("q")
 
     def part(seen, expected):
@@ -139,7 +139,7 @@ def train(rows: DataFrame, penalty: float = 1.0, steps: int = 400) -> Model:
     best = found.where("p + q >= 3").withColumn("g", F.round(g, 6)).orderBy(F.desc("g"), "feature").limit(FEATURES).collect()
     chosen = np.array([r["feature"] for r in best], np.int64)
     ratio = np.array([np.log((r["p"] + 1) / (n1 + 2) / ((r["q"] + 1) / (n0 + 2))) for r in best])
-    sample = rows.mapInArrow(_has(chosen), "toxic boolean, features binary").collect()
+    sample = rows.mapInArrow(releasing(_has(chosen)), "toxic boolean, features binary").collect()
     x = [np.frombuffer(r["features"], "<i4").astype(np.int64) for r in sample]
     order = sorted(range(len(x)), key=lambda i: (sample[i]["toxic"], x[i].tobytes()))  # sums do not follow task order
     weights, bias = _logistic([x[i] for i in order], np.array([float(sample[i]["toxic"]) for i in order]), ratio, penalty, steps)
@@ -155,7 +155,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     marks = marks.where(crc32_of_id("id") % 3 != 1).groupBy("id").agg((F.max("t") >= 1).alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)  # no more ids than SAMPLE are broadcast
     rows = narrow(docs, text, key).join(F.broadcast(chosen), "id")
-    return keep(rows.select("text", "toxic").repartition(12, F.xxhash64("text")), "toxicity-sample")
+    return keep(rows.select("text", "toxic").repartition(12, F.xxhash64("text")).coalesce(12), "toxicity-sample")  # 12 files, whatever the session deals
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -172,7 +172,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key:
         for batch in batches:
             yield record_batch(_RESULT, batch.column("id").to_pylist(), model.scores([t or "" for t in batch.column("text").to_pylist()], table))
 
-    scored = narrow(docs, text, key).mapInArrow(score, "doc_id long, score double")
+    scored = narrow(docs, text, key).mapInArrow(releasing(score), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(crc32_of_id() % 3 == 1, F.lit(False)).alias("held_out"), "score")
 
 
@@ -187,4 +187,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text:
             yield batch.filter(pa.array(scores < threshold))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(releasing(clean), docs.schema)

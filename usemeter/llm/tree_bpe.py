@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usemeter.llm.bpe import Encoder, encoder
-from usemeter.llm.common import narrow, partitions, record_batch
+from usemeter.llm.common import narrow, partitions, record_batch, release, releasing
 
 #: Pieces that a task remembers; what it has learnt goes with it, later stages have the memory.
 REMEMBERED = 250_000
@@ -126,6 +126,7 @@ def tree_encode(docs: DataFrame, vocabulary: str, leaf_chars: int = 32_768, text
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 plain = iter(enc.encode(t for t in texts if "<" not in t))
                 yield _result(enc, part.column("id").to_pylist(), [encode_text(enc, t, leaf_chars) if "<" in t else next(plain) for t in texts])
+            release()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,8 +154,8 @@ def tree_encode(docs: DataFrame, vocabulary: str, leaf_chars: int = 32_768, text
         return pa.Table.from_batches([_result(enc, [rows.column("id")[0].as_py()], [ids])])
 
     result = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
-    at_once = rows.where(size <= leaf_chars).mapInArrow(short, result)
+    at_once = rows.where(size <= leaf_chars).mapInArrow(releasing(short), result)
     leaf = "id long, digest binary, copy long, leaf int, text string"
-    leaves = rows.where(size > leaf_chars).withColumn("copy", F.monotonically_increasing_id()).mapInArrow(cut, leaf)
-    encoded = leaves.repartition(n, "id", "copy", "leaf").mapInArrow(encode, f"{leaf}, ids binary")
+    leaves = rows.where(size > leaf_chars).withColumn("copy", F.monotonically_increasing_id()).mapInArrow(releasing(cut), leaf)
+    encoded = leaves.repartition(n, "id", "copy", "leaf").mapInArrow(releasing(encode), f"{leaf}, ids binary")
     return at_once.unionByName(encoded.groupBy("id", "digest", "copy").applyInArrow(join, result))
