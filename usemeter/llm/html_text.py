@@ -398,7 +398,7 @@ def main_texts(pages: list[Page], hashes: Hashes | None = None, host: str = "")
 TEXT_DDL = "page_id long, url string, text string, n_chars long"
 
 
-_SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+_SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
 
 
 def packed(rows: list[tuple], pages: list[Page]) -> bytes:
